@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"
 PHONE_PARTS = r"\(?([0-9]{3})\)?[ .-]([0-9]{3})[.-]([0-9]{4})"
+SSN_CORE = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 SSN_SHAPE = r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:$|[^0-9-])"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 US_DATE = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
@@ -68,8 +69,22 @@ def set_similarity(left: Column, right: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
+# A literal that every match holds. Looking for it costs far less than the pattern and rules out most texts.
+REQUIRED = {EMAIL: "@", DOLLARS: "$", USD_BEFORE: "USD", USD_AFTER: "USD", US_DATE: "/"}
+
+
+def may_match(text: Column, pattern: str) -> Column:
+    """False only where the pattern cannot match."""
+    return F.contains(text, F.lit(REQUIRED[pattern])) if pattern in REQUIRED else F.lit(True)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    """All matches in order, over the whole text."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if pattern not in REQUIRED:
+        return found
+    nothing = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(may_match(text, pattern), found).otherwise(nothing)
 
 
 def emails(text: Column) -> Column:
@@ -86,39 +101,44 @@ def phones(text: Column) -> Column:
 
 
 def has_ssn_shape(text: Column) -> Column:
-    return text.rlike(SSN_SHAPE)
+    return text.rlike(SSN_CORE) & text.rlike(SSN_SHAPE)
 
 
-def spans(text: Column, pattern: str, context: int = 50) -> Column:
+def spans(text: Column, pattern: str, context: int | None = 50) -> Column:
     """Array of (start, value, context) for each match, in order; start counts characters from 1.
 
     Splitting at the pattern gives the gaps and extracting gives the matches, so each start
-    is the length of everything before it and no Python is needed.
+    is the length of everything before it and no Python is needed. A first look that stops at the
+    first match spares both passes for texts without one. `context=None` leaves the context out.
     """
+    fields = "start:int,value:string" + ("" if context is None else ",context:string")
+    span_type = f"array<struct<{fields}>>"
+    nothing = F.array().cast(span_type)
+
+    def span(start: Column, value: Column) -> Column:
+        parts = [start.alias("start"), value.alias("value")]
+        if context is not None:
+            parts.append(_around(text, start, F.length(value), context).alias("context"))
+        return F.array(F.struct(*parts))
+
     pieces = F.zip_with(
         F.split(text, pattern, -1),
         matches(text, pattern),
         lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")),
     )
-    start_type = "array<struct<start:int,value:string,context:string>>"
     walked = F.aggregate(
-        F.filter(pieces, lambda p: p["value"].isNotNull()),
-        F.struct(F.lit(1).alias("at"), F.lit(None).cast(start_type).alias("out")),
+        pieces,
+        F.struct(F.lit(1).alias("at"), nothing.alias("out")),
+        # The piece after the last match has no value; its null position is never used.
         lambda acc, p: F.struct(
             (acc["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-            F.concat(
-                F.coalesce(acc["out"], F.array().cast(start_type)),
-                F.array(
-                    F.struct(
-                        (acc["at"] + p["gap"]).alias("start"),
-                        p["value"].alias("value"),
-                        _around(text, acc["at"] + p["gap"], F.length(p["value"]), context).alias("context"),
-                    )
-                ),
-            ).alias("out"),
+            F.when(p["value"].isNull(), acc["out"])
+            .otherwise(F.concat(acc["out"], span(acc["at"] + p["gap"], p["value"])))
+            .alias("out"),
         ),
+        lambda acc: acc["out"],
     )
-    return F.coalesce(walked["out"], F.array().cast(start_type))
+    return F.when(may_match(text, pattern) & text.rlike(pattern), walked).otherwise(nothing)
 
 
 def _around(text: Column, start: Column, length: Column, context: int) -> Column:

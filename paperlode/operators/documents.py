@@ -130,18 +130,17 @@ def found_dates(df: DataFrame, row_id: str, text: str) -> DataFrame:
         )
 
     candidates = F.concat(*[in_form(i, pattern, shape) for i, (_, pattern, shape) in enumerate(forms)])
-    names = F.array(*[F.lit(name) for name, _, _ in forms])
-    # Kept inside the row: the smallest struct per day is the one of the first form.
-    per_day = F.transform(
-        F.array_distinct(F.filter(candidates["day"], lambda d: d.isNotNull())),
-        lambda d: F.struct(
-            d.alias("day"),
-            F.element_at(
-                names, F.array_min(F.transform(F.filter(candidates, lambda c: c["day"] == d), lambda c: c["rank"])) + 1
-            ).alias("form"),
+    # Candidates come in order of form, so a day that is already there is kept as it is.
+    per_day = F.aggregate(
+        candidates,
+        F.array().cast("array<struct<day:date,rank:int>>"),
+        lambda acc, c: F.when(c["day"].isNull() | F.exists(acc, lambda a: a["day"] == c["day"]), acc).otherwise(
+            F.concat(acc, F.array(c))
         ),
     )
-    return df.select(row_id, F.inline(per_day))
+    names = F.array(*[F.lit(name) for name, _, _ in forms])
+    found = df.select(row_id, F.inline(per_day))
+    return found.select(row_id, "day", F.element_at(names, F.col("rank") + 1).alias("form"))
 
 
 def found_amounts(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -149,7 +148,7 @@ def found_amounts(df: DataFrame, row_id: str, text: str) -> DataFrame:
     from_forms = F.concat(
         *[
             F.transform(
-                T.spans(F.col(text), pattern),
+                T.spans(F.col(text), pattern, context=None),
                 lambda s: F.struct(
                     s["start"].alias("start"),
                     F.regexp_replace(s["value"], r"[^0-9.]", "").try_cast("decimal(18,2)").alias("amount"),

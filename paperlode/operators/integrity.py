@@ -87,7 +87,7 @@ def merkle_leaves(df: DataFrame, order: str, payload: Column, splits: Sequence[f
     return dense_positions(df.select(F.col(order), leaf.alias("hash")), order, "idx", splits).select("idx", "hash")
 
 
-def merkle_levels(leaves: DataFrame, fan_in: int = FAN_IN) -> list[DataFrame]:
+def merkle_levels(leaves: DataFrame, n: int, fan_in: int = FAN_IN) -> list[DataFrame]:
     """Leaves, then each coarser level up to one row. A group holds at most `fan_in` hashes.
 
     Aligned groups of a power of two are whole subtrees, and only the last may be short, so the top
@@ -95,7 +95,7 @@ def merkle_levels(leaves: DataFrame, fan_in: int = FAN_IN) -> list[DataFrame]:
     """
     if fan_in < 2 or fan_in & (fan_in - 1):
         raise ValueError("fan_in must be a power of two")
-    levels, size = [leaves], leaves.count()
+    levels, size = [leaves], n
     while size > 1:
         grouped = (
             levels[-1]
@@ -107,15 +107,15 @@ def merkle_levels(leaves: DataFrame, fan_in: int = FAN_IN) -> list[DataFrame]:
     return levels
 
 
-def merkle_root(leaves: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """One row (root_hash), or none for an empty table."""
-    return merkle_levels(leaves, fan_in)[-1].select(F.lower(F.hex("hash")).alias("root_hash"))
+def merkle_root(leaves: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
+    """One row (root_hash) for `n` leaves, or none for an empty table."""
+    return merkle_levels(leaves, n, fan_in)[-1].select(F.lower(F.hex("hash")).alias("root_hash"))
 
 
-def audit_path(leaves: DataFrame, idx: int, fan_in: int = FAN_IN) -> list[bytes]:
+def audit_path(leaves: DataFrame, n: int, idx: int, fan_in: int = FAN_IN) -> list[bytes]:
     """Inclusion path of one leaf. Per level, the driver receives the one group on the path (`fan_in` hashes)."""
     path: list[bytes] = []
-    for level in merkle_levels(leaves, fan_in)[:-1]:
+    for level in merkle_levels(leaves, n, fan_in)[:-1]:
         first = idx // fan_in * fan_in
         group = level.where(F.col("idx").between(first, first + fan_in - 1)).orderBy("idx").collect()
         path += _path_in([bytes(r["hash"]) for r in group], idx - first)

@@ -37,9 +37,9 @@ def with_block(df: DataFrame, position: Column, splits: Sequence[float]) -> Data
     """Add the number of the block that each row's position falls into (binary search, in the JVM)."""
     at = "__position"
     located = Bucketizer(splits=list(splits), inputCol=at, outputCol=BLOCK, handleInvalid="keep")
-    return located.transform(df.withColumn(at, position.cast("double"))).drop(at).withColumn(
-        BLOCK, F.col(BLOCK).cast("int")
-    )
+    # Rows without a position come first, as nulls do in an ascending order.
+    number = F.coalesce(F.col(BLOCK).cast("int"), F.lit(-1))
+    return located.transform(df.withColumn(at, position.cast("double"))).drop(at).withColumn(BLOCK, number)
 
 
 def dense_positions(df: DataFrame, order: str, output: str, splits: Sequence[float] | None = None) -> DataFrame:
@@ -83,21 +83,20 @@ def carry_forward(
     inside = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
     local = blocked.withColumn(output, F.last("__v", ignorenulls=True).over(inside))
     # One row per key and block; partial aggregation shrinks it before the shuffle.
-    tails = blocked.where("__v IS NOT NULL").groupBy(*keys, BLOCK).agg(
-        F.max_by("__v", F.struct(*_ascending(order))).alias("__tail")
-    )
-    present = blocked.select(*keys, BLOCK).distinct()
+    at_value = F.when(F.col("__v").isNotNull(), F.struct(*_ascending(order)))
+    tails = blocked.groupBy(*keys, BLOCK).agg(F.max_by("__v", at_value).alias("__tail"))
+    # A key has at most one such row per block, so this window never holds more than the number of blocks.
     across = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     heads = (
-        present.join(tails, [*keys, BLOCK], "left")
-        .withColumn(carried, F.last("__tail", ignorenulls=True).over(across))
+        tails.withColumn(carried, F.last("__tail", ignorenulls=True).over(across))
         .where(F.col(carried).isNotNull())
-        .select(*keys, BLOCK, carried)
+        .select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(BLOCK).alias("__k_block"), carried)
     )
-    return (
-        local.join(heads, [*keys, BLOCK], "left")
-        .withColumn(output, F.coalesce(F.col(output), F.col(carried)))
-        .drop(BLOCK, carried, "__v")
+    same = F.col(BLOCK) == F.col("__k_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return local.join(heads, same, "left").select(
+        *df.columns, F.coalesce(F.col(output), F.col(carried)).alias(output)
     )
 
 
@@ -129,6 +128,8 @@ def asof_join(
 ) -> DataFrame:
     """For each left row the struct `right_value` of the latest right row with `right_at <= left_at`.
 
+    A null key or time matches nothing, as in an SQL join; such a left row is kept with a null.
+
     Both sides are merged into one ordered stream, so each row is shuffled once and no pairs
     are formed. Among right rows at one instant the one with the largest `tie` wins.
     """
@@ -146,7 +147,7 @@ def asof_join(
         F.lit(0).alias("__side"),
         (tie if tie is not None else F.lit(0)).cast("bigint").alias("__tie"),
         right_value.alias("__right"),
-    )
+    ).dropna(subset=[*keys, "__at"])
     stream = from_left.drop("__right").unionByName(from_right, allowMissingColumns=True)
     filled = carry_forward(
         stream,
@@ -157,7 +158,8 @@ def asof_join(
         output,
         splits=splits,
     )
-    return filled.where("__side = 1").select(*[F.col(f"__left.{n}").alias(n) for n in names], output)
+    matched = F.when(F.col("__at").isNotNull(), F.col(output)).alias(output)
+    return filled.where("__side = 1").select(*[F.col(f"__left.{n}").alias(n) for n in names], matched)
 
 
 def backward_steps(

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from paperlode.functions.text import WORD, tokens
 from paperlode.functions.vectors import cosine_to
+from paperlode.operators.once import computed_once
 
 # Okapi BM25 and reciprocal-rank constants as published.
 K1 = 1.2
@@ -42,18 +43,20 @@ def match_all_terms(df: DataFrame, text: str, query: str) -> DataFrame:
 def term_counts(df: DataFrame, row_id: str, text: str, terms: Sequence[str]) -> DataFrame:
     """(id, dl, tf_0, tf_1, ...): text length in words and frequency of each given term, without a shuffle."""
     cut = df.select(F.col(row_id), tokens(F.col(text)).alias("words"))
-    kept = cut.select(
-        row_id,
-        F.size("words").alias("dl"),
-        F.filter("words", lambda w: w.isin(*terms)).alias("hits"),
-    )
+    hits = F.filter("words", lambda w: w.isin(*terms))
+    kept = computed_once(cut, [row_id], {"dl": _count("words"), "hits": hits})
 
     def frequency(term: str) -> Column:
-        return F.size(F.filter("hits", lambda w: w == term))
+        return _count(F.filter("hits", lambda w: w == term))
 
     return kept.select(row_id, "dl", *[frequency(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
 
 
+def _count(array: str | Column) -> Column:
+    """Size that is never null, so that no null check tells two uses of one exchange apart."""
+    return F.coalesce(F.size(array), F.lit(0))
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -65,26 +68,30 @@ def _bm25_part(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
 def bm25_scores(df: DataFrame, row_id: str, text: str, query: str, require_all: bool = False) -> DataFrame:
     """(id, score) of each row with at least one query term (with all of them if `require_all`).
 
-    Two scans and no shuffle of rows: the first makes one row of collection statistics, the second scores.
+    Texts are read and cut once. Their counts (a few numbers per row) go through one exchange that feeds both
+    the collection statistics and the scores.
     """
     terms = query_terms(query)
     if not terms:
         return df.select(F.col(row_id), F.lit(0.0).alias("score")).where(F.lit(False))
-    counts = term_counts(df, row_id, text, terms)
+    counts = term_counts(df, row_id, text, terms).repartition(F.col(row_id))
     present = [F.col(f"tf_{i}") > 0 for i in range(len(terms))]
     stats = counts.agg(
         F.count("*").alias("n"),
         F.avg("dl").alias("avgdl"),
         *[F.count_if(p).alias(f"df_{i}") for i, p in enumerate(present)],
     )
-    wanted = present[0]
-    for p in present[1:]:
-        wanted = (wanted & p) if require_all else (wanted | p)
+    n_present = sum((p.cast("int") for p in present), F.lit(0))
+    needed = len(terms) if require_all else 1
     score = F.lit(0.0)
     for i in range(len(terms)):
         score = score + _bm25_part(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl"), _idf(F.col("n"), F.col(f"df_{i}")))
     # `stats` is a global aggregate, hence exactly one row.
-    return counts.where(wanted).join(F.broadcast(stats)).select(row_id, F.round(score, SCORE_DIGITS).alias("score"))
+    return (
+        counts.join(F.broadcast(stats))
+        .where(n_present * F.signum("n") >= needed)
+        .select(row_id, F.round(score, SCORE_DIGITS).alias("score"))
+    )
 
 
 def top_k(scored: DataFrame, row_id: str, score: str, k: int) -> DataFrame:
@@ -101,10 +108,18 @@ def bm25_top_k(df: DataFrame, row_id: str, text: str, query: str, k: int = 50, r
     return top_k(bm25_scores(df, row_id, text, query, require_all), row_id, "score", k)
 
 
-def dense_top_k(df: DataFrame, row_id: str, vector: str, query: Sequence[float], k: int = 50) -> DataFrame:
-    """Exact cosine ranking. With several vectors per id the best one counts, so no id appears twice."""
+def dense_top_k(
+    df: DataFrame, row_id: str, vector: str, query: Sequence[float], k: int = 50, scope: DataFrame | None = None
+) -> DataFrame:
+    """Exact cosine ranking of all vectors, or of those whose id is in `scope`.
+
+    With several vectors per id the best one counts, so no id appears twice. Vectors are scored where
+    they are read; what the join and the grouping shuffle is an id and a score.
+    """
     scored = df.select(F.col(row_id), F.round(cosine_to(F.col(vector), query), SCORE_DIGITS).alias("score"))
-    best = scored.where("score IS NOT NULL").groupBy(row_id).agg(F.max("score").alias("score"))
+    if scope is not None:
+        scored = scored.join(scope, row_id, "left_semi")
+    best = scored.groupBy(row_id).agg(F.max("score").alias("score")).where("score IS NOT NULL")
     return top_k(best, row_id, "score", k)
 
 
@@ -171,8 +186,8 @@ def hybrid_search(
         documents = documents.where(scope)
     lexical = ranked(bm25_top_k(documents, row_id, text, query, depth), row_id, "score", "rank")
     named = vectors.withColumnRenamed(vector_id, row_id)
-    in_scope = named.join(documents.select(row_id), row_id, "left_semi")
-    dense = ranked(dense_top_k(in_scope, row_id, vector, query_vector, depth), row_id, "score", "rank")
+    best = dense_top_k(named, row_id, vector, query_vector, depth, scope=documents.select(row_id))
+    dense = ranked(best, row_id, "score", "rank")
     order = fused_order(["lexical", "dense"], row_id)
     fused = fuse_ranks({"lexical": lexical, "dense": dense}, row_id).orderBy(*order).limit(k * over_fetch)
     # `fused` holds at most k * over_fetch rows by its limit, so the text is fetched by broadcast.

@@ -62,7 +62,7 @@ r AS (SELECT hs FROM leaves UNION ALL
   FROM r WHERE len(hs) > 1)
 SELECT hs[1] AS root_hash FROM r WHERE len(hs) = 1""")
 def merkle_root(t: Tables) -> DataFrame:
-    return I.merkle_root(I.merkle_leaves(t.events, "event_id", _payload()))
+    return I.merkle_root(I.merkle_leaves(t.events, "event_id", _payload()), t.events.count())
 
 
 _CHUNK = 256

@@ -210,14 +210,16 @@ def postings(df: DataFrame, row_id: str, text: str) -> DataFrame:
 def term_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(term, n_docs, n_occurrences) over the whole collection.
 
-    Words are made distinct inside their row, so one shuffle with map-side merging of hot words is enough.
+    Each row offers its words twice, as they stand and made distinct, so one scan and one shuffle with
+    map-side merging of hot words count both.
     """
-    words = tokens(F.col(text))
-    counted = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_occurrences"))
-    in_docs = (
-        df.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+    cut = df.select(tokens(F.col(text)).alias("words"))
+    offered = cut.select(F.posexplode(F.array("words", F.array_distinct("words"))).alias("form", "words"))
+    return (
+        offered.select("form", F.explode("words").alias("term"))
+        .groupBy("term")
+        .agg(F.count_if(F.col("form") == 1).alias("n_docs"), F.count_if(F.col("form") == 0).alias("n_occurrences"))
     )
-    return in_docs.join(counted, "term")
 
 
 def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int = 64) -> None:
@@ -235,7 +237,7 @@ def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int =
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    df.select(F.col(row_id), F.size(tokens(F.col(text))).alias("dl")).write.parquet(f"{path}/lengths")
+    df.select(F.col(row_id), _count(tokens(F.col(text))).alias("dl")).write.parquet(f"{path}/lengths")
 
 
 def index_top_k(

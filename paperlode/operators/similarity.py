@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions.text import set_similarity, sound_key, trigrams
@@ -38,9 +38,11 @@ def sound_groups(df: DataFrame, name: str) -> DataFrame:
 def similarity_join(df: DataFrame, name: str, threshold: float) -> DataFrame:
     """(left_name, right_name, similarity): all pairs of distinct names at or above a trigram similarity.
 
-    Prefix filtering (Chaudhuri et al. 2006; Vernica et al. 2010): two sets that reach Jaccard t must
-    share a member among the |s| - ceil(t|s|) + 1 rarest members of each. Only those rare members act
-    as join keys, so common trigrams form no pairs and the result is still exact.
+    Prefix filtering (Chaudhuri et al. 2006; with longer prefixes Wang et al. 2012): two sets that reach
+    Jaccard t have at least p = ceil(t|s|) members in common, and the first two of these lie among the
+    |s| - p + 2 rarest members of each. Pairs of rare members are the join keys, which leaves few
+    candidates, and the result is exact. Sets so small that p < 2 join by one member; they have no more
+    than 1/t trigrams, so there are only a handful of them and of the sets close enough in size.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -52,18 +54,44 @@ def similarity_join(df: DataFrame, name: str, threshold: float) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("ranked")
     )
     # A name's trigrams are bounded by its own length, so the lists above are as small as the names.
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefixed = by_rarity.select(
-        "name", "n", F.explode(F.slice(F.col("ranked.gram"), F.lit(1), keep)).alias("gram")
+    sized = by_rarity.select(
+        "name", "n", F.col("ranked.gram").alias("grams"),
+        F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int").alias("p"),
+    )
+    single = sized.select("name", "n", "p", F.explode(F.slice("grams", 1, F.col("n") - F.col("p") + 1)).alias("key"))
+    double = (
+        sized.where("p >= 2")
+        .withColumn("prefix", F.slice("grams", 1, F.col("n") - F.col("p") + 2))
+        .select("name", "n", F.explode(_pairs(F.col("prefix"))).alias("key"))
     )
-    left = prefixed.select(F.col("name").alias("left_name"), F.col("n").alias("left_n"), "gram")
-    right = prefixed.select(F.col("name").alias("right_name"), F.col("n").alias("right_n"), "gram")
+    small = single.where("p < 2").select("name", "n", "key")
+    near = single.where(F.col("n") <= 1 / threshold**2 + 1e-9).select("name", "n", "key")
     candidates = (
-        left.join(right, "gram")
-        .where("left_name < right_name")
-        .where(F.least("left_n", "right_n") >= F.lit(threshold) * F.greatest("left_n", "right_n") - 1e-9)
-        .select("left_name", "right_name")
-        .distinct()
+        _matching(double, double, threshold).unionByName(_matching(small, near, threshold)).distinct()
     )
     score = set_similarity(trigrams(F.col("left_name")), trigrams(F.col("right_name")))
     return candidates.withColumn("similarity", F.round(score, 6)).where(F.col("similarity") >= threshold)
+
+
+def _pairs(items: Column) -> Column:
+    """All two-element combinations of an array, in its order, as joined strings."""
+    return F.flatten(
+        F.transform(
+            items,
+            lambda a, i: F.transform(
+                F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda b: F.concat(a, F.lit("\x1f"), b)
+            ),
+        )
+    )
+
+
+def _matching(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Ordered name pairs that share a key and are close enough in size."""
+    a = left.select(F.col("name").alias("a"), F.col("n").alias("a_n"), "key")
+    b = right.select(F.col("name").alias("b"), F.col("n").alias("b_n"), "key")
+    close = F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9
+    return (
+        a.join(b, "key")
+        .where((F.col("a") != F.col("b")) & close)
+        .select(F.least("a", "b").alias("left_name"), F.greatest("a", "b").alias("right_name"))
+    )

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -36,12 +35,14 @@ def groups_without(df: DataFrame, group: str, having: Column) -> DataFrame:
 def plurality(df: DataFrame, group: str, choice: str, tie: str = "tie") -> DataFrame:
     """(group, winner, votes): the one most frequent choice, or `tie`.
 
-    Votes are counted first, so the window sees one row per distinct choice of a group.
+    Three groupings, each merged on the map side: votes per choice, choices per number of votes, and the
+    largest number of votes. A group with very many choices is therefore never held in one task.
     """
     counted = df.groupBy(group, choice).agg(F.count("*").alias("votes"))
-    best = counted.withColumn("place", F.rank().over(W.partitionBy(group).orderBy(F.desc("votes")))).where("place = 1")
-    return best.groupBy(group).agg(
-        F.when(F.count("*") == 1, F.min(choice)).otherwise(F.lit(tie)).alias("winner"), F.max("votes").alias("votes")
+    level = counted.groupBy(group, "votes").agg(F.count("*").alias("n"), F.min(choice).alias("first"))
+    top = level.groupBy(group).agg(F.max_by(F.struct("n", "first"), "votes").alias("top"), F.max("votes").alias("votes"))
+    return top.select(
+        group, F.when(F.col("top.n") == 1, F.col("top.first")).otherwise(F.lit(tie)).alias("winner"), "votes"
     )
 
 

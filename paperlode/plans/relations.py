@@ -152,6 +152,22 @@ def page_document_links(t: Tables) -> DataFrame:
     return J.suffix_join(t.pages.select("page_id", "url"), "url", names, "name")
 
 
+@query("""
+SELECT c.conv_id, c.turn, p.turn AS parent_turn, p.role AS parent_role, length(c.text) - length(p.text) AS longer_by
+FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1""")
+def replies(t: Tables) -> DataFrame:
+    """Each turn with the turn it answers: a self join on the parent key, one row per turn and no pairs beyond it."""
+    child = t.conversations.select("conv_id", "turn", F.length("text").alias("n"), (F.col("turn") - 1).alias("up"))
+    parent = t.conversations.select(
+        F.col("conv_id").alias("p_conv"), F.col("turn").alias("parent_turn"), F.col("role").alias("parent_role"),
+        F.length("text").alias("p_n"),
+    )
+    same = (F.col("conv_id") == F.col("p_conv")) & (F.col("up") == F.col("parent_turn"))
+    return child.join(parent, same, "left").select(
+        "conv_id", "turn", "parent_turn", "parent_role", (F.col("n") - F.col("p_n")).cast("bigint").alias("longer_by")
+    )
+
+
 @query("""
 SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS
   (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")

@@ -21,7 +21,9 @@ def stream_table(spark: SparkSession, base: str, name: str, max_files: int = 100
 
 def first_seen(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """Drop repeats of a key that arrive within `delay`; state older than the watermark is released."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    # Watermarks need a zoned timestamp; the session's zone is UTC by default.
+    zoned = stream.withColumn(event_time, stream[event_time].cast("timestamp"))
+    return zoned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def run_to_table(stream: DataFrame, path: str) -> StreamingQuery:

@@ -22,6 +22,8 @@ USD_BEFORE = r"USD ?([0-9][0-9,]*(?:\.[0-9]{2})?)"
 USD_AFTER = r"([0-9][0-9,]*(?:\.[0-9]{2})?) USD"
 SERIAL_ID = r"[A-Z]{2,8}[-_ ]?[0-9]{4,10}"
 WORD = r"[a-z0-9]+"
+# Fixed value: words that turn a statement into its denial.
+NEGATIONS = ["cannot", "neither", "never", "no", "nobody", "none", "nor", "not", "nothing", "without"]
 
 
 def tokens(text: Column) -> Column:
@@ -173,3 +175,39 @@ def mask(text: Column, table: Column) -> Column:
 def unmask(text: Column, table: Column) -> Column:
     """Inverse of `mask`; the closing brackets keep token 1 apart from token 10."""
     return F.aggregate(table, text, lambda acc, e: F.replace(acc, e["token"], e["value"]))
+
+
+def is_negated(text: Column) -> Column:
+    """Whether the text holds an odd number of negating words, at its edges too."""
+    hits = F.size(F.filter(tokens(F.regexp_replace(F.lower(text), "n[\u2019']t", " not")), lambda w: w.isin(*NEGATIONS)))
+    return hits % 2 == 1
+
+
+def polarity_differs(left: Column, right: Column) -> Column:
+    """One of two statements denies, the other does not."""
+    return is_negated(left) != is_negated(right)
+
+
+def sets_disagree(left: Column, right: Column) -> Column:
+    """Both arrays hold values and share none."""
+    return (F.size(left) > 0) & (F.size(right) > 0) & ~F.arrays_overlap(left, right)
+
+
+def widest_difference(runs: Column) -> Column:
+    """Largest share of differing places between any two token arrays of a short list of repeated runs.
+
+    Arrays of different length differ in every place beyond the shorter one. Meant for a handful of runs
+    inside one row, not for groups of rows.
+    """
+
+    def distance(a: Column, b: Column) -> Column:
+        places = F.greatest(F.size(a), F.size(b))
+        differing = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
+        return F.when(places > 0, differing / places).otherwise(F.lit(0.0))
+
+    return F.coalesce(
+        F.array_max(
+            F.flatten(F.transform(runs, lambda a, i: F.transform(F.slice(runs, i + 2, F.size(runs)), lambda b: distance(a, b))))
+        ),
+        F.lit(0.0),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from paperlode.functions.stemming import stem, stem_word
 from paperlode.functions.text import WORD, tokens
 from paperlode.functions.vectors import cosine_to
 from paperlode.operators.once import computed_once
@@ -21,9 +22,12 @@ RRF_K = 60
 SCORE_DIGITS = 6
 
 
-def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query, cut like `tokens` cuts a text."""
-    return sorted(set(re.findall(WORD, query.lower())))
+def query_terms(query: str, stop_words: Sequence[str] = ()) -> list[str]:
+    """Distinct terms of a query, cut like `tokens` cuts a text, without stop words.
+
+    `pyspark.ml.feature.StopWordsRemover.loadDefaultStopWords(language)` has lists to pass.
+    """
+    return sorted(set(re.findall(WORD, query.lower())) - {w.lower() for w in stop_words})
 
 
 def match_all_terms(df: DataFrame, text: str, query: str) -> DataFrame:
@@ -65,13 +69,15 @@ def _bm25_part(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25_scores(df: DataFrame, row_id: str, text: str, query: str, require_all: bool = False) -> DataFrame:
+def bm25_scores(
+    df: DataFrame, row_id: str, text: str, query: str, require_all: bool = False, stop_words: Sequence[str] = ()
+) -> DataFrame:
     """(id, score) of each row with at least one query term (with all of them if `require_all`).
 
     Texts are read and cut once. Their counts (a few numbers per row) go through one exchange that feeds both
     the collection statistics and the scores.
     """
-    terms = query_terms(query)
+    terms = query_terms(query, stop_words)
     if not terms:
         return df.select(F.col(row_id), F.lit(0.0).alias("score")).where(F.lit(False))
     counts = term_counts(df, row_id, text, terms).repartition(F.col(row_id))
@@ -104,8 +110,16 @@ def ranked(top: DataFrame, row_id: str, score: str, rank: str) -> DataFrame:
     return top.withColumn(rank, F.row_number().over(W.orderBy(F.desc(score), row_id)))
 
 
-def bm25_top_k(df: DataFrame, row_id: str, text: str, query: str, k: int = 50, require_all: bool = False) -> DataFrame:
-    return top_k(bm25_scores(df, row_id, text, query, require_all), row_id, "score", k)
+def bm25_top_k(
+    df: DataFrame,
+    row_id: str,
+    text: str,
+    query: str,
+    k: int = 50,
+    require_all: bool = False,
+    stop_words: Sequence[str] = (),
+) -> DataFrame:
+    return top_k(bm25_scores(df, row_id, text, query, require_all, stop_words), row_id, "score", k)
 
 
 def dense_top_k(
@@ -238,19 +252,35 @@ def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int =
         .parquet(f"{path}/postings")
     )
     df.select(F.col(row_id), _count(tokens(F.col(text))).alias("dl")).write.parquet(f"{path}/lengths")
+    # Each distinct word is stemmed once, so the stemmer never sees running text.
+    words = df.sparkSession.read.parquet(f"{path}/postings").select("bucket", "term").distinct()
+    words.select("bucket", "term", stem(F.col("term")).alias("stem")).write.parquet(f"{path}/words")
 
 
 def index_top_k(
-    spark: SparkSession, path: str, row_id: str, query: str, k: int = 50, buckets: int = 64
+    spark: SparkSession,
+    path: str,
+    row_id: str,
+    query: str,
+    k: int = 50,
+    stemmed: bool = False,
+    stop_words: Sequence[str] = (),
 ) -> DataFrame:
-    """BM25 ranking from a stored index; equals `bm25_top_k` over the same texts."""
-    terms = query_terms(query)
+    """BM25 ranking from a stored index; unstemmed it equals `bm25_top_k` over the same texts.
+
+    Stemmed, a query term stands for all words of the index with its stem, counted as one term. Joining
+    on the bucket too lets the planner prune the postings to the buckets that the words fall into.
+    """
+    terms = query_terms(query, stop_words)
     lengths = spark.read.parquet(f"{path}/lengths")
-    wanted = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)) for t in terms])).first()[0]
+    label = F.col("stem") if stemmed else F.col("term")
+    labels = sorted({stem_word(t) for t in terms}) if stemmed else terms
+    words = spark.read.parquet(f"{path}/words").where(label.isin(*labels)).select("bucket", "term", label.alias("label"))
     hits = (
         spark.read.parquet(f"{path}/postings")
-        .where(F.col("bucket").isin(*sorted(set(wanted))))
-        .where(F.col("term").isin(*terms))
+        .join(words, ["bucket", "term"])
+        .groupBy(row_id, F.col("label").alias("term"))
+        .agg(F.sum("tf").alias("tf"))
     )
     # One row of totals and one row per query term; both are bounded by the query, not the data.
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

@@ -82,6 +82,14 @@ def bm25_stored_index(t: Tables) -> DataFrame:
     return R.index_top_k(t.spark, path, "doc_id", QUERY)
 
 
+@query()
+def bm25_stemmed_index(t: Tables) -> DataFrame:
+    """No SQL: DuckDB has no stemmer here. The tests compare it with texts whose forms are merged by hand."""
+    path = shared_dir(t.spark, "index")
+    R.write_index(t.documents, "doc_id", "text", path)
+    return R.index_top_k(t.spark, path, "doc_id", "licensed under versions", stemmed=True)
+
+
 @query(f"""
 SELECT doc_id, lang, source FROM documents
 WHERE len(list_intersect(['license', 'released', 'the', 'under'], regexp_extract_all(lower(text), '[a-z0-9]+'))) = 4""")

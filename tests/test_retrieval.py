@@ -67,7 +67,26 @@ def test_stored_index_ranks_like_the_scan(spark, corpus, tmp_path):
     R.write_index(df, "id", "text", str(tmp_path / "index"), buckets=3)
     for query in ("gamma delta", "the of alpha", "absent"):
         scan = R.bm25_top_k(df, "id", "text", query).collect()
-        assert R.index_top_k(spark, str(tmp_path / "index"), "id", query, buckets=3).collect() == scan
+        assert R.index_top_k(spark, str(tmp_path / "index"), "id", query).collect() == scan
+
+
+def test_stemmed_index_counts_forms_as_one_term(spark, rows, tmp_path):
+    forms = [(1, "license terms"), (2, "licensed licenses"), (3, "licensing"), (4, "lichen"), (5, "none of it")]
+    path, plain = str(tmp_path / "forms"), str(tmp_path / "plain")
+    R.write_index(rows(forms, "id bigint, text string"), "id", "text", path, buckets=4)
+    merged = [(i, t.replace("licensed", "license").replace("licenses", "license").replace("licensing", "license")) for i, t in forms]
+    R.write_index(rows(merged, "id bigint, text string"), "id", "text", plain, buckets=4)
+    found = R.index_top_k(spark, path, "id", "licenses", stemmed=True).collect()
+    assert found == R.index_top_k(spark, plain, "id", "license").collect()
+    assert {r.id for r in found} == {1, 2, 3}
+    assert R.index_top_k(spark, path, "id", "licensing of", stop_words=["OF"]).collect()[0].id == 3
+
+
+def test_stop_words_leave_the_query(corpus):
+    _, df = corpus
+    assert R.query_terms("The alpha OF", ["the", "of"]) == ["alpha"]
+    with_stops = R.bm25_top_k(df, "id", "text", "the alpha of", stop_words=["the", "of"]).collect()
+    assert with_stops == R.bm25_top_k(df, "id", "text", "alpha").collect()
 
 
 def cosine(a, b):

@@ -29,7 +29,7 @@ def order_splits(df: DataFrame, position: Column, n_blocks: int | None = None) -
     n_blocks = n_blocks or shuffle_width(df.sparkSession)
     values = df.select(position.cast("double").alias("p")).where("p IS NOT NULL")
     shares = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = values.approxQuantile("p", shares, 1.0 / (4 * n_blocks)) if shares else []
+    cuts = values.approxQuantile("p", shares, 1.0 / (2 * n_blocks)) if shares else []
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
 
 
@@ -77,27 +77,30 @@ def carry_forward(
     `position` is a number that leads the order; `order` is the full sort key in a block. Callers that
     know the cut points of the same data pass `splits` and save the job that finds them.
     """
-    carried = "__carried"
     blocked = with_block(df.withColumn("__v", value), position, splits or order_splits(df, position))
-    frame_end = 0 if include_current else -1
-    inside = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
-    local = blocked.withColumn(output, F.last("__v", ignorenulls=True).over(inside))
-    # One row per key and block; partial aggregation shrinks it before the shuffle.
-    at_value = F.when(F.col("__v").isNotNull(), F.struct(*_ascending(order)))
-    tails = blocked.groupBy(*keys, BLOCK).agg(F.max_by("__v", at_value).alias("__tail"))
+    # One row per key and block; partial aggregation shrinks it before the shuffle. A single order column
+    # keeps the buffer flat, which lets Spark hash instead of sort.
+    key = order[0] if len(order) == 1 else F.struct(*_ascending(order))
+    has_value = F.col("__v").isNotNull()
+    latest = F.max_by("__v", F.when(has_value, key))
+    # max_by passes over rows whose key is null; among those any one is the last.
+    unplaced = F.max_by("__v", F.when(has_value, F.lit(1)))
+    tails = blocked.groupBy(*keys, BLOCK).agg(F.coalesce(latest, unplaced).alias("__tail"))
     # A key has at most one such row per block, so this window never holds more than the number of blocks.
     across = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    heads = (
-        tails.withColumn(carried, F.last("__tail", ignorenulls=True).over(across))
-        .where(F.col(carried).isNotNull())
-        .select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(BLOCK).alias("__k_block"), carried)
-    )
-    same = F.col(BLOCK) == F.col("__k_block")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return local.join(heads, same, "left").select(
-        *df.columns, F.coalesce(F.col(output), F.col(carried)).alias(output)
+    heads = tails.select(
+        *keys, BLOCK, F.last("__tail", ignorenulls=True).over(across).alias("__v"), F.lit(0).alias("__real")
+    ).where("__v IS NOT NULL")
+    # What a block inherits goes into it as a row ahead of its own rows: the rows are shuffled once, and no
+    # join has to find them again.
+    stream = blocked.withColumn("__real", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    inside = (
+        W.partitionBy(*keys, BLOCK)
+        .orderBy("__real", *order)
+        .rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
     )
+    filled = stream.withColumn(output, F.last("__v", ignorenulls=True).over(inside))
+    return filled.where("__real = 1").select(*df.columns, output)
 
 
 def previous_row(

@@ -216,9 +216,11 @@ def hybrid_search(
 
 
 def postings(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(term, id, tf): how often each word occurs in each text."""
-    words = df.select(F.col(row_id), F.explode(tokens(F.col(text))).alias("term"))
-    return words.groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    """(id, dl, term, tf): how often each word occurs in each text, beside the text's length in words."""
+    cut = df.select(F.col(row_id), tokens(F.col(text)).alias("words"))
+    once = computed_once(cut, [row_id], {"dl": _count("words"), "words": F.col("words")})
+    words = once.select(row_id, "dl", F.explode("words").alias("term"))
+    return words.groupBy(row_id, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -237,10 +239,11 @@ def term_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int = 64) -> None:
-    """Store postings split by term bucket and sorted by term, plus text lengths.
+    """Store postings split by term bucket and sorted by term, a dictionary sorted by stem, and the totals.
 
-    A lookup then reads the few buckets of its terms and skips row groups by term statistics. The
-    rebalance hint lets the adaptive planner cut a bucket that a hot term has made large.
+    A lookup then reads the few buckets of its words and skips row groups by term statistics. Postings
+    carry the text length, so that scoring joins nothing of the collection's size. The rebalance hint lets
+    the adaptive planner cut a bucket that a hot term has made large.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     (
@@ -251,10 +254,16 @@ def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int =
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    df.select(F.col(row_id), _count(tokens(F.col(text))).alias("dl")).write.parquet(f"{path}/lengths")
     # Each distinct word is stemmed once, so the stemmer never sees running text.
     words = df.sparkSession.read.parquet(f"{path}/postings").select("bucket", "term").distinct()
-    words.select("bucket", "term", stem(F.col("term")).alias("stem")).write.parquet(f"{path}/words")
+    stems = words.select("bucket", "term", stem(F.col("term")).alias("stem"))
+    stems.repartitionByRange("stem", "term").sortWithinPartitions("stem").write.parquet(f"{path}/words")
+    lengths = df.select(_count(tokens(F.col(text))).alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/totals")
+
+
+# Word forms of one query that are passed on as literals; more than this many are joined instead.
+MAX_LITERAL_FORMS = 2000
 
 
 def index_top_k(
@@ -265,32 +274,38 @@ def index_top_k(
     k: int = 50,
     stemmed: bool = False,
     stop_words: Sequence[str] = (),
+    max_literals: int = MAX_LITERAL_FORMS,
 ) -> DataFrame:
     """BM25 ranking from a stored index; unstemmed it equals `bm25_top_k` over the same texts.
 
-    Stemmed, a query term stands for all words of the index with its stem, counted as one term. Joining
-    on the bucket too lets the planner prune the postings to the buckets that the words fall into.
+    Stemmed, a query term stands for all words of the index with its stem, counted as one term. The word
+    forms are usually few: then buckets and terms reach the scan as literals. If they are not, the
+    postings are joined with the dictionary.
     """
     terms = query_terms(query, stop_words)
-    lengths = spark.read.parquet(f"{path}/lengths")
-    label = F.col("stem") if stemmed else F.col("term")
-    labels = sorted({stem_word(t) for t in terms}) if stemmed else terms
-    words = spark.read.parquet(f"{path}/words").where(label.isin(*labels)).select("bucket", "term", label.alias("label"))
-    hits = (
-        spark.read.parquet(f"{path}/postings")
-        .join(words, ["bucket", "term"])
-        .groupBy(row_id, F.col("label").alias("term"))
-        .agg(F.sum("tf").alias("tf"))
-    )
-    # One row of totals and one row per query term; both are bounded by the query, not the data.
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stems = sorted({stem_word(t) for t in terms})
+    words = spark.read.parquet(f"{path}/words").where(F.col("stem").isin(*stems))
+    if stemmed:
+        words = words.select("bucket", "term", F.col("stem").alias("label"))
+    else:
+        words = words.where(F.col("term").isin(*terms)).select("bucket", "term", F.col("term").alias("label"))
+    stored = spark.read.parquet(f"{path}/postings")
+    forms = words.limit(max_literals + 1).collect()
+    if len(forms) <= max_literals:
+        stored = stored.where(F.col("bucket").isin(*{f.bucket for f in forms}) & F.col("term").isin(*[f.term for f in forms]))
+        words = F.broadcast(spark.createDataFrame([(f.term, f.label) for f in forms], "term string, label string"))
+        hits = stored.join(words, "term")
+    else:
+        hits = stored.join(words, ["bucket", "term"])
+    hits = hits.groupBy(row_id, "dl", "label").agg(F.sum("tf").alias("tf"))
+    # One row of totals, and one row per query term.
+    totals = spark.read.parquet(f"{path}/totals").limit(1)
+    frequency = hits.groupBy("label").agg(F.count("*").alias("df"))
+    part = _bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"), _idf(F.col("n"), F.col("df")))
     scored = (
-        hits.join(F.broadcast(frequency), "term")
-        .join(lengths, row_id)
+        hits.join(F.broadcast(frequency), "label")
         .join(F.broadcast(totals))
-        .select(row_id, _bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"), _idf(F.col("n"), F.col("df"))).alias("s"))
         .groupBy(row_id)
-        .agg(F.round(F.sum("s"), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )
     return top_k(scored, row_id, "score", k)

@@ -113,7 +113,7 @@ def term_statistics(t: Tables) -> DataFrame:
 SELECT doc_id, term, count(*) AS tf FROM
  (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY doc_id, term""")
 def postings(t: Tables) -> DataFrame:
-    return R.postings(t.documents, "doc_id", "text")
+    return R.postings(t.documents, "doc_id", "text").select("doc_id", "term", "tf")
 
 
 @query(f"SELECT * FROM {_dense(0, 50)}")

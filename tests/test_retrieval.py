@@ -67,7 +67,9 @@ def test_stored_index_ranks_like_the_scan(spark, corpus, tmp_path):
     R.write_index(df, "id", "text", str(tmp_path / "index"), buckets=3)
     for query in ("gamma delta", "the of alpha", "absent"):
         scan = R.bm25_top_k(df, "id", "text", query).collect()
-        assert R.index_top_k(spark, str(tmp_path / "index"), "id", query).collect() == scan
+        for literals in (1, 2000):
+            found = R.index_top_k(spark, str(tmp_path / "index"), "id", query, max_literals=literals)
+            assert found.collect() == scan
 
 
 def test_stemmed_index_counts_forms_as_one_term(spark, rows, tmp_path):

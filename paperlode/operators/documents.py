@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions import text as T
+from paperlode.operators.once import computed_once
 
 # Type by URI scheme, then by file extension.
 TYPE_BY_SCHEME = {"mailto": "email", "tel": "call", "sms": "message"}
@@ -20,8 +21,10 @@ def byte_chunks(df: DataFrame, row_id: str, text: str, size: int = 8192) -> Data
     Chunks are hashed inside the row and only the small structs are exploded, so the text is not
     copied once per chunk and nothing is shuffled.
     """
-    raw = F.encode(F.col(text), "UTF-8")
-    count = F.ceil(F.octet_length(F.col(text)) / size).cast("int")
+    # Encoded once per text; inside the lambda it would be encoded once per chunk.
+    encoded = computed_once(df, [row_id], {"raw": F.encode(F.col(text), "UTF-8")})
+    raw = F.col("raw")
+    count = F.ceil(F.octet_length(raw) / size).cast("int")
     parts = F.transform(
         F.when(count > 0, F.sequence(F.lit(0), count - 1)),
         lambda i: F.struct(
@@ -39,7 +42,7 @@ def byte_chunks(df: DataFrame, row_id: str, text: str, size: int = 8192) -> Data
             F.sha2(p["bytes"], 256).alias("chunk_hash"),
         ),
     )
-    return df.select(F.col(row_id), F.inline(described))
+    return encoded.select(F.col(row_id), F.inline(described))
 
 
 def html_sections(df: DataFrame, row_id: str, html: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlode.functions.hashing import sha256_bytes, sha256_hex
+from paperlode.operators.once import computed_once
 from paperlode.operators.ordered import dense_positions, previous_row
 
 GENESIS = "0" * 64
@@ -173,5 +174,5 @@ def new_content(incoming: DataFrame, stored: DataFrame, row_id: str, content: Co
 
     Both sides are reduced to distinct digests before the anti join, so copies cannot skew it.
     """
-    known = stored.select(sha256_hex(content).alias("content_hash")).distinct()
+    known = computed_once(stored, [], {"content_hash": sha256_hex(content)}).distinct()
     return content_groups(incoming, row_id, content).join(known, "content_hash", "left_anti")

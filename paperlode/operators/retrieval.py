@@ -258,8 +258,11 @@ def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int =
     words = df.sparkSession.read.parquet(f"{path}/postings").select("bucket", "term").distinct()
     stems = words.select("bucket", "term", stem(F.col("term")).alias("stem"))
     stems.repartitionByRange("stem", "term").sortWithinPartitions("stem").write.parquet(f"{path}/words")
-    lengths = df.select(_count(tokens(F.col(text))).alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/totals")
+    # The postings know the number of words, so the texts are not read again for their lengths.
+    n = df.count()
+    all_words = df.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    totals = all_words.select(F.lit(n).cast("bigint").alias("n"), (F.col("words") / F.lit(max(n, 1))).alias("avgdl"))
+    totals.write.parquet(f"{path}/totals")
 
 
 # Word forms of one query that are passed on as literals; more than this many are joined instead.

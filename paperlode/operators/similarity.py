@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions.text import set_similarity, sound_key, trigrams
+from paperlode.operators.once import computed_once
+from paperlode.session import shared_dir
 
 
 def distinct_names(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +48,8 @@ def similarity_join(df: DataFrame, name: str, threshold: float) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sets = df.select(F.col(name).alias("name")).distinct().withColumn("grams", trigrams(F.col("name")))
-    sets = sets.where(F.size("grams") > 0)
+    names = df.select(F.col(name).alias("name")).distinct()
+    sets = computed_once(names, ["name"], {"grams": trigrams(F.col("name"))}).where(F.size("grams") > 0)
     members = sets.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     rarity = members.groupBy("gram").agg(F.count("*").alias("freq"))
     by_rarity = members.join(rarity, "gram").groupBy("name", "n").agg(
@@ -58,6 +60,10 @@ def similarity_join(df: DataFrame, name: str, threshold: float) -> DataFrame:
         "name", "n", F.col("ranked.gram").alias("grams"),
         F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int").alias("p"),
     )
+    # Four branches read these rows, so they are stored once in the shared folder.
+    path = shared_dir(df.sparkSession, "names")
+    sized.write.parquet(path)
+    sized = df.sparkSession.read.parquet(path)
     single = sized.select("name", "n", "p", F.explode(F.slice("grams", 1, F.col("n") - F.col("p") + 1)).alias("key"))
     double = (
         sized.where("p >= 2")

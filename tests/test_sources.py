@@ -1,6 +1,8 @@
 """File sources, sinks, the shared folder, and streaming ingest."""
 
 import hashlib
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,14 @@ def test_watermark_dedup(spark, feed):
     stream = SI.first_seen(SI.stream_table(spark, str(tmp_path / "in"), "events"), ["event_id"], "ts", "10 minutes")
     SI.run_to_table(stream, str(tmp_path / "out")).awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out" / "data")).collect()) == [1, 2]
+
+
+def test_helpers_travel_without_the_package(tmp_path):
+    from pyspark import cloudpickle
+
+    from paperlode.functions.stemming import stem_word
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(stem_word))
+    code = "import pickle; print(pickle.load(open('f.pkl', 'rb'))('motoring'))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={})
+    assert out.stdout.strip() == "motor", out.stderr

@@ -47,6 +47,8 @@ def main() -> None:
         master=f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="12g",
+        # The default of 64 MB would put this small data into one write task.
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="4m",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

@@ -21,6 +21,14 @@ DOLLARS = r"\$ ?([0-9][0-9,]*(?:\.[0-9]{2})?)"
 USD_BEFORE = r"USD ?([0-9][0-9,]*(?:\.[0-9]{2})?)"
 USD_AFTER = r"([0-9][0-9,]*(?:\.[0-9]{2})?) USD"
 SERIAL_ID = r"[A-Z]{2,8}[-_ ]?[0-9]{4,10}"
+# Forms of United States legal citation in general use, most specific first: kind and pattern.
+LEGAL_FORMS = [
+    ("code", r"[0-9]{1,2} U\.S\.C\. §+ ?[0-9]+[a-z]*(?:-[0-9]+)?"),
+    ("regulation", r"[0-9]{1,2} C\.F\.R\. §+ ?[0-9]+(?:\.[0-9]+)?"),
+    ("opinion", r"[0-9]{1,4} (?:U\.S\.|S\. Ct\.|F\.2d|F\.3d|F\. Supp\.) [0-9]{1,5}"),
+    ("docket", r"[0-9]:[0-9]{2}-(?:cv|cr|mc|bk)-[0-9]{3,6}"),
+    ("section", r"§+ ?[0-9]+[a-z]*(?:[.-][0-9]+)?"),
+]
 WORD = r"[a-z0-9]+"
 # Fixed value: words that turn a statement into its denial.
 NEGATIONS = ["cannot", "neither", "never", "no", "nobody", "none", "nor", "not", "nothing", "without"]

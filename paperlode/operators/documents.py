@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions import text as T
+from paperlode.operators.integrity import new_content
 from paperlode.operators.once import computed_once
 
 # Type by URI scheme, then by file extension.
@@ -186,6 +187,56 @@ def merged_finds(df: DataFrame, row_id: str, text: str, extractors: list[tuple[s
     return first_by_precedence(rows, [row_id, "value"], "rank").select(row_id, "value", "kind")
 
 
+def legal_references(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(id, reference, kind): legal citations, each canonical form once per text.
+
+    The canonical form has single spaces and one section sign. A bare section is dropped where a longer
+    citation of the same text ends with it.
+    """
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(
+            T.matches(F.col(text), pattern),
+            lambda m: F.struct(
+                F.regexp_replace(F.regexp_replace(m, "§+ ?", "§ "), " +", " ").alias("reference"),
+                F.lit(kind).alias("kind"),
+            ),
+        )
+
+    *longer, section = T.LEGAL_FORMS
+    found = computed_once(
+        df,
+        [row_id],
+        {
+            "longer": F.array_distinct(F.concat(*[of_kind(*form) for form in longer])),
+            "bare": F.array_distinct(of_kind(*section)),
+        },
+    )
+    free = F.filter("bare", lambda b: ~F.exists("longer", lambda a: F.endswith(a["reference"], b["reference"])))
+    return found.select(row_id, F.inline(F.concat("longer", free)))
+
+
+def docket_year(reference: Column, pivot: int) -> Column:
+    """Four-digit year of a docket reference; two digits below `pivot` belong to this century."""
+    year = F.regexp_extract(reference, r"^[0-9]:([0-9]{2})-", 1).try_cast("int")
+    return F.when(year < pivot, year + 2000).otherwise(year + 1900)
+
+
+def intake(incoming: DataFrame, stored: DataFrame, row_id: str, text: str, chunk_size: int = 8192) -> DataFrame:
+    """Contents that the store lacks, one row each: digest, copies, chunks, and entities found.
+
+    The stages only compose lazy DataFrames: identify, keep what is new, chunk and extract. Everything
+    after the first stage runs on one row per new content.
+    """
+    fresh = new_content(incoming, stored, row_id, F.col(text)).withColumnRenamed("first_id", row_id)
+    chunks = F.ceil(F.octet_length(F.col(text)) / chunk_size).cast("bigint")
+    entities = F.size(T.matches(F.col(text), T.EMAIL)) + F.size(T.matches(F.col(text), T.PHONE))
+    described = incoming.select(
+        row_id, chunks.alias("n_chunks"), T.word_count(F.col(text)).alias("n_words"), entities.alias("n_entities")
+    )
+    return fresh.join(described, row_id)
+
+
 def first_by_precedence(found: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """One row per key: the one from the extractor with the lowest rank.
 

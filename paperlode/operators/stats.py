@@ -19,6 +19,19 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def key_uniqueness(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(table_name, n_rows, n_keys, is_unique) per table and its key columns."""
+
+    def check(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
+        per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
+        totals = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys"))
+        return totals.select(
+            F.lit(name).alias("table_name"), "n_rows", "n_keys", (F.col("n_rows") == F.col("n_keys")).alias("is_unique")
+        )
+
+    return union_all([check(name, *spec) for name, spec in tables.items()])
+
+
 def facet_counts(df: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """(facet, value, n): counters over several facets in one pass; a null value is not counted."""
     pairs = F.array(

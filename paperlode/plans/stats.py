@@ -22,6 +22,36 @@ def table_counts(t: Tables) -> DataFrame:
     return S.row_counts({name: getattr(t, name) for name in SCHEMAS})
 
 
+_KEYS = {
+    "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "part": ["p_name"],
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT ({', '.join(k)})) AS n_keys, "
+        f"count(*) = count(DISTINCT ({', '.join(k)})) AS is_unique FROM {n}"
+        for n, k in _KEYS.items()
+    )
+)
+def key_uniqueness(t: Tables) -> DataFrame:
+    return S.key_uniqueness({name: (getattr(t, name), keys) for name, keys in _KEYS.items()})
+
+
+@query("""
+SELECT 'both' AS side, doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels)""")
+def labelled_and_not(t: Tables) -> DataFrame:
+    english, labelled = t.documents.where("lang = 'en'").select("doc_id"), t.labels.select("doc_id")
+    both = english.intersect(labelled).select(F.lit("both").alias("side"), "doc_id")
+    return both.unionByName(english.subtract(labelled).select(F.lit("unlabelled").alias("side"), "doc_id"))
+
+
 @query(r"""
 WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
 f AS (SELECT 'lang' AS facet, lang AS value FROM d UNION ALL SELECT 'source', source FROM d

@@ -191,3 +191,45 @@ p AS (SELECT l.name AS left_name, r.name AS right_name, round(len(list_intersect
 SELECT * FROM p WHERE similarity >= 0.4""")
 def similar_name_pairs(t: Tables) -> DataFrame:
     return S.similarity_join(t.part, "p_name", 0.4)
+
+
+_CITED_SQL = """cited AS (SELECT o_orderkey, 'See ' || (o_custkey % 50 + 1) || ' U.S.C. §§ ' || o_orderkey || ', and ' || (o_custkey % 900 + 1)
+  || ' F.3d ' || (o_orderkey % 5000) || '; § ' || o_orderkey || ' and § ' || (o_orderkey + 1) || ', No. 2:' || lpad((o_orderkey % 100)::VARCHAR, 2, '0')
+  || '-cv-' || lpad((o_custkey % 1000)::VARCHAR, 5, '0') || '.' AS text FROM orders)"""
+
+
+def _cited(t: Tables) -> DataFrame:
+    """A sentence with citations per order, as the documents hold none."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select(
+        "o_orderkey",
+        F.format_string(
+            "See %d U.S.C. §§ %d, and %d F.3d %d; § %d and § %d, No. 2:%02d-cv-%05d.",
+            customer % 50 + 1, key, customer % 900 + 1, key % 5000, key, key + 1, key % 100, customer % 1000,
+        ).alias("text"),
+    )
+
+
+@query(f"""
+WITH {_CITED_SQL}
+SELECT o_orderkey, regexp_extract(text, '[0-9]+ U[^,]*') .replace('§§', '§') AS reference, 'code' AS kind, NULL::INT AS year FROM cited
+UNION ALL SELECT o_orderkey, regexp_extract(text, '[0-9]+ F.3d [0-9]+'), 'opinion', NULL FROM cited
+UNION ALL SELECT o_orderkey, '§ ' || (o_orderkey + 1), 'section', NULL FROM cited
+UNION ALL SELECT o_orderkey, regexp_extract(text, '2:[0-9]+-cv-[0-9]+'), 'docket',
+  (o_orderkey % 100 + CASE WHEN o_orderkey % 100 < 70 THEN 2000 ELSE 1900 END)::INT FROM cited""")
+def cited_references(t: Tables) -> DataFrame:
+    found = D.legal_references(_cited(t), "o_orderkey", "text")
+    return found.withColumn("year", F.when(F.col("kind") == "docket", D.docket_year(F.col("reference"), 70)))
+
+
+@query(f"""
+WITH stored AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+fresh AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents
+  WHERE sha256(text) NOT IN (SELECT h FROM stored) GROUP BY 1)
+SELECT doc_id, content_hash, n_copies, ((octet_length(encode(text)) + 8191) // 8192)::BIGINT AS n_chunks,
+  len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS n_words, len({_all("text", T.EMAIL)}) + len({_all("text", T.PHONE)}) AS n_entities
+FROM fresh JOIN documents USING (doc_id)""")
+def intake(t: Tables) -> DataFrame:
+    """Labelled documents count as stored; the others are identified, reduced to new contents and described."""
+    stored = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    return D.intake(t.documents, stored, "doc_id", "text")

@@ -150,3 +150,28 @@ def test_name_key_and_trigrams(spark, names):
         assert r.k == key
         grams = {f"  {w} "[j : j + 3] for w in key.split(" ") if w for j in range(len(w) + 1)}
         assert set(r.g) == grams and len(r.g) == len(grams)
+
+
+def test_legal_references(rows):
+    text = (
+        "Under 42 U.S.C. §§ 1983 and 42 U.S.C. § 1983, 29 C.F.R. § 1604.11, 410 U.S. 113, No. 2:98-cv-00123; "
+        "see § 1983 and §77 and § 77."
+    )
+    df = rows([(1, text), (2, "nothing"), (3, None)], "id int, text string")
+    got = {(r.id, r.reference, r.kind) for r in D.legal_references(df, "id", "text").collect()}
+    assert got == {
+        (1, "42 U.S.C. § 1983", "code"), (1, "29 C.F.R. § 1604.11", "regulation"), (1, "410 U.S. 113", "opinion"),
+        (1, "2:98-cv-00123", "docket"), (1, "§ 77", "section"),
+    }
+
+
+@pytest.mark.parametrize(("reference", "year"), [("2:98-cv-00123", 1998), ("1:24-cr-5", 2024), ("x", None)])
+def test_docket_year(rows, reference, year):
+    assert rows([(reference,)], "r string").select(D.docket_year(F.col("r"), 70)).first()[0] == year
+
+
+def test_intake_describes_new_contents_only(rows):
+    incoming = rows([(5, "a@b.org x"), (4, "a@b.org x"), (6, "known"), (7, "")], "id bigint, text string")
+    stored = rows([(1, "known")], "id bigint, text string")
+    got = {r.id: (r.n_copies, r.n_chunks, r.n_words, r.n_entities) for r in D.intake(incoming, stored, "id", "text", 4).collect()}
+    assert got == {4: (2, 3, 2, 1), 7: (1, 0, 0, 0)}

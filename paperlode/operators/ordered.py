@@ -30,7 +30,8 @@ def order_splits(df: DataFrame, position: Column, n_blocks: int | None = None) -
     values = df.select(position.cast("double").alias("p")).where("p IS NOT NULL")
     shares = [i / n_blocks for i in range(1, n_blocks)]
     cuts = values.approxQuantile("p", shares, 1.0 / (2 * n_blocks)) if shares else []
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+    # Without rows any cut point will do; there must be one.
+    return [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
 
 
 def with_block(df: DataFrame, position: Column, splits: Sequence[float]) -> DataFrame:

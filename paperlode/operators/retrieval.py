@@ -255,16 +255,24 @@ def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int =
         .parquet(f"{path}/postings")
     )
     # Each distinct word is stemmed once, so the stemmer never sees running text.
-    words = df.sparkSession.read.parquet(f"{path}/postings").select("bucket", "term").distinct()
+    id_type = df.schema[row_id].dataType.simpleString()
+    stored = _stored_postings(df.sparkSession, path, row_id, id_type)
+    words = stored.select("bucket", "term").distinct()
     stems = words.select("bucket", "term", stem(F.col("term")).alias("stem"))
     stems.repartitionByRange("stem", "term").sortWithinPartitions("stem").write.parquet(f"{path}/words")
     # The postings know the number of words, so the texts are not read again for their lengths.
     n = df.count()
-    all_words = df.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
-    totals = all_words.select(F.lit(n).cast("bigint").alias("n"), (F.col("words") / F.lit(max(n, 1))).alias("avgdl"))
+    all_words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    avgdl = F.col("words") / F.lit(max(n, 1))
+    totals = all_words.select(F.lit(n).cast("bigint").alias("n"), avgdl.alias("avgdl"), F.lit(id_type).alias("id_type"))
     totals.write.parquet(f"{path}/totals")
 
 
+def _stored_postings(spark: SparkSession, path: str, row_id: str, id_type: str) -> DataFrame:
+    schema = f"`{row_id}` {id_type}, dl int, term string, tf bigint, bucket int"
+    return spark.read.schema(schema).parquet(f"{path}/postings")
+
+
 # Word forms of one query that are passed on as literals; more than this many are joined instead.
 MAX_LITERAL_FORMS = 2000
 
@@ -287,12 +295,14 @@ def index_top_k(
     """
     terms = query_terms(query, stop_words)
     stems = sorted({stem_word(t) for t in terms})
-    words = spark.read.parquet(f"{path}/words").where(F.col("stem").isin(*stems))
+    totals = spark.read.parquet(f"{path}/totals").first()
+    dictionary = spark.read.schema("bucket int, term string, stem string").parquet(f"{path}/words")
+    words = dictionary.where(F.col("stem").isin(*stems))
     if stemmed:
         words = words.select("bucket", "term", F.col("stem").alias("label"))
     else:
         words = words.where(F.col("term").isin(*terms)).select("bucket", "term", F.col("term").alias("label"))
-    stored = spark.read.parquet(f"{path}/postings")
+    stored = _stored_postings(spark, path, row_id, totals.id_type)
     forms = words.limit(max_literals + 1).collect()
     if len(forms) <= max_literals:
         stored = stored.where(F.col("bucket").isin(*{f.bucket for f in forms}) & F.col("term").isin(*[f.term for f in forms]))
@@ -301,13 +311,11 @@ def index_top_k(
     else:
         hits = stored.join(words, ["bucket", "term"])
     hits = hits.groupBy(row_id, "dl", "label").agg(F.sum("tf").alias("tf"))
-    # One row of totals, and one row per query term.
-    totals = spark.read.parquet(f"{path}/totals").limit(1)
+    # The frequencies have one row per query term.
     frequency = hits.groupBy("label").agg(F.count("*").alias("df"))
-    part = _bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"), _idf(F.col("n"), F.col("df")))
+    part = _bm25_part(F.col("tf"), F.col("dl"), F.lit(totals.avgdl), _idf(F.lit(totals.n), F.col("df")))
     scored = (
         hits.join(F.broadcast(frequency), "label")
-        .join(F.broadcast(totals))
         .groupBy(row_id)
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )

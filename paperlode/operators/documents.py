@@ -17,7 +17,7 @@ _HEADING_MARK = "\x01"
 
 
 def byte_chunks(df: DataFrame, row_id: str, text: str, size: int = 8192) -> DataFrame:
-    """(id, chunk_no, byte_offset, byte_size, chunk_hash) of fixed-size chunks; empty text has none.
+    """(id, chunk_id, chunk_no, byte_offset, byte_size, chunk_hash) of fixed-size chunks; empty text has none.
 
     Chunks are hashed inside the row and only the small structs are exploded, so the text is not
     copied once per chunk and nothing is shuffled.
@@ -43,7 +43,9 @@ def byte_chunks(df: DataFrame, row_id: str, text: str, size: int = 8192) -> Data
             F.sha2(p["bytes"], 256).alias("chunk_hash"),
         ),
     )
-    return encoded.select(F.col(row_id), F.inline(described))
+    parts = encoded.select(F.col(row_id), F.inline(described))
+    chunk_id = F.format_string("%s-%06d", F.col(row_id).cast("string"), F.col("chunk_no"))
+    return parts.select(row_id, chunk_id.alias("chunk_id"), "chunk_no", "byte_offset", "byte_size", "chunk_hash")
 
 
 def html_sections(df: DataFrame, row_id: str, html: str) -> DataFrame:

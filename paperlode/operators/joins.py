@@ -24,6 +24,11 @@ def left_join_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str)
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
+def not_listed(value: Column, listed: Column) -> Column:
+    """SQL's `value NOT IN (...)` over an array. A null in the array makes the test null, never true."""
+    return ~F.array_contains(listed, value)
+
+
 def missing_references(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """(missing_key, n_rows): keys that rows of `child` point to and `parent` lacks; null keys point nowhere."""
     used = child.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("missing_key")).agg(F.count("*").alias("n_rows"))

@@ -71,7 +71,7 @@ _CHUNK = 256
 @query(f"""
 WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
 c AS (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + {_CHUNK - 1}) // {_CHUNK})) AS i FROM b)
-SELECT doc_id, i::INT AS chunk_no, (i * {_CHUNK})::BIGINT AS byte_offset,
+SELECT doc_id, doc_id || '-' || lpad(i::VARCHAR, 6, '0') AS chunk_id, i::INT AS chunk_no, (i * {_CHUNK})::BIGINT AS byte_offset,
   (length(substring(h, i * {2 * _CHUNK} + 1, {2 * _CHUNK})) // 2)::INT AS byte_size,
   sha256(unhex(substring(h, i * {2 * _CHUNK} + 1, {2 * _CHUNK}))) AS chunk_hash FROM c""")
 def byte_chunks(t: Tables) -> DataFrame:

@@ -126,7 +126,7 @@ def surface_forms(t: Tables) -> DataFrame:
     aliases = used.groupBy("p_brand").agg(F.array(F.min("p_name"), F.max("p_name")).alias("aliases"))
     return (
         used.join(aliases, "p_brand")
-        .where(~F.array_contains("aliases", F.col("p_name")))
+        .where(J.not_listed(F.col("p_name"), F.col("aliases")))
         .select("p_brand", F.col("p_name").alias("surface_form"), "n_rows")
     )
 

@@ -77,6 +77,7 @@ def test_mask_many_and_nested_values(rows):
 def test_byte_chunks(samples, size):
     got = {}
     for r in D.byte_chunks(samples, "id", "text", size).orderBy("id", "chunk_no").collect():
+        assert r.chunk_id == f"{r.id}-{r.chunk_no:06d}"
         got.setdefault(r.id, []).append((r.chunk_no, r.byte_offset, r.byte_size, r.chunk_hash))
     for i, text in enumerate(SAMPLES):
         raw = text.encode()

@@ -42,6 +42,12 @@ def test_missing_references_ignore_null(rows):
     assert [tuple(r) for r in J.missing_references(child, "k", parent, "p").collect()] == [(1, 2)]
 
 
+def test_not_listed_follows_sql(rows):
+    df = rows([("a", ["a"]), ("b", ["a"]), ("c", ["a", None]), ("d", []), (None, ["a"])], "v string, l array<string>")
+    got = [r.ok for r in df.select(J.not_listed(F.col("v"), F.col("l")).alias("ok")).collect()]
+    assert got == [False, True, None, True, None]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_similarity_join_is_exact(rows, threshold):
     rng = random.Random(6)

@@ -239,7 +239,7 @@ def term_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int = 64) -> None:
-    """Store postings split by term bucket and sorted by term, a dictionary sorted by stem, and the totals.
+    """Store postings split by term bucket and sorted by term, a dictionary with files sorted by stem, and totals.
 
     A lookup then reads the few buckets of its words and skips row groups by term statistics. Postings
     carry the text length, so that scoring joins nothing of the collection's size. The rebalance hint lets
@@ -259,7 +259,7 @@ def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int =
     stored = _stored_postings(df.sparkSession, path, row_id, id_type)
     words = stored.select("bucket", "term").distinct()
     stems = words.select("bucket", "term", stem(F.col("term")).alias("stem"))
-    stems.repartitionByRange("stem", "term").sortWithinPartitions("stem").write.parquet(f"{path}/words")
+    stems.sortWithinPartitions("stem").write.parquet(f"{path}/words")
     # The postings know the number of words, so the texts are not read again for their lengths.
     n = df.count()
     all_words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))

@@ -13,6 +13,7 @@ from paperlode.session import shared_dir
 SHINGLE_WORDS, NEAR_COPY = 5, 0.8
 #: A word is a run of ASCII letters and digits and of all characters beyond ASCII.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -33,5 +34,6 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text in order; null has none. Splitting leaves at most two empty ends, which go."""
-    return F.filter(F.split(ascii_lower(text_or_empty(text)), NON_WORD), lambda w: w != "")
+    """The words of a text in order; null has none."""
+    inner = F.btrim(ascii_lower(text_or_empty(text)), F.lit(SEPARATORS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, NON_WORD))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlode.llm import exact_dedup, token_counts
+from paperlode.llm import decontaminate, exact_dedup, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -18,6 +18,22 @@ def query(sql: str | None = None):
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+@query("""
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to
+FROM f
+""")
+def op2_warc_revisits(t: Tables):
+    """Archives of all pages, with repeated payloads as revisits, read back."""
+    return warc.archive_and_resolve(t.pages, min_bytes=100)
+
 
 @query(f"""
 WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
@@ -37,3 +53,33 @@ def op10_token_counts(t: Tables):
 
     definition = token_counts.read_definition(t.spark, "file://" + public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.token_counts(t.documents, definition)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM benchmark),
+     s AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+           FROM b WHERE len(w) > 0),
+     bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM s),
+     lengths AS (SELECT DISTINCT n FROM bw),
+     e AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n),
+     h AS (SELECT doc_id, i, n, item_id
+           FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM e) JOIN bw USING (n, g)),
+     hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h)
+             GROUP BY doc_id),
+     found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+               FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+""")
+def op5_decontaminate(t: Tables):
+    """Benchmark words in documents, by windows of 13."""
+    return decontaminate.contamination(t.documents, t.benchmark, window=13, one_in=20)
+
+
+@query()
+def op7_secret_scan(t: Tables):
+    """Credential patterns and strings of high entropy; tested against a brute-force scan."""
+    return secrets.scan_secrets(t.documents)

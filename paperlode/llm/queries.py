@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlode.llm import decontaminate, exact_dedup, secrets, token_counts, warc
+from paperlode.llm import decontaminate, exact_dedup, html_text, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,15 @@ def op5_decontaminate(t: Tables):
 def op7_secret_scan(t: Tables):
     """Credential patterns and strings of high entropy; tested against a brute-force scan."""
     return secrets.scan_secrets(t.documents)
+
+
+@query()
+def op1_quality_classifier(t: Tables):
+    """Score of every document; tested by held-out accuracy."""
+    return quality.score(t.documents, quality.fit(t.documents, t.labels), threshold=0.3)
+
+
+@query()
+def op6_html_text(t: Tables):
+    """Main text of every page; tested against pages whose text is known."""
+    return html_text.extract_text(t.pages)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlode.llm import decontaminate, exact_dedup, html_text, quality, secrets, token_counts, warc
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,10 @@ def op1_quality_classifier(t: Tables):
 def op6_html_text(t: Tables):
     """Main text of every page; tested against pages whose text is known."""
     return html_text.extract_text(t.pages)
+
+
+@query()
+def op8_chosen_path_join(t: Tables):
+    """Near copies: class and number of links of every document; tested against brute force."""
+    found = chosen_path.similar_documents(t.documents)
+    return found.select("doc_id", "class_id", "n_links")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, quality, secrets, token_counts, warc
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, mixing, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,9 @@ def op8_chosen_path_join(t: Tables):
     """Near copies: class and number of links of every document; tested against brute force."""
     found = chosen_path.similar_documents(t.documents)
     return found.select("doc_id", "class_id", "n_links")
+
+
+@query()
+def op9_source_mixing(t: Tables):
+    """Copies of every document when the weights have 95 % of the highest entropy and spend as many tokens as there are."""
+    return mixing.mix_report(t.documents, mixing.plan(t.documents, entropy_share=0.95, spent_passes=1.0))

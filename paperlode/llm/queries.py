@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, mixing, quality, secrets, token_counts, warc
+from pyspark.sql import functions as F
+
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, licenses, mixing, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -108,3 +110,10 @@ def op8_chosen_path_join(t: Tables):
 def op9_source_mixing(t: Tables):
     """Copies of every document when the weights have 95 % of the highest entropy and spend as many tokens as there are."""
     return mixing.mix_report(t.documents, mixing.plan(t.documents, entropy_share=0.95, spent_passes=1.0))
+
+
+@query()
+def op4_license_scan(t: Tables):
+    """Licence of every document; its path is source, language and id. Tested against brute force."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.license_scan(t.documents, path)

@@ -1,9 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
 The index stores, for every term that a benchmark item uses, its postings (row, position) in the training
-texts. A window of an item is looked up from its rarest term: each posting of that term says where the item
-would have to start in the text. At these places alone the lists of the other terms are intersected after
-subtracting their offsets, and runs of agreeing offsets are the exact phrases.
+texts. A window of an item is looked up from its rarest terms: a posting less the term's offset says where the
+item would have to start in the text, and only places that the lists of the rarest terms share go on. At these
+the lists of the other terms are intersected in the same way, and runs of agreeing offsets are the exact phrases.
 """
 
 from __future__ import annotations
@@ -48,25 +48,34 @@ def index_documents(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_i
     )
 
 
-def rarest_terms(item_terms: DataFrame, postings: DataFrame, window: int) -> DataFrame:
-    """(item, offset, term_id): the rarest term of every window of every item, each place once.
+def rarest_terms(item_terms: DataFrame, postings: DataFrame, window: int, lists: int) -> DataFrame:
+    """(item, offset, term_id, needed): the rarest terms of every window of every item, each place once.
 
     A window with a term that no text has cannot occur and needs no look-up.
     """
     counted = postings.filter("term_id > 0").groupBy("term_id").agg(F.count("*").alias("postings"))
     rows = item_terms.join(stored(counted, "term-counts"), "term_id", "left").fillna(0, ["postings"])
     ahead = Window.partitionBy("item").orderBy("offset").rowsBetween(0, window - 1)
-    pick = F.min(F.struct("postings", "offset", "term_id")).over(ahead)
+    pick = F.slice(F.sort_array(F.collect_list(F.struct("postings", "offset", "term_id")).over(ahead)), 1, lists)
     starts = F.col("offset") <= F.greatest(F.col("n_item") - window, F.lit(0))
-    picked = rows.select("item", "offset", "n_item", pick.alias("r")).filter(starts).filter("r.postings > 0")
-    return picked.select("item", "r.offset", "r.term_id").distinct()
+    picked = rows.select("item", "offset", "n_item", pick.alias("r")).filter(starts).filter("r[0].postings > 0")
+    return picked.select("item", F.least(F.lit(lists), "n_item").alias("needed"), F.inline("r")).drop("postings").distinct()
 
 
-def alignments(item_terms: DataFrame, postings: DataFrame, window: int) -> DataFrame:
-    """(row, item, shift): where an item would start in a text, by the postings of its rarest terms."""
-    rare = _small(stored(rarest_terms(item_terms, postings, window), "rarest"))
-    found = postings.join(rare, "term_id").select("row", "item", (F.col("pos") - F.col("offset")).alias("shift"))
-    return stored(found.distinct(), "alignments")
+def alignments(item_terms: DataFrame, postings: DataFrame, window: int, lists: int = 3) -> DataFrame:
+    """(row, item, shift): where an item would start in a text, by the postings of its rarest terms.
+
+    Only these lists are intersected here: a window that occurs has all of its `lists` rarest terms in the same
+    alignment, so a place with fewer is no candidate.
+    """
+    rare = _small(stored(rarest_terms(item_terms, postings, window, lists), "rarest"))
+    found = postings.join(rare, "term_id").select(
+        "row", "item", (F.col("pos") - F.col("offset")).alias("shift"), "offset", "needed"
+    )
+    met = found.groupBy("row", "item", "shift").agg(
+        F.size(F.collect_set("offset")).alias("met"), F.first("needed").alias("needed")
+    )
+    return stored(met.filter("met >= needed").drop("met", "needed"), "alignments")
 
 
 def agreeing(item_terms: DataFrame, postings: DataFrame, places: DataFrame) -> DataFrame:

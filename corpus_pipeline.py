@@ -2,14 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from paperlode.llm.common import stored
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, mixing, quality
+from paperlode.llm.common import broadcast_if_small, stored, text_or_empty
+from paperlode.operators.once import computed_once
 from paperlode.sources.tables import load_table
 
-STAGES = []
+#: Documents with a lower score than this are rejected.
+QUALITY = 0.3
+#: No source of the finished mix is used more often than this; the largest is used once.
+REPETITION = 2.0
 
-#: The classifier and the chosen-path join draw on trained weights and seeded splits, which SQL cannot express.
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of `docs` that `decisions` (doc_id, text_hash, kept) keeps, one decision for each row.
+
+    Rows are matched by id and text, null ids included. Keys that are dropped altogether, usually the smaller part, go to
+    the texts, so that no text is shuffled while they are few. Of rows that repeat id and text as many stay as
+    decisions say.
+    """
+    unknown = F.col("doc_id").isNull().alias("keep_unknown")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("keep_id"), unknown]
+    names = ["keep_id", "keep_unknown", "keep_hash"]
+    counted = decisions.select(*key, F.col("text_hash").alias("keep_hash"), F.col("kept").cast("int").alias("kept"))
+    counted = counted.groupBy(*names).agg(F.sum("kept").alias("keep_n"), F.count("*").alias("keep_of"))
+    partly = stored(counted.filter("keep_n < keep_of"), "dropped-keys")
+    columns = docs.columns
+    keyed = docs.select("*", *key, F.xxhash64(text_or_empty(F.col("text"))).alias("keep_hash"))
+    whole = keyed.join(broadcast_if_small(partly.select(*names)), names, "left_anti").select(*columns)
+    some = partly.filter("keep_n > 0").drop("keep_of")
+    if some.isEmpty():
+        return whole
+    line = Window.partitionBy(*names).orderBy("keep_hash")
+    rows = keyed.join(some, names).withColumn("keep_place", F.row_number().over(line)).filter("keep_place <= keep_n")
+    return whole.unionByName(rows.select(*columns))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble does not reject. Each row is judged alone."""
+    model = quality.fit(docs, load_table(spark, sf_dir, "labels"))
+    stats = quality.statistics(text_or_empty(F.col("text")))
+    scored = computed_once(docs, docs.columns, {"quality_statistics": stats})
+    return scored.filter(model.score(F.col("quality_statistics")) >= QUALITY).select(*docs.columns)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal after lower-casing A-Z the row with the largest doc_id stays."""
+    return keep_rows(docs, exact_dedup.exact_dedup(docs, keep="largest"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the smallest doc_id stays."""
+    return keep_rows(docs, chosen_path.similar_documents(docs).withColumnRenamed("first", "kept"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than one in twenty belong to a benchmark window."""
+    named = docs.select(F.struct("doc_id", F.xxhash64(text_or_empty(F.col("text"))).alias("text_hash")).alias("key"), "text")
+    found = decontaminate.contamination(named, load_table(spark, sf_dir, "benchmark"), doc_id="key")
+    return keep_rows(docs, found.select("doc_id.*", (~F.col("contaminated")).alias("kept")))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that a document gets in the mix, with its epoch and its place in the training order."""
+    return mixing.permuted(docs, mixing.plan(docs, repetition=REPETITION))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_duplicates),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+]
+
+#: Trained weights and seeded splits cannot be written as SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

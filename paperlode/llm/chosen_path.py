@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import NEAR_COPY, SHINGLE_WORDS, stored
+from paperlode.llm.common import NEAR_COPY, SHINGLE_WORDS, stored, text_or_empty
 from paperlode.llm.components import components
 
 COORDINATES = 64
@@ -91,7 +91,7 @@ def _tag(sketch: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
 
 
-SETS = "row bigint, doc_id bigint, n int, set_key binary, t0 bigint, t1 bigint, sketch array<int>, packed binary"
+SETS = "row bigint, doc_id bigint, text_hash bigint, n int, set_key binary, t0 bigint, t1 bigint, sketch array<int>, packed binary"
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,6 +112,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_i
                 [
                     batch.column("row"),
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(n, pa.int32()),
                     pa.array(key, pa.binary()),
                     pa.array(t0, pa.int64()),
@@ -119,11 +120,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_i
                     pa.array(sketch, pa.list_(pa.int32())),
                     pa.array(packed, pa.binary()),
                 ],
-                ["row", "doc_id", "n", "set_key", "t0", "t1", "sketch", "packed"],
+                ["row", "doc_id", "text_hash", "n", "set_key", "t0", "t1", "sketch", "packed"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.col(text_col).alias("text"))
+                       F.xxhash64(text_or_empty(F.col(text_col))).alias("text_hash"), F.col(text_col).alias("text"))
     return stored(rows.mapInArrow(build, SETS), "shingle-sets")
 
 
@@ -258,14 +259,14 @@ def _link_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "linked", "other"])
 
 
-def verified_links(reps: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float = NEAR_COPY) -> DataFrame:
+def verified_links(reps: DataFrame, rows: DataFrame, candidates: DataFrame, similarity: float = NEAR_COPY) -> DataFrame:
     """(rep, linked, other): per set the number of rows linked with it, and edges that span the linked sets.
 
     A component is dealt into blocks of bounded size; every pair of blocks is compared in a task of its own.
     """
-    members = components(candidates).withColumnRenamed("node", "rep")
-    held = members.join(reps.select("rep", "copies"), "rep").join(sets.select("rep", "packed"), "rep")
-    held = stored(held, "candidate-sets")
+    members = components(candidates).withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep")
+    members = stored(members, "candidates")
+    held = stored(rows.select(F.col("row").alias("rep"), "packed").join(members, "rep"), "candidate-sets")
     need = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("packed")) / BLOCK_BYTES))
     blocks = stored(held.groupBy("root").agg(need.cast("int").alias("blocks")), "component-blocks")
     dealt = held.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -280,11 +281,12 @@ def verified_links(reps: DataFrame, sets: DataFrame, candidates: DataFrame, simi
 
 def similar_documents(docs: DataFrame, similarity: float = NEAR_COPY, shingle: int = SHINGLE_WORDS, recall: float = 0.999,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, set_key.
+    """One row per input row: doc_id, class_id, n_links, first, and text_hash of the text.
 
     Two rows are linked if the Jaccard similarity of their word shingles is at least `similarity`; `n_links` counts
     the rows linked with a row, copies of its own set included. Rows that are connected by links are a class,
-    whose id is its smallest doc_id (null if none of its rows has an id). A pair at the threshold becomes a
+    whose id is its smallest doc_id (null if none of its rows has an id); the row with that id is `first`, one of
+    them if it repeats. A pair at the threshold becomes a
     candidate with probability `recall`; candidates are compared exactly. Texts of fewer words have one shingle. A
     text without words, null included, is linked with nothing and is a class of its own. Extra columns are ignored.
     """
@@ -292,9 +294,9 @@ def similar_documents(docs: DataFrame, similarity: float = NEAR_COPY, shingle: i
     keys = rows.filter("n > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     reps = stored(keys, "distinct-sets")
     firsts = reps.select("rep").withColumnRenamed("rep", "row")
-    sets = rows.join(firsts, "row").withColumnRenamed("row", "rep")
-    light = stored(sets.select("rep", "t0", "t1", "sketch"), "distinct-sketches")
-    links = verified_links(reps, sets, candidate_edges(light, similarity, recall), similarity)
+    light = rows.select("row", "t0", "t1", "sketch").join(firsts, "row")
+    light = stored(light.withColumnRenamed("row", "rep"), "distinct-sketches")
+    links = verified_links(reps, rows, candidate_edges(light, similarity, recall), similarity)
     linked = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     spanning = links.filter("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
     roots = components(spanning).withColumnRenamed("node", "rep")
@@ -307,9 +309,13 @@ def similar_documents(docs: DataFrame, similarity: float = NEAR_COPY, shingle: i
         "set-classes",
     )
     # texts without words have no set to share; each is its own class
-    with_words = rows.filter("n > 0").select("row", "doc_id", "set_key").join(known, "set_key")
-    ids = stored(with_words.groupBy("root").agg(F.min("doc_id").alias("class_id")), "class-ids")
-    return with_words.join(ids, "root").select("doc_id", "class_id", "n_links", "set_key", "row").unionByName(
-        rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
-                                    "set_key", "row")
+    with_words = rows.filter("n > 0").select("row", "doc_id", "text_hash", "set_key").join(known, "set_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    firsts = stored(with_words.groupBy("root").agg(first), "class-firsts")
+    found = with_words.join(firsts, "root").select(
+        "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("first.row") == F.col("row")).alias("first"),
+        "text_hash"
     )
+    alone = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"),
+                                        F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("first"), "text_hash")
+    return found.unionByName(alone)

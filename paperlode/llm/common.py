@@ -11,6 +11,8 @@ from paperlode.session import shared_dir
 
 #: Two texts with as many words in common as this are near copies: shingles of five words, Jaccard 0.8.
 SHINGLE_WORDS, NEAR_COPY = 5, 0.8
+#: A table goes to every executor only if it has been counted and has at most so many rows (of some 40 bytes).
+BROADCAST_ROWS = 500_000
 #: A word is a run of ASCII letters and digits and of all characters beyond ASCII.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
@@ -24,6 +26,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if a count proves that it has at most `BROADCAST_ROWS` rows, all of them narrow;
+    larger tables are left to a shuffle. A stored table is counted from its footers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

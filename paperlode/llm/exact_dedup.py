@@ -37,7 +37,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     run = F.pmod(F.spark_partition_id(), F.lit(RUNS))
     return (
         docs.select(F.col(id_col).alias("doc_id"), _lowered_sha256(text).alias("digest"),
-                    F.octet_length(text).alias("n_bytes"))
+                    F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("text_hash"))
         .withColumn("checksum", F.crc32("digest"))
         .select("*", F.monotonically_increasing_id().alias("row"), run.alias("run"),
                 F.pmod(F.xxhash64("digest"), F.lit(SHARDS)).cast("int").alias("shard"))
@@ -70,7 +70,7 @@ def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = 8) -> D
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and text_hash of the text as it is.
 
     Texts are equal when they agree after lower-casing A-Z; null equals the empty text. `keep` chooses the smallest
     or the largest id. Of rows that repeat both id and text exactly one is kept; rows without an id are kept
@@ -85,4 +85,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("copies").alias("group_size"),
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )

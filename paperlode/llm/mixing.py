@@ -14,15 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import stored, text_or_empty
+from paperlode.llm.common import broadcast_if_small, stored, text_or_empty
 
 SEED = 9
 #: Documents of a block, about.
 BLOCK_DOCS = 4_096
 #: Exponents tried in one pass over the sources: fifteen inner points do the work of four bisections.
 POINTS, PASSES = 15, 10
-#: A table of sources or blocks goes to every executor only if a count shows that it has at most so many rows.
-BROADCAST_ROWS = 500_000
 
 
 def token_count(text: Column) -> Column:
@@ -137,50 +135,48 @@ def plan(docs: DataFrame, entropy_share: float | None = None, repetition: float
     last = taken.filter("before + tokens > rest").select("source", "block", "before")
     inside = Window.partitionBy("source", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     mine = placed.alias("r").join(
-        _small(last).alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))
+        broadcast_if_small(last).alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))
     ).select("r.source", "r.block", "rest", "tokens", "key", "before")
     run = F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     cuts = mine.withColumn("run", run).filter("run < rest").groupBy("source", "block").agg(F.max("key").alias("cut"))
     return Mix(a, float(spent), sources, stored(whole.unionByName(cuts), "mix-cuts"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     renamed = sources.select(F.col("source").alias("mix_source"), "weight", "passes", "rest", "blocks")
-    return rows.join(_small(renamed), F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+    return rows.join(broadcast_if_small(renamed), F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
 
 
 def realise(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs` with the columns mix_weight, mix_block and mix_copies (0 or more). Nothing is shuffled as long
+    """The rows of `docs` with the columns mix_weight, mix_block and mix_copies (0 or more); columns of `docs` whose
+    names start with mix_ give way to them. Nothing is shuffled as long
     as the plan is small; a plan beyond that size is joined by a shuffle."""
-    kept = docs.columns
+    kept = [c for c in docs.columns if not c.startswith("mix_")]
+    docs = docs.select(*kept)
     plan_columns = mix.sources.select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"),
                                       F.col("passes").alias("mix_passes"), F.col("blocks").alias("mix_blocks"))
-    rows = docs.join(_small(plan_columns), F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
+    rows = docs.join(broadcast_if_small(plan_columns), F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
     rows = rows.withColumn("mix_hash", F.xxhash64(text_or_empty(F.col(text_col))))
     rows = rows.withColumn("mix_block", _block(F.col("mix_blocks"), id_col, "mix_hash"))
-    cuts = mix.blocks.select(F.col("source").alias("cut_source"), F.col("block").alias("cut_block"), "cut")
+    cuts = mix.blocks.select(F.col("source").alias("mix_cut_source"), F.col("block").alias("mix_cut_block"), F.col("cut").alias("mix_cut"))
     rows = rows.join(
-        _small(cuts), F.col(source_col).eqNullSafe(F.col("cut_source")) & (F.col("mix_block") == F.col("cut_block")), "left"
+        broadcast_if_small(cuts), F.col(source_col).eqNullSafe(F.col("mix_cut_source")) & (F.col("mix_block") == F.col("mix_cut_block")), "left"
     )
-    more = F.when(F.col("cut").isNotNull() & (_key(id_col, "mix_hash") <= F.col("cut")), 1).otherwise(0)
+    more = F.when(F.col("mix_cut").isNotNull() & (_key(id_col, "mix_hash") <= F.col("mix_cut")), 1).otherwise(0)
     return rows.select(*kept, "mix_weight", "mix_block", (F.col("mix_passes") + more).alias("mix_copies"))
 
 
 def permuted(docs: DataFrame, mix: Mix, **names: str) -> DataFrame:
-    """One row per copy, with epoch (from 0) and the places of its block and of itself in the permutation of that
-    epoch. Sorting by (epoch, block_place, place) gives the training order."""
+    """One row per copy, with mix_epoch (from 0) and the places of its block and of itself in the permutation of that
+    epoch. Sorting by (mix_epoch, mix_block_place, mix_place) gives the training order."""
     rows = realise(docs, mix, **names).filter("mix_copies > 0")
-    copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("epoch"))
+    copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_epoch"))
     id_col = names.get("id_col", "doc_id")
     return copies.select(
-        *docs.columns,
-        "epoch",
-        F.xxhash64(F.lit(SEED), "epoch", names.get("source_col", "source"), "mix_block").alias("block_place"),
-        F.xxhash64(F.lit(SEED), "epoch", id_col).alias("place"),
+        *[c for c in docs.columns if not c.startswith("mix_")],
+        "mix_epoch",
+        F.xxhash64(F.lit(SEED), "mix_epoch", names.get("source_col", "source"), "mix_block").alias("mix_block_place"),
+        F.xxhash64(F.lit(SEED), "mix_epoch", id_col).alias("mix_place"),
     )
 
 

@@ -45,7 +45,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """)
 def op3_exact_dedup(t: Tables):
     """Of equal texts the largest doc_id stays."""
-    return exact_dedup.exact_dedup(t.documents, keep="largest")
+    return exact_dedup.exact_dedup(t.documents, keep="largest").drop("text_hash")
 
 
 @query()

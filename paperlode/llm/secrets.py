@@ -36,15 +36,16 @@ BASE64_CLASS = CharacterClass(
     "".join(map(chr, [*range(65, 91), *range(97, 123)])) + DIGITS + "+/_-", 3.9
 )
 WINDOW = 20
+#: A string without any of these is made of words: it has no digit, and capitals only where words start.
+UNLIKE_WORDS = r"[0-9]|[A-Za-z][A-Z]"
 
 #: Strings that look random but are known not to be secrets: identifiers of the standard form, one letter case
-#: without digits (words run together), digits alone, paths of words, and the placeholders of manuals.
+#: without digits (words run together), digits alone, and the placeholders of manuals.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^[A-Z]?[a-z_/+-]+$",
     r"^[A-Z_/+-]+$",
     r"^[0-9_/+-]+$",
-    r"^(?:/?[A-Za-z]?[a-z]*[_/+-]?)+$",
     r"(?i)example|placeholder|changeme|x{6}|0123456789|abcdefghij",
 )
 
@@ -68,8 +69,7 @@ def peak_entropy(text: Column, of: CharacterClass, window: int = WINDOW) -> Colu
     )
 
     def step(state: Column, at: Column) -> Column:
-        enters = F.get(at["symbols"], at["i"])
-        leaves = F.when(at["i"] >= window, F.get(at["symbols"], at["i"] - window)).otherwise(0)
+        enters, leaves = at["enters"], at["leaves"]
         n_in, n_out = F.get(state["counts"], enters - 1), F.get(state["counts"], leaves - 1)
         change = F.when(enters == leaves, 0.0).otherwise(
             term(n_in + 1) - term(n_in) - F.when(leaves > 0, term(n_out) - term(n_out - 1)).otherwise(0.0)
@@ -85,7 +85,14 @@ def peak_entropy(text: Column, of: CharacterClass, window: int = WINDOW) -> Colu
         return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
 
     def run(chars: Column) -> Column:
-        places = F.transform(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.struct(chars.alias("symbols"), i.alias("i")))
+        places = F.transform(
+            F.sequence(F.lit(0), F.size(chars) - 1),
+            lambda i: F.struct(
+                i.alias("i"),
+                F.get(chars, i).alias("enters"),
+                F.when(i >= window, F.get(chars, i - window)).otherwise(0).alias("leaves"),
+            ),
+        )
         return F.aggregate(places, start, step, lambda end: math.log2(window) - end["least"] / window)
 
     # the lambda of a one-element array names the symbols, so that they are looked up once and not per step
@@ -99,8 +106,8 @@ def looks_random(text: Column) -> Column:
         peak_entropy(text, BASE64_CLASS) >= BASE64_CLASS.least_bits
     )
     allowed = [text.rlike(pattern) for pattern in ALLOWED]
-    suppressed = allowed[0]
-    for one in allowed[1:]:
+    suppressed = ~text.rlike(UNLIKE_WORDS)
+    for one in allowed:
         suppressed = suppressed | one
     return F.when(suppressed, False).otherwise(random)
 

@@ -29,23 +29,23 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     counted = decisions.select(*key, F.col("text_hash").alias("keep_hash"), F.col("kept").cast("int").alias("kept"))
     counted = counted.groupBy(*names).agg(F.sum("kept").alias("keep_n"), F.count("*").alias("keep_of"))
     partly = stored(counted.filter("keep_n < keep_of"), "dropped-keys")
-    columns = docs.columns
-    keyed = docs.select("*", *key, F.xxhash64(text_or_empty(F.col("text"))).alias("keep_hash"))
-    whole = keyed.join(broadcast_if_small(partly.select(*names)), names, "left_anti").select(*columns)
+    # the row goes along as one struct, so that no column of its own can clash with a key
+    keyed = docs.select(F.struct("*").alias("keep_row"), *key, F.xxhash64(text_or_empty(F.col("text"))).alias("keep_hash"))
+    whole = keyed.join(broadcast_if_small(partly.select(*names)), names, "left_anti").select("keep_row.*")
     some = partly.filter("keep_n > 0").drop("keep_of")
     if some.isEmpty():
         return whole
     line = Window.partitionBy(*names).orderBy("keep_hash")
     rows = keyed.join(some, names).withColumn("keep_place", F.row_number().over(line)).filter("keep_place <= keep_n")
-    return whole.unionByName(rows.select(*columns))
+    return whole.unionByName(rows.select("keep_row.*"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject. Each row is judged alone."""
     model = quality.fit(docs, load_table(spark, sf_dir, "labels"))
     stats = quality.statistics(text_or_empty(F.col("text")))
-    scored = computed_once(docs, docs.columns, {"quality_statistics": stats})
-    return scored.filter(model.score(F.col("quality_statistics")) >= QUALITY).select(*docs.columns)
+    scored = computed_once(docs.select(F.struct("*").alias("row"), "text"), ["row"], {"statistics": stats})
+    return scored.filter(model.score(F.col("statistics")) >= QUALITY).select("row.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

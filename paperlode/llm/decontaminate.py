@@ -11,15 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import stored, words
-
-#: A table goes to every executor only if it has been counted and its rows are at most so many (of some 40 bytes).
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """`df` with a broadcast hint if a count proves it small; a stored table is counted from its footers."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+from paperlode.llm.common import broadcast_if_small, stored, words
 
 
 def index_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -37,9 +29,7 @@ def index_documents(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_i
     """Postings (row, doc_id, pos, term_id) of the vocabulary's terms. Each text also has one posting of term 0
     behind its last word, so that its position is the number of words."""
     end = vocabulary.sparkSession.createDataFrame([("", 0)], "term string, term_id bigint")
-    known = _small(vocabulary).unionByName(end)
-    if vocabulary.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    known = broadcast_if_small(stored(vocabulary.unionByName(end), "vocabulary"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                         F.array_append(words(F.col(text_col)), F.lit("")).alias("w"))
     return stored(
@@ -68,7 +58,7 @@ def alignments(item_terms: DataFrame, postings: DataFrame, window: int, lists: i
     Only these lists are intersected here: a window that occurs has all of its `lists` rarest terms in the same
     alignment, so a place with fewer is no candidate.
     """
-    rare = _small(stored(rarest_terms(item_terms, postings, window, lists), "rarest"))
+    rare = broadcast_if_small(stored(rarest_terms(item_terms, postings, window, lists), "rarest"))
     found = postings.join(rare, "term_id").select(
         "row", "item", (F.col("pos") - F.col("offset")).alias("shift"), "offset", "needed"
     )
@@ -80,9 +70,9 @@ def alignments(item_terms: DataFrame, postings: DataFrame, window: int, lists: i
 
 def agreeing(item_terms: DataFrame, postings: DataFrame, places: DataFrame) -> DataFrame:
     """(row, item, item_id, n_item, shift, offset): the words of an item that a text has at the aligned place."""
-    rows = _small(stored(places.select("row").distinct(), "aligned-rows"))
+    rows = broadcast_if_small(stored(places.select("row").distinct(), "aligned-rows"))
     near = postings.filter("term_id > 0").join(rows, "row", "left_semi").select("row", "pos", "term_id")
-    wanted = places.join(_small(item_terms), "item").withColumn("pos", F.col("shift") + F.col("offset"))
+    wanted = places.join(broadcast_if_small(item_terms), "item").withColumn("pos", F.col("shift") + F.col("offset"))
     return wanted.join(near, ["row", "pos", "term_id"]).drop("pos", "term_id")
 
 
@@ -108,10 +98,10 @@ def proximity_matches(item_terms: DataFrame, postings: DataFrame, window: int =
     """(row, item, shift, words): places where at least `share` of an item's words stand within `slop` words of
     where the alignment puts them."""
     places = alignments(item_terms, postings, window)
-    rows = _small(stored(places.select("row").distinct(), "aligned-rows"))
+    rows = broadcast_if_small(stored(places.select("row").distinct(), "aligned-rows"))
     near = postings.filter("term_id > 0").join(rows, "row", "left_semi").select("row", "pos", "term_id")
     moved = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-    wanted = places.join(_small(item_terms), "item").select("*", moved.alias("move"))
+    wanted = places.join(broadcast_if_small(item_terms), "item").select("*", moved.alias("move"))
     met = wanted.withColumn("pos", F.col("shift") + F.col("offset") + F.col("move")).join(near, ["row", "pos", "term_id"])
     counted = met.groupBy("row", "item", "shift").agg(
         F.count_distinct("offset").alias("words"), F.first("n_item").alias("n_item")

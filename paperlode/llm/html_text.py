@@ -41,17 +41,20 @@ MARKED = re.compile(
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: How much of the dense text a part must hold to be taken for the whole text.
 MAJORITY = 0.8
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, kept, path of containers) for every line of a page."""
+    """Collects (text, tags, kept, path of containers) for every line of a page, and which lines are headings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.headings: set[int] = set()
+        self.heading = False
         self.stack: list[tuple[str, bool]] = []  # open elements that matter, and whether each is something else
         self.path: tuple[int, ...] = ()
         self.kinds: list[str] = []
@@ -61,6 +64,8 @@ class _Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
+            if self.heading:
+                self.headings.add(len(self.lines))
             self.lines.append((text, self.tags, not self.hidden, self.path))
         self.parts, self.tags = [], 0
 
@@ -82,6 +87,7 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self._end_line()
+            self.heading = tag in HEADINGS
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
@@ -155,6 +161,8 @@ def main_text(html: str) -> str:
         chosen = best
     named = chosen is not None and page.kinds[chosen] in ("article", "main")
     first, last = (0, len(lines)) if named else (dense[0], dense[-1])
+    while first - 1 in page.headings and lines[first - 1][2]:
+        first -= 1  # a short heading belongs to the text below it
     return "\n".join(
         text for i, (text, _, kept, path) in enumerate(lines) if kept and first <= i <= last and (chosen is None or chosen in path)
     )

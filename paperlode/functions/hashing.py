@@ -20,8 +20,13 @@ def sha256_bytes(value: Column) -> Column:
 
 
 def row_payload(*columns: Column) -> Column:
-    """Columns joined by a separator; a null is written as a control character, so it differs from ''."""
-    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
+    """Columns one after the other, each as its length in characters, a colon and its text, a null as a dash.
+
+    The lengths make the form unambiguous: no other row has the same payload, wherever its text is cut.
+    """
+    texts = [c.cast("string") for c in columns]
+    parts = [F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in texts]
+    return F.concat(*[F.coalesce(p, F.lit("-")) for p in parts])
 
 
 def _number(value: float) -> str:
@@ -58,7 +63,8 @@ def canonical(value) -> str:
 
 
 def canonical_json(text: Column) -> Column:
-    """RFC 8785 form of a JSON string column; null where the text is not valid JSON.
+    """RFC 8785 form of a JSON string column; null where it has none: text that is not valid JSON, numbers beyond
+    double precision, unpaired surrogates, and nesting beyond what the parser takes.
 
     Key order by UTF-16 unit and ECMAScript numbers have no Spark function, so this one is an Arrow UDF.
     """
@@ -67,8 +73,12 @@ def canonical_json(text: Column) -> Column:
     def run(batch: pd.Series) -> pd.Series:
         def one(raw):
             try:
-                return None if raw is None else canonical(json.loads(raw))
-            except ValueError:
+                if raw is None:
+                    return None
+                made = canonical(json.loads(raw))
+                made.encode()  # an unpaired surrogate has no UTF-8 form
+                return made
+            except (ValueError, OverflowError, RecursionError):
                 return None
 
         return batch.map(one)

@@ -17,7 +17,7 @@ def expected_level(dose: Column, volume_per_kg: Column, weight_kg: Column, half_
     return F.when(usable, dose / (volume_per_kg * weight_kg) * F.exp(-math.log(2) * elapsed / half_life))
 
 
-def level_verdict(measured: Column, expected: Column, low: float, high: float) -> Column:
-    """'consistent' while measured / expected lies in [low, high], else 'inconsistent'; 'indeterminate' without inputs."""
+def level_ratio(measured: Column, expected: Column, low: float, high: float) -> Column:
+    """Struct of the ratio measured / expected and whether it lies in [low, high]; both null without usable inputs."""
     ratio = F.when(expected > 0, measured / expected)
-    return F.when(ratio.isNull(), "indeterminate").when(ratio.between(low, high), "consistent").otherwise("inconsistent")
+    return F.struct(ratio.alias("ratio"), ratio.between(low, high).alias("in_range"))

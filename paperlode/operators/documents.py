@@ -113,7 +113,11 @@ def found_spans(df: DataFrame, row_id: str, text: str, patterns: dict[str, str],
             ),
         )
 
-    return df.select(row_id, F.inline(F.concat(*[of_kind(*item) for item in patterns.items()])))
+    # rows without any match stay in the JVM
+    some = F.lit(False)
+    for pattern in patterns.values():
+        some = some | (T.may_match(F.col(text), pattern) & F.col(text).rlike(pattern))
+    return df.where(some).select(row_id, F.inline(F.concat(*[of_kind(*item) for item in patterns.items()])))
 
 
 def found_dates(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -136,34 +140,22 @@ def found_dates(df: DataFrame, row_id: str, text: str) -> DataFrame:
         )
 
     candidates = F.concat(*[in_form(i, pattern, shape) for i, (_, pattern, shape) in enumerate(forms)])
-    # Candidates come in order of form, so a day that is already there is kept as it is.
-    per_day = F.aggregate(
-        candidates,
-        F.array().cast("array<struct<day:date,rank:int>>"),
-        lambda acc, c: F.when(c["day"].isNull() | F.exists(acc, lambda a: a["day"] == c["day"]), acc).otherwise(
-            F.concat(acc, F.array(c))
-        ),
-    )
     names = F.array(*[F.lit(name) for name, _, _ in forms])
-    found = df.select(row_id, F.inline(per_day))
+    every = df.select(row_id, F.inline(candidates)).where("day IS NOT NULL")
+    found = every.groupBy(row_id, "day").agg(F.min("rank").alias("rank"))
     return found.select(row_id, "day", F.element_at(names, F.col("rank") + 1).alias("form"))
 
 
 def found_amounts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(id, start, amount): dollar signs, then `USD n`, then `n USD`; each position counts once."""
-    from_forms = F.concat(
-        *[
-            F.transform(
-                T.spans(F.col(text), pattern, context=None),
-                lambda s: F.struct(
-                    s["start"].alias("start"),
-                    F.regexp_replace(s["value"], r"[^0-9.]", "").try_cast("decimal(18,2)").alias("amount"),
-                ),
-            )
-            for pattern in (T.DOLLARS, T.USD_BEFORE, T.USD_AFTER)
-        ]
-    )
-    return df.select(row_id, F.inline(F.array_distinct(from_forms)))
+    """(id, start, value, amount): dollar signs, then `USD n`, then `n USD`; a form that overlaps an earlier one does not
+    count, so `$100 USD` is one amount. `value` is the text as found; `amount` is null only beyond 36 digits.
+    """
+    forms = [T.DOLLARS, T.USD_BEFORE, T.USD_AFTER]
+    some = F.lit(False)
+    for pattern in forms:
+        some = some | (T.may_match(F.col(text), pattern) & F.col(text).rlike(pattern))
+    found = df.where(some).select(row_id, F.inline(T.exclusive_spans(F.col(text), forms)))
+    return found.withColumn("amount", F.regexp_replace("value", r"[^0-9.]", "").try_cast("decimal(38,2)"))
 
 
 def serial_ids(df: DataFrame, row_id: str, text: str, stop_prefixes: tuple[str, ...]) -> DataFrame:
@@ -231,6 +223,8 @@ def intake(incoming: DataFrame, stored: DataFrame, row_id: str, text: str, chunk
     after the first stage runs on one row per new content.
     """
     fresh = new_content(incoming, stored, row_id, F.col(text)).withColumnRenamed("first_id", row_id)
+    # only rows that are first of a new content are read for words and entities
+    incoming = incoming.join(fresh.select(row_id), row_id, "left_semi")
     chunks = F.ceil(F.octet_length(F.col(text)) / chunk_size).cast("bigint")
     entities = F.size(T.matches(F.col(text), T.EMAIL)) + F.size(T.matches(F.col(text), T.PHONE))
     described = incoming.select(

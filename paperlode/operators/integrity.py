@@ -33,23 +33,29 @@ def verify_links(log: DataFrame, order: str, payload: Column, splits: Sequence[f
     """Three checks per stored row: its content, its link, and its pointer to the row before.
 
     Each row is checked on its own against its neighbour, so a chain of any length is verified in
-    parallel although it can only be built in sequence.
+    parallel although it can only be built in sequence. A hash that was erased fails its checks. Rows cut
+    off at the end leave no trace in the links; `matches_seal` finds them.
     """
     ahead = previous_row(log, [], F.col(order), [F.col(order)], ["row_hash"], "__prev", splits)
     return (
-        ahead.withColumn("content_ok", F.col("row_hash") == sha256_hex(payload))
-        .withColumn("link_ok", F.col("link_hash") == sha256_hex(F.concat("prev_hash", "row_hash")))
-        .withColumn("pointer_ok", F.col("prev_hash") == F.coalesce(F.col("__prev.row_hash"), F.lit(GENESIS)))
+        ahead.withColumn("content_ok", _same(F.col("row_hash"), sha256_hex(payload)))
+        .withColumn("link_ok", _same(F.col("link_hash"), sha256_hex(F.concat("prev_hash", "row_hash"))))
+        .withColumn("pointer_ok", _same(F.col("prev_hash"), F.coalesce(F.col("__prev.row_hash"), F.lit(GENESIS))))
         .drop("__prev")
     )
 
 
+def _same(stored: Column, computed: Column) -> Column:
+    """Equality that is false, not null, when either side is missing."""
+    return F.coalesce(stored == computed, F.lit(False))
+
+
 def verify_chain(log: DataFrame, order: str, payload: Column, splits: Sequence[float] | None = None) -> DataFrame:
     """The same checks for a cumulative chain, where `hash` = sha256(`prev_hash` + payload)."""
     ahead = previous_row(log, [], F.col(order), [F.col(order)], ["hash"], "__prev", splits)
     return (
-        ahead.withColumn("content_ok", F.col("hash") == sha256_hex(F.concat(F.col("prev_hash"), payload)))
-        .withColumn("pointer_ok", F.col("prev_hash") == F.coalesce(F.col("__prev.hash"), F.lit(GENESIS)))
+        ahead.withColumn("content_ok", _same(F.col("hash"), sha256_hex(F.concat(F.col("prev_hash"), payload))))
+        .withColumn("pointer_ok", _same(F.col("prev_hash"), F.coalesce(F.col("__prev.hash"), F.lit(GENESIS))))
         .drop("__prev")
     )
 
@@ -113,6 +119,25 @@ def merkle_root(leaves: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
     return merkle_levels(leaves, n, fan_in)[-1].select(F.lower(F.hex("hash")).alias("root_hash"))
 
 
+def seal(df: DataFrame, order: str, payload: Column, splits: Sequence[float] | None = None) -> DataFrame:
+    """One row (n_rows, root_hash) that fixes a table: its size and tree head. The head is null without rows."""
+    n = df.count()
+    root = merkle_root(merkle_leaves(df, order, payload, splits), n).first()
+    return df.sparkSession.createDataFrame([(n, root and root.root_hash)], "n_rows bigint, root_hash string")
+
+
+def matches_seal(df: DataFrame, order: str, payload: Column, sealed: DataFrame) -> DataFrame:
+    """One row (n_rows, size_ok, root_ok): whether a table is still what `sealed` fixed. Rows that were cut off
+    at the end, which links cannot show, change both."""
+    then = sealed.first()
+    now = seal(df, order, payload)
+    return now.select(
+        "n_rows",
+        (F.col("n_rows") == then.n_rows).alias("size_ok"),
+        F.col("root_hash").eqNullSafe(F.lit(then.root_hash)).alias("root_ok"),
+    )
+
+
 def audit_path(leaves: DataFrame, n: int, idx: int, fan_in: int = FAN_IN) -> list[bytes]:
     """Inclusion path of one leaf. Per level, the driver receives the one group on the path (`fan_in` hashes)."""
     path: list[bytes] = []

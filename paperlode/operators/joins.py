@@ -12,16 +12,26 @@ from paperlode.operators.ordered import asof_join
 
 
 def left_join_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str) -> DataFrame:
-    """LEFT JOIN where the right side may hold a huge group for one key.
+    """LEFT JOIN where the right side may hold a huge group for one key."""
+    return left_join_chain(one, [(many, one_key, many_key)])
 
-    The adaptive planner cannot cut the right side of an outer join. The same rows come from an inner
-    join, which it can cut on either side, plus the left rows whose key is absent from the right. That
-    anti join compares distinct keys only.
+
+def left_join_chain(one: DataFrame, steps: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
+    """LEFT JOINs of `one` with (table, key so far, key of the table) in turn, where tables may have hot keys.
+
+    The adaptive planner cannot cut the right side of an outer join. The same rows come from branches, one per
+    step: inner joins, which it can cut on either side, up to a step, and there the rows whose key is absent,
+    which compares distinct keys only. Every branch reads a table once, so reads grow with the number of
+    steps and do not double at each.
     """
-    matched = one.join(many, one[one_key] == many[many_key])
-    keys = many.select(F.col(many_key).alias("__key")).distinct()
-    unmatched = one.join(keys, F.col(one_key) == F.col("__key"), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    joined, branches = one, []
+    for table, key, table_key in steps:
+        keys = table.select(F.col(table_key).alias("__key")).distinct()
+        branches.append(joined.join(keys, F.col(key) == F.col("__key"), "left_anti"))
+        joined = joined.join(table, joined[key] == table[table_key])
+    for branch in branches:
+        joined = joined.unionByName(branch, allowMissingColumns=True)
+    return joined
 
 
 def not_listed(value: Column, listed: Column) -> Column:
@@ -38,18 +48,20 @@ def missing_references(child: DataFrame, key: str, parent: DataFrame, parent_key
 def suffix_join(uris: DataFrame, uri: str, names: DataFrame, name: str) -> DataFrame:
     """LEFT JOIN on "uri ends with name" as an equi-join.
 
-    Names have few distinct lengths. Each URI offers its ending at each of those lengths, and the
-    endings join by equality. The lengths are collected: at most one number per length of a name.
+    Names have few distinct lengths. Each distinct URI offers its ending at each of those lengths, and the
+    endings join by equality; what matched goes back to the rows by one left join, whose left side the
+    adaptive planner can cut if one URI has very many rows. The lengths are collected: at most one number per
+    length of a name.
     """
     lengths = [r[0] for r in names.select(F.length(name).alias("n")).where("n > 0").distinct().collect()]
     if not lengths:
         return uris.join(names.where(F.lit(False)), F.lit(False), "left")
     offered = F.array(*[F.when(F.length(uri) >= n, F.right(F.col(uri), F.lit(n))) for n in sorted(lengths)])
-    endings = uris.select("*", F.explode(F.array_compact(offered)).alias("__ending"))
+    endings = uris.select(uri).distinct().select(
+        F.col(uri).alias("__uri"), F.explode(F.array_compact(offered)).alias("__ending")
+    )
     matched = endings.join(names, F.col("__ending") == F.col(name)).drop("__ending")
-    hit = matched.select(F.col(uri).alias("__hit")).distinct()
-    unmatched = uris.join(hit, F.col(uri) == F.col("__hit"), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    return uris.join(matched, F.col(uri) == F.col("__uri"), "left").drop("__uri")
 
 
 def latest_within(

@@ -273,10 +273,6 @@ def _stored_postings(spark: SparkSession, path: str, row_id: str, id_type: str)
     return spark.read.schema(schema).parquet(f"{path}/postings")
 
 
-# Word forms of one query that are passed on as literals; more than this many are joined instead.
-MAX_LITERAL_FORMS = 2000
-
-
 def index_top_k(
     spark: SparkSession,
     path: str,
@@ -285,13 +281,12 @@ def index_top_k(
     k: int = 50,
     stemmed: bool = False,
     stop_words: Sequence[str] = (),
-    max_literals: int = MAX_LITERAL_FORMS,
 ) -> DataFrame:
     """BM25 ranking from a stored index; unstemmed it equals `bm25_top_k` over the same texts.
 
-    Stemmed, a query term stands for all words of the index with its stem, counted as one term. The word
-    forms are usually few: then buckets and terms reach the scan as literals. If they are not, the
-    postings are joined with the dictionary.
+    Stemmed, a query term stands for all words of the index with its stem, counted as one term. Postings are
+    joined with the matching words by (bucket, term): whatever their number, Spark decides by size whether
+    to broadcast them, and then prunes the buckets that they do not name.
     """
     terms = query_terms(query, stop_words)
     stems = sorted({stem_word(t) for t in terms})
@@ -303,13 +298,7 @@ def index_top_k(
     else:
         words = words.where(F.col("term").isin(*terms)).select("bucket", "term", F.col("term").alias("label"))
     stored = _stored_postings(spark, path, row_id, totals.id_type)
-    forms = words.limit(max_literals + 1).collect()
-    if len(forms) <= max_literals:
-        stored = stored.where(F.col("bucket").isin(*{f.bucket for f in forms}) & F.col("term").isin(*[f.term for f in forms]))
-        words = F.broadcast(spark.createDataFrame([(f.term, f.label) for f in forms], "term string, label string"))
-        hits = stored.join(words, "term")
-    else:
-        hits = stored.join(words, ["bucket", "term"])
+    hits = stored.join(words, ["bucket", "term"])
     hits = hits.groupBy(row_id, "dl", "label").agg(F.sum("tf").alias("tf"))
     # The frequencies have one row per query term.
     frequency = hits.groupBy("label").agg(F.count("*").alias("df"))

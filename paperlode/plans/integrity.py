@@ -20,7 +20,11 @@ def _payload() -> Column:
     )
 
 
-_PAYLOAD_SQL = "concat_ws('|', event_id::VARCHAR, user_id::VARCHAR, event_type, epoch_us(ts)::VARCHAR, props)"
+def _payload_sql(*columns: str) -> str:
+    return " || ".join(f"coalesce(length({c})::VARCHAR || ':' || {c}, '-')" for c in columns)
+
+
+_PAYLOAD_SQL = _payload_sql("event_id::VARCHAR", "user_id::VARCHAR", "event_type", "epoch_us(ts)::VARCHAR", "props")
 
 _LINKED_SQL = f"""
 hashed AS (SELECT *, sha256({_PAYLOAD_SQL}) AS row_hash FROM events),
@@ -36,19 +40,25 @@ def link_events(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH {_LINKED_SQL},
-altered AS (SELECT event_id, user_id, event_type, ts, row_hash, prev_hash, link_hash,
+altered AS (SELECT event_id, user_id, event_type, ts, prev_hash,
+              CASE WHEN NOT (event_type = 'view' AND value < 5) THEN row_hash END AS row_hash,
+              CASE WHEN NOT (event_type = 'view' AND value < 2) THEN link_hash END AS link_hash,
               CASE WHEN event_type = 'error' AND value < 5 THEN '' ELSE props END AS props
             FROM linked WHERE NOT (event_type = 'signup' AND value < 5))
-SELECT event_id, row_hash = sha256({_PAYLOAD_SQL}) AS content_ok, link_hash = sha256(prev_hash || row_hash) AS link_ok,
+SELECT event_id, coalesce(row_hash = sha256({_PAYLOAD_SQL}), false) AS content_ok,
+  coalesce(link_hash = sha256(prev_hash || row_hash), false) AS link_ok,
   prev_hash = coalesce(lag(row_hash) OVER (ORDER BY event_id), repeat('0', 64)) AS pointer_ok
 FROM altered""")
 def verify_altered_log(t: Tables) -> DataFrame:
-    """Link all events, then change some rows and delete others; verification must find both."""
+    """Link all events, then change some rows, delete others and erase hashes; verification must find all."""
     splits = order_splits(t.events, F.col("event_id"))
     linked = I.link_rows(t.events, "event_id", _payload(), splits)
     deleted = (F.col("event_type") == "signup") & (F.col("value") < 5)
     changed = (F.col("event_type") == "error") & (F.col("value") < 5)
     altered = linked.where(~deleted).withColumn("props", F.when(changed, "").otherwise(F.col("props")))
+    for name, below in (("row_hash", 5), ("link_hash", 2)):
+        erased = (F.col("event_type") == "view") & (F.col("value") < below)
+        altered = altered.withColumn(name, F.when(~erased, F.col(name)))
     return I.verify_links(altered, "event_id", _payload(), splits).select(
         "event_id", "content_ok", "link_ok", "pointer_ok"
     )

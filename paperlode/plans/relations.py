@@ -13,25 +13,23 @@ from paperlode.operators import retrieval as R
 from paperlode.operators import stats as S
 from paperlode.plans.registry import Tables, query
 
-PREVIEW = 200
 
-
-@query(f"""
-SELECT 'message' AS kind, conv_id AS thread_id, turn, NULL::BIGINT AS doc_id, role AS party, left(coalesce(text, ''), {PREVIEW}) AS preview
+@query("""
+SELECT 'message' AS kind, conv_id AS thread_id, turn, NULL::BIGINT AS doc_id, role AS party, coalesce(text, '') AS body
 FROM conversations
 UNION ALL
-SELECT 'document', NULL, NULL, doc_id, source, left(coalesce(text, ''), {PREVIEW}) FROM documents""")
+SELECT 'document', NULL, NULL, doc_id, source, coalesce(text, '') FROM documents""")
 def communications(t: Tables) -> DataFrame:
     """Two kinds of text under one schema; columns a kind lacks are typed nulls."""
     nothing = F.lit(None).cast("bigint")
-    preview = F.left(F.coalesce(F.col("text"), F.lit("")), F.lit(PREVIEW)).alias("preview")
+    body = F.coalesce(F.col("text"), F.lit("")).alias("body")
     messages = t.conversations.select(
         F.lit("message").alias("kind"), F.col("conv_id").alias("thread_id"), "turn", nothing.alias("doc_id"),
-        F.col("role").alias("party"), preview,
+        F.col("role").alias("party"), body,
     )
     documents = t.documents.select(
         F.lit("document").alias("kind"), nothing.alias("thread_id"), nothing.alias("turn"), "doc_id",
-        F.col("source").alias("party"), preview,
+        F.col("source").alias("party"), body,
     )
     return S.union_all([messages, documents])
 
@@ -43,7 +41,7 @@ UNION ALL
 SELECT epoch_us(l_shipdate), 'shipment', l_orderkey, 'line ' || l_linenumber || ' ' || l_linestatus,
   l_extendedprice::DECIMAL(18,2)::VARCHAR FROM lineitem WHERE l_shipdate IS NOT NULL
 UNION ALL
-SELECT epoch_us(ts), event_type, event_id, left(props, 200), value::DECIMAL(18,2)::VARCHAR FROM events WHERE ts IS NOT NULL""")
+SELECT epoch_us(ts), event_type, event_id, props, value::DECIMAL(18,2)::VARCHAR FROM events WHERE ts IS NOT NULL""")
 def timeline(t: Tables) -> DataFrame:
     """Everything dated, under one schema; a summary with a missing part is null, as SQL || gives it."""
 
@@ -66,7 +64,7 @@ def timeline(t: Tables) -> DataFrame:
                 t.lineitem, "l_shipdate", F.lit("shipment"), "l_orderkey",
                 F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" "), "l_linestatus"), "l_extendedprice",
             ),
-            branch(t.events, "ts", F.col("event_type"), "event_id", F.left("props", F.lit(PREVIEW)), "value"),
+            branch(t.events, "ts", F.col("event_type"), "event_id", F.col("props"), "value"),
         ]
     )
 
@@ -79,8 +77,8 @@ def lineage(t: Tables) -> DataFrame:
     """Customer to the nation of each supplier, keeping customers without orders and orders without lines."""
     orders = t.orders.select("o_orderkey", "o_custkey")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    placed = J.left_join_many(t.customer.select("c_custkey"), orders, "c_custkey", "o_custkey")
-    filled = J.left_join_many(placed, lines, "o_orderkey", "l_orderkey")
+    steps = [(orders, "c_custkey", "o_custkey"), (lines, "o_orderkey", "l_orderkey")]
+    filled = J.left_join_chain(t.customer.select("c_custkey"), steps)
     supplier, nation = t.supplier, t.nation
     return (
         filled.join(supplier, filled.l_suppkey == supplier.s_suppkey, "left")
@@ -133,11 +131,11 @@ def surface_forms(t: Tables) -> DataFrame:
 
 @query("""
 SELECT n_name, array_to_string(coalesce(s, []), ',') AS segments FROM nation LEFT JOIN
-  (SELECT c_nationkey, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS s FROM customer WHERE c_acctbal > 5000 GROUP BY 1)
+  (SELECT c_nationkey, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS s FROM customer GROUP BY 1)
 ON c_nationkey = n_nationkey""")
 def nation_segments(t: Tables) -> DataFrame:
     """Ordered distinct list per nation, empty where there is none. The vocabulary of segments is closed."""
-    pairs = t.customer.where("c_acctbal > 5000").select("c_nationkey", "c_mktsegment").distinct()
+    pairs = t.customer.select("c_nationkey", "c_mktsegment").distinct()
     lists = pairs.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("s"))
     nation = t.nation
     joined = nation.join(lists, nation.n_nationkey == lists.c_nationkey, "left")

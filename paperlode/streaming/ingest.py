@@ -9,6 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from paperlode.session import shared_dir
 from paperlode.sources.tables import SCHEMAS
 
+#: Parts of a stored table by hash of the key.
+BUCKETS = 64
+
 
 def stream_table(spark: SparkSession, base: str, name: str, max_files: int = 1000) -> DataFrame:
     """A table's files as a stream; files that arrive later are picked up by later triggers."""
@@ -41,22 +44,29 @@ def run_to_table(stream: DataFrame, path: str) -> StreamingQuery:
 def ingest_new(stream: DataFrame, path: str, key: str) -> StreamingQuery:
     """Store each key once, however late its repeats come: every batch is compared with what is stored.
 
-    Unlike `first_seen` this drops no late row and keeps no state but the table. A batch overwrites its
-    own folder, so a batch that is run again after a failure replaces itself.
+    Unlike `first_seen` this drops no late row and keeps no state but the table. The table is split by a hash of the
+    key, and a batch reads the key column of only those parts that its own keys fall into. A batch overwrites
+    its own folder, so a batch that is run again after a failure replaces itself. A null key is a key like
+    any other and is stored once.
     """
     spark = stream.sparkSession
     table = f"{path}/data"
     columns = stream.schema
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c != key]
         # min_by merges repeats on the map side, so a key sent without end stays one row per task.
         once = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row"))
-        fresh = once.select(key, "row.*").select(*batch.columns)
+        fresh = once.select(key, "row.*").select(*batch.columns, bucket)
         if batch_id > 0:
-            stored = spark.read.schema(f"{key} {columns[key].dataType.simpleString()}, batch_id bigint").parquet(table)
-            fresh = fresh.join(stored.where(F.col("batch_id") < batch_id).select(key), key, "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+            touched = [r.bucket for r in batch.select(bucket).distinct().collect()]
+            schema = f"`{key}` {columns[key].dataType.simpleString()}, batch_id bigint, bucket int"
+            stored = spark.read.schema(schema).parquet(table)
+            stored = stored.where(F.col("bucket").isin(*touched) & (F.col("batch_id") < batch_id))
+            stored = stored.select(F.col(key).alias("__key"))
+            fresh = fresh.join(stored, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)

@@ -129,10 +129,42 @@ def test_amounts(rows):
     assert got == [(1, "1234.50"), (15, "7.00"), (26, "8.25"), (36, "1234.50"), (47, "3.00")]
 
 
+def test_amounts_overlap_once_and_keep_large_ones(rows):
+    df = rows([(1, "$100 USD, USD 12345678901234567890.25")], "id int, text string")
+    got = sorted((r.start, r.value, str(r.amount)) for r in D.found_amounts(df, "id", "text").collect())
+    assert got == [(1, "$100", "100.00"), (11, "USD 12345678901234567890.25", "12345678901234567890.25")]
+
+
+def test_many_matches_in_one_text(rows):
+    df = rows([(1, "$1 or 2/2/2020, " * 100_000)], "id int, text string")
+    assert D.found_amounts(df, "id", "text").count() == 100_000
+    assert D.found_spans(df, "id", "text", {"day": T.US_DATE}, 5).count() == 100_000
+    assert D.found_dates(df, "id", "text").count() == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("+15551234567", "(555) 123-4567"), ("9995551234", "(999) 555-1234"), ("+1 (706) 555-3138", "(706) 555-3138"),
+        ("1-415-555-0100", "(415) 555-0100"), ("4644348398010899", None), ("12345678901", None), ("415-555-01000", None),
+    ],
+)
+def test_phone_forms(rows, text, found):
+    got = rows([(f"call {text} now",)], "text string").select(T.phones(F.col("text"))).first()[0]
+    assert got == ([found] if found else [])
+
+
+@pytest.mark.parametrize("text", ["12020-01-01", "2020-01-011", "112/3/20200", "AB12345678901"])
+def test_digit_boundaries(rows, text):
+    df = rows([(text,)], "text string")
+    for pattern in (T.ISO_DATE, T.US_DATE, T.SERIAL_ID):
+        assert df.select(T.matches(F.col("text"), pattern)).first()[0] == []
+
+
 def test_serials_skip_stop_prefixes(rows):
     df = rows([(1, "ABC0001234 ABC0001234 PAGE-1234 XY 99999 abc1234 TOOLONGPREFIX1234")], "id int, text string")
     assert sorted(r.serial for r in D.serial_ids(df, "id", "text", ("PAGE",)).collect()) == [
-        "ABC0001234", "NGPREFIX1234", "XY 99999",
+        "ABC0001234", "XY 99999",
     ]
 
 

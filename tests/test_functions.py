@@ -54,14 +54,14 @@ def test_model_column_and_reranker(rows):
 
 
 @pytest.mark.parametrize(
-    ("measured", "half_life", "verdict"),
-    [(25.0, 2.0, "consistent"), (2.4, 2.0, "inconsistent"), (None, 2.0, "indeterminate"), (25.0, 0.0, "indeterminate")],
+    ("measured", "half_life", "in_range"),
+    [(25.0, 2.0, True), (2.4, 2.0, False), (None, 2.0, None), (25.0, 0.0, None)],
 )
-def test_level(rows, measured, half_life, verdict):
+def test_level(rows, measured, half_life, in_range):
     df = rows([(1000.0, 0.5, 20.0, half_life, 4.0, measured)], "d double, v double, w double, h double, t double, m double")
     expected = K.expected_level(*[F.col(c) for c in "dvwht"])
-    row = df.select(expected.alias("e"), K.level_verdict(F.col("m"), expected, 0.1, 10.0).alias("r")).first()
-    assert row.r == verdict
+    row = df.select(expected.alias("e"), K.level_ratio(F.col("m"), expected, 0.1, 10.0).alias("r")).first()
+    assert row.r.in_range is in_range
     assert row.e is None if half_life == 0 else row.e == pytest.approx(25.0)
 
 

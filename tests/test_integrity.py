@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperlode.functions.hashing import canonical, canonical_json
+from paperlode.functions.hashing import canonical, canonical_json, row_payload
 from paperlode.operators import integrity as I
 
 
@@ -143,3 +143,37 @@ def test_canonical_json(rows):
     assert got[1] == '{"a":true,"b":[1,{"a":"é","z":null}]}'
     assert got[2] is None and got[3] is None
     assert list(json.loads(got[4])) == ["\U0001f600", "￿"]
+
+
+def test_moved_text_changes_the_payload(rows):
+    df = rows([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "-"), ("", "a"), (None, "a"), ("1:a", "")], "x string, y string")
+    payloads = [r[0] for r in df.select(row_payload(F.col("x"), F.col("y"))).collect()]
+    assert len(set(payloads)) == len(payloads)
+
+
+def test_erased_hashes_fail(rows):
+    log = I.link_rows(rows([(i, f"p{i}") for i in range(9)], "i bigint, p string"), "i", F.col("p"))
+    kept = log.withColumn("row_hash", F.when(F.col("i") != 3, F.col("row_hash")))
+    kept = kept.withColumn("link_hash", F.when(~F.col("i").isin(3, 6), F.col("link_hash")))
+    found = {r.i: (r.content_ok, r.link_ok, r.pointer_ok) for r in I.verify_links(kept, "i", F.col("p")).collect()}
+    assert found[3] == (False, False, True) and found[4] == (True, True, False) and found[6] == (True, False, True)
+    assert all(found[i] == (True, True, True) for i in (0, 1, 2, 5, 7, 8))
+
+
+def test_seal_finds_a_cut_tail(rows):
+    df = rows([(i, f"p{i}") for i in range(20)], "i bigint, p string")
+    sealed = I.seal(df, "i", F.col("p"))
+    whole = I.matches_seal(df, "i", F.col("p"), sealed).first()
+    cut = I.matches_seal(df.where("i < 19"), "i", F.col("p"), sealed).first()
+    assert (whole.size_ok, whole.root_ok) == (True, True) and (cut.size_ok, cut.root_ok) == (False, False)
+    none = I.seal(df.where("i < 0"), "i", F.col("p")).first()
+    assert (none.n_rows, none.root_hash) == (0, None)
+
+
+def test_canonical_json_never_ends_the_job(rows):
+    texts = ["9" * 400, '"\\ud800"', "[" * 5000 + "]" * 5000, '{"b":1.50,"a":[1e2,{"d":null,"c":true}]}', "{", None, "1e999"]
+    df = rows([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", canonical_json(F.col("t")).alias("c")).collect()}
+    assert got[3] == '{"a":[100,{"c":true,"d":null}],"b":1.5}'
+    assert got[0] is None and got[1] is None and got[4] is None and got[5] is None and got[6] is None
+    assert got[2] in (None, texts[2])

@@ -90,6 +90,16 @@ def test_ingest_stores_each_key_once_across_restarts(spark, feed):
     assert run() == [1, 2, 3, 4]
 
 
+def test_null_keys_are_stored_once(spark, feed):
+    tmp_path, write = feed
+    path = str(tmp_path / "table")
+    for n in (1, 2):
+        write(f"events{n}", [(None, "2024-01-01 00:00:00", 5), (None, "2024-01-01 00:00:01", 5), (n, "2024-01-01 00:00:02", 5)])
+        SI.ingest_new(SI.stream_table(spark, str(tmp_path / "in"), "events", 1), path, "event_id").awaitTermination()
+    stored = spark.read.schema(SCHEMAS["events"]).parquet(f"{path}/data")
+    assert sorted(r.event_id or 0 for r in stored.collect()) == [0, 1, 2]
+
+
 def test_watermark_dedup(spark, feed):
     tmp_path, write = feed
     write("events1", [(1, "2024-01-01 00:00:00", 5), (1, "2024-01-01 00:00:30", 5), (2, "2024-01-01 00:00:40", 5)])

@@ -9,7 +9,10 @@ from paperlode.plans import QUERIES
 from paperlode.sources.tables import load_table
 from tests.conftest import SMALL
 
-EAGER = {"streamed_events", "bm25_stored_index", "bm25_stemmed_index", "similar_name_pairs"}
+EAGER = {
+    "streamed_events", "bm25_stored_index", "bm25_stemmed_index", "similar_name_pairs", "file_digests", "json_documents",
+    "json_lines", "inclusion_proofs", "sealed_events", "streamed_users", "watermarked_users",
+}
 
 
 def plan_of(df):

@@ -6,9 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -33,14 +35,17 @@ def cosine_to(vector: Column, query: Sequence[float]) -> Column:
     target = np.asarray(query, dtype="float64")
     length = math.sqrt(float(target @ target))
 
-    @F.pandas_udf("double")
-    def run(batch: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def run(batch: pa.Array) -> pa.Array:
         out = np.full(len(batch), np.nan)
-        fits = np.array([v is not None and len(v) == len(target) for v in batch], dtype=bool)
-        if length and fits.any():
-            matrix = np.stack(batch[fits].to_list()).astype("float64")
+        # Arrow holds all numbers of a batch in one flat array, so no row is touched alone
+        fits = pc.fill_null(pc.equal(pc.list_value_length(batch), len(target)), False)
+        if length and pc.any(fits).as_py():
+            flat = batch.filter(fits).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            fits = fits.to_numpy(zero_copy_only=False)
+            matrix = flat.reshape(-1, len(target))
             norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * length
             out[fits] = np.divide(matrix @ target, norms, out=np.full(len(norms), np.nan), where=norms > 0)
-        return pd.Series(out)
+        return pa.array(out)
 
     return F.nanvl(run(vector), F.lit(None).cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -128,15 +129,32 @@ def dense_top_k(
     """Exact cosine ranking of all vectors, or of those whose id is in `scope`.
 
     With several vectors per id the best one counts, so no id appears twice. Vectors are scored where
-    they are read; what the join and the grouping shuffle is an id and a score.
+    they are read, and each task passes on its k best ids only: an id of the overall best k is among the best k
+    of the task that holds its best vector.
     """
     scored = df.select(F.col(row_id), F.round(cosine_to(F.col(vector), query), SCORE_DIGITS).alias("score"))
     if scope is not None:
         scored = scored.join(scope, row_id, "left_semi")
-    best = scored.groupBy(row_id).agg(F.max("score").alias("score")).where("score IS NOT NULL")
+    local = scored.where("score IS NOT NULL").mapInPandas(_best_of_task(row_id, k), scored.schema)
+    best = local.groupBy(row_id).agg(F.max("score").alias("score"))
     return top_k(best, row_id, "score", k)
 
 
+def _best_of_task(row_id: str, k: int) -> Callable:
+    """The k best distinct ids of a task, holding k rows and one batch at a time."""
+
+    def run(batches):
+        best = None
+        for batch in batches:
+            both = batch if best is None else pd.concat([best, batch])
+            both = both.sort_values(["score", row_id], ascending=[False, True], kind="stable")
+            best = both.drop_duplicates(row_id).head(k)
+        if best is not None:
+            yield best
+
+    return run
+
+
 def vector_of(df: DataFrame, row_id: str, vector: str, wanted: int) -> list[float]:
     """One stored vector, to be used as a query."""
     row = df.where(F.col(row_id) == wanted).select(vector).first()
@@ -196,6 +214,7 @@ def hybrid_search(
 
     `scope` restricts the documents of both legs. A vector without a document in scope cannot be a result.
     """
+    spark = documents.sparkSession
     if scope is not None:
         documents = documents.where(scope)
     lexical = ranked(bm25_top_k(documents, row_id, text, query, depth), row_id, "score", "rank")
@@ -204,8 +223,11 @@ def hybrid_search(
     dense = ranked(best, row_id, "score", "rank")
     order = fused_order(["lexical", "dense"], row_id)
     fused = fuse_ranks({"lexical": lexical, "dense": dense}, row_id).orderBy(*order).limit(k * over_fetch)
-    # `fused` holds at most k * over_fetch rows by its limit, so the text is fetched by broadcast.
-    hits = documents.join(F.broadcast(fused), row_id)
+    # `fused` holds at most k * over_fetch rows by its limit. They go to the scan as literals, so that files and row
+    # groups without these ids are not read for their texts.
+    few = fused.collect()
+    named = spark.createDataFrame(few, fused.schema)
+    hits = documents.where(F.col(row_id).isin([r[row_id] for r in few])).join(F.broadcast(named), row_id)
     if reranker is not None:
         hits = hits.withColumn("rerank", F.round(reranker(F.col(text)), SCORE_DIGITS))
         order = [F.desc("rerank"), *order]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlode.llm.common import text_or_empty
+from paperlode.llm.common import pieces, text_or_empty
 
 #: Elements whose start and end break a line.
 BLOCKS = frozenset(
@@ -32,14 +32,15 @@ OTHER = frozenset(
     "nav footer aside form menu search head title script style noscript template iframe object svg canvas math audio "
     "video button select textarea dialog".split()
 )
-#: Words in class or id, and roles, that mark something else than the text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|respond|replies|reply|disqus|discussion|"
-    r"cookies?|consent|gdpr|notices?|alert|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
+#: Words in class or id, and roles, that mark something else than the text; inside an article, heads are titles.
+_OTHER_WORDS = (
+    r"(?:^|[\s_-])(?:{}ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|respond|replies|reply|disqus|discussion|"
+    r"cookies?|consent|gdpr|notices?|alert|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|"
     r"topbar|toolbar|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|"
-    r"pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"pagination|pager|skip)(?:$|[\s_-])"
 )
+MARKED = re.compile(_OTHER_WORDS.format("header|masthead|"), re.IGNORECASE)
+MARKED_INSIDE = re.compile(_OTHER_WORDS.format(""), re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +56,8 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.headings: set[int] = set()
         self.heading = False
-        self.stack: list[tuple[str, bool]] = []  # open elements that matter, and whether each is something else
+        # open elements that matter, with what each adds to `hidden` and whether it is on the path
+        self.stack: list[tuple[str, int, bool]] = []
         self.path: tuple[int, ...] = ()
         self.kinds: list[str] = []
         self.hidden, self.tags = 0, 0
@@ -72,15 +74,16 @@ class _Lines(HTMLParser):
     def _other(self, tag: str, attrs) -> bool:
         if tag in OTHER:
             return True
-        inside = any(k in ("article", "main") for k, _ in self.stack)
-        if tag == "header" and not inside:
-            return True
-        if tag in ("html", "body", "article", "main"):
+        inside = any(k in ("article", "main") for k, *_ in self.stack)
+        if tag == "header":
+            return not inside  # inside of an article it holds the title
+        if tag in ("html", "body", "main") or tag == "article" and not self.hidden:
             return False
+        marked = MARKED_INSIDE if inside else MARKED
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if value and (name in ("class", "id") and MARKED.search(value) or name == "role" and value.lower() in ROLES):
+            if value and (name in ("class", "id") and marked.search(value) or name == "role" and value.lower() in ROLES):
                 return True
         return False
 
@@ -95,21 +98,25 @@ class _Lines(HTMLParser):
             return
         other = self._other(tag, attrs)
         if other or tag in CONTAINERS:
-            self.stack.append((tag, other))
-            self.hidden += other
-            if tag in CONTAINERS and not other:
+            # the main part of a page is shown even if its wrapper is named after a side bar
+            adds = -self.hidden if tag == "main" else int(other)
+            on_path = tag in CONTAINERS and not other
+            self.stack.append((tag, adds, on_path))
+            self.hidden += adds
+            if on_path:
                 self.path = (*self.path, len(self.kinds))
                 self.kinds.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_line()
+            self.heading = False
         self.tags += 1
-        if any(open_tag == tag for open_tag, _ in self.stack):
+        if any(open_tag == tag for open_tag, *_ in self.stack):
             while True:
-                closed, other = self.stack.pop()
-                self.hidden -= other
-                if closed in CONTAINERS and not other:
+                closed, added, on_path = self.stack.pop()
+                self.hidden -= added
+                if on_path:
                     self.path = self.path[:-1]
                 if closed == tag:
                     break
@@ -178,7 +185,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     @F.arrow_udf(T.StringType())
     def extract(html: pa.Array) -> pa.Array:
-        return pa.array([main_text(h) for h in html.to_pylist()], pa.string())
+        return pa.array([main_text(h) for part in pieces(html) for h in part.to_pylist()], pa.string())
 
     found = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
                          extract(text_or_empty(F.col(html_col))).alias("text"))

@@ -251,6 +251,13 @@ def test_main_text(tags):
     assert html_text.main_text(PAGE.format(open=tags[0], close=tags[1])) == WANTED
 
 
+def test_wrappers_and_titles():
+    page = '<div class="with-sidebar"><main><article><div class="entry-header"><h1>T</h1></div><p>A paragraph of text.</p>'
+    page += '<ol class="comment-list"><article class="comment"><p>A remark by a reader.</p></article></ol></article></main>'
+    page += '<div class="sidebar"><p>Other things</p></div></div>'
+    assert html_text.main_text(page) == "T\nA paragraph of text."
+
+
 def test_articles_of_pages(spark):
     for html in texts_of(spark, SMALL, "pages", "page_id", "html").values():
         text = html_text.main_text(html)

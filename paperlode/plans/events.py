@@ -40,6 +40,7 @@ def carried_purchase(t: Tables) -> DataFrame:
         [F.col("at"), F.col("event_id")],
         F.when(F.col("event_type") == "purchase", F.col("event_id")),
         "last_purchase_id",
+        then=F.col("event_id"),
     )
     return carried.select("event_id", "user_id", "last_purchase_id")
 

@@ -103,3 +103,26 @@ def test_backward_steps(rows):
     df = rows([(1, 5, "a"), (2, 4, "a"), (3, 9, "a"), (1, 1, "b"), (2, 1, "b")], "o bigint, m int, k string")
     got = O.backward_steps(df, ["k"], "o", "m", splits=[float("-inf"), 1.5, float("inf")])
     assert {r.k: (r.n_rows, r.n_backward) for r in got.collect()} == {"a": (3, 1), "b": (2, 0)}
+
+
+def largest_block(df):
+    return max(r["count"] for r in df.groupBy(O.BLOCK).count().collect())
+
+
+def test_one_instant_is_cut_by_what_follows(spark):
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.lit(7).alias("at"), "id", F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    splits = O.order_splits(rows, F.col("at"), 16, then=F.col("id"))
+    assert largest_block(O.with_block(rows, F.col("at"), splits, F.col("id"))) <= 4000 / 16 * 2
+    order = [F.col("at"), F.col("id")]
+    filled = O.carry_forward(rows, ["k"], F.col("at"), order, F.col("v"), "last", splits=splits, then=F.col("id"))
+    assert all(r.last == r.id // 5 * 5 for r in filled.collect())
+
+
+def test_asof_at_one_instant_and_without_time(spark):
+    left = spark.range(900).select("id", F.lit("k").alias("k"), F.when(F.col("id") < 600, F.lit(5)).cast("bigint").alias("at"))
+    right = spark.range(500).select(F.lit("k").alias("k"), F.lit(5).cast("bigint").alias("at"), F.col("id").alias("r"))
+    at, tie = F.col("at"), F.col("r")
+    found = O.asof_join(left, right, ["k"], at, at, F.struct("r"), "m", tie=tie)
+    assert [(r.id, r.m and r.m.r) for r in found.orderBy("id").collect()] == [(i, 499 if i < 600 else None) for i in range(900)]
+    empty = O.with_block(left, at, [float("-inf"), 0.0, float("inf")], unplaced=F.pmod("id", F.lit(10)))
+    assert max(r["count"] for r in empty.where("at IS NULL").groupBy(O.BLOCK).count().collect()) == 30

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
 
 def build_session(app_name: str = "paperlode", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators expect; `conf` keys use `__` for dots."""
@@ -33,13 +35,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's `spark.checkpoint.dir`.
 
     Every executor must reach the folder, so a machine-local one is made only when the
-    setting is absent and the session runs in local mode.
+    setting is absent and the session runs in local mode; it goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="paperlode-")
+        made = tempfile.TemporaryDirectory(prefix="paperlode-", ignore_cleanup_errors=True)
+        _local_folders.append(made)  # removed when the process ends
+        base = made.name
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, licenses, mixing, quality, secrets, token_counts, warc
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, licenses, mixing, oracles, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -18,11 +18,6 @@ def query(sql: str | None = None):
     return add
 
 
-LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-
-
 @query("""
 WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
            FROM pages),
@@ -38,7 +33,7 @@ def op2_warc_revisits(t: Tables):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
+WITH d AS (SELECT doc_id, sha256({oracles.LOWERED}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
@@ -58,8 +53,8 @@ def op10_token_counts(t: Tables):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
-     b AS (SELECT item_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all({oracles.LOWERED}, {oracles.WORDS}) AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all({oracles.LOWERED}, {oracles.WORDS}) AS w FROM benchmark),
      s AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
            FROM b WHERE len(w) > 0),
      bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM s),
@@ -81,9 +76,9 @@ def op5_decontaminate(t: Tables):
     return decontaminate.contamination(t.documents, t.benchmark, window=13, one_in=20)
 
 
-@query()
+@query(oracles.SECRETS)
 def op7_secret_scan(t: Tables):
-    """Credential patterns and strings of high entropy; tested against a brute-force scan."""
+    """Credential patterns and strings of high entropy."""
     return secrets.scan_secrets(t.documents)
 
 
@@ -99,9 +94,9 @@ def op6_html_text(t: Tables):
     return html_text.extract_text(t.pages)
 
 
-@query()
+@query(oracles.LINKS)
 def op8_chosen_path_join(t: Tables):
-    """Near copies: class and number of links of every document; tested against brute force."""
+    """Near copies: class and number of links of every document."""
     found = chosen_path.similar_documents(t.documents)
     return found.select("doc_id", "class_id", "n_links")
 
@@ -112,8 +107,8 @@ def op9_source_mixing(t: Tables):
     return mixing.mix_report(t.documents, mixing.plan(t.documents, entropy_share=0.95, spent_passes=1.0))
 
 
-@query()
+@query(oracles.LICENSES)
 def op4_license_scan(t: Tables):
-    """Licence of every document; its path is source, language and id. Tested against brute force."""
+    """Licence of every document; its path is source, language and id."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.license_scan(t.documents, path)

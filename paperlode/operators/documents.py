@@ -71,6 +71,25 @@ def html_sections(df: DataFrame, row_id: str, html: str) -> DataFrame:
     ).where("body <> ''")
 
 
+def email_parts(df: DataFrame, row_id: str, message: str, fields: list[str]) -> DataFrame:
+    """(id, one column per header field, body) of RFC 5322 messages.
+
+    The head ends at the first empty line. Folded lines are unfolded; of a repeated field the first counts, and a
+    field that is absent is null. A message without an empty line has no body.
+    """
+    cut = F.regexp_extract(F.col(message), r"(?s)^(.*?)\r?\n\r?\n(.*)$", 1)
+    has_body = F.col(message).rlike(r"\r?\n\r?\n")
+    head = F.regexp_replace(F.when(has_body, cut).otherwise(F.col(message)), r"\r?\n[ \t]+", " ")
+    body = F.regexp_extract(F.col(message), r"(?s)^.*?\r?\n\r?\n(.*)$", 1)
+
+    def field(name: str) -> Column:
+        pattern = rf"(?im)^{name}:[ \t]*([^\r\n]*)"
+        return F.when(F.col("head").rlike(pattern), F.regexp_extract("head", pattern, 1))
+
+    parts = computed_once(df, [row_id], {"head": head, "body": body})
+    return parts.select(row_id, *[field(f).alias(f.lower().replace("-", "_")) for f in fields], "body")
+
+
 def _plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
 
@@ -146,6 +165,22 @@ def found_dates(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return found.select(row_id, "day", F.element_at(names, F.col("rank") + 1).alias("form"))
 
 
+def date_flags(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(id, value, possible): everything in the form of a date, each once per text, and whether there is such a day.
+
+    `found_dates` leaves impossible ones out; these are what a person should look at.
+    """
+    forms = [(T.ISO_DATE, "yyyy-MM-dd"), (T.US_DATE, "M/d/yyyy"), (T.LONG_DATE, "MMMM d, yyyy")]
+
+    def of_form(pattern: str, shape: str) -> Column:
+        return F.transform(
+            F.array_distinct(T.matches(F.col(text), pattern)),
+            lambda m: F.struct(m.alias("value"), F.try_to_timestamp(m, F.lit(shape)).isNotNull().alias("possible")),
+        )
+
+    return df.select(row_id, F.inline(F.concat(*[of_form(*form) for form in forms])))
+
+
 def found_amounts(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(id, start, value, amount): dollar signs, then `USD n`, then `n USD`; a form that overlaps an earlier one does not
     count, so `$100 USD` is one amount. `value` is the text as found; `amount` is null only beyond 36 digits.

@@ -64,6 +64,50 @@ def suffix_join(uris: DataFrame, uri: str, names: DataFrame, name: str) -> DataF
     return uris.join(matched, F.col(uri) == F.col("__uri"), "left").drop("__uri")
 
 
+def correlated(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    amount: str,
+    left_id: str,
+    right_id: str,
+    within_s: int,
+    tolerance: float,
+) -> DataFrame:
+    """(left id, n_matches, nearest): right rows of the same party whose amount is within `tolerance` and whose time
+    is at most `within_s` seconds away, and of these the nearest in time (the smallest id among equals).
+
+    Time and amount are cut into cells as wide as their limits, and a left row looks into the cells around its own. So
+    rows meet by equality, and only rows close in both are compared, also if one party has a third of them. Left
+    rows without a match are kept with 0; a missing key, time or amount matches nothing.
+    """
+    at = epoch_micros(F.col(ts))
+    width = within_s * 1_000_000
+
+    def placed(df: DataFrame, row_id: str, name: str) -> DataFrame:
+        return df.select(
+            *keys, F.col(row_id).alias(name), at.alias(f"{name}_at"), F.col(amount).cast("double").alias(f"{name}_amount")
+        )
+
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    mine = (
+        placed(left, left_id, "l")
+        .withColumn("t", F.explode(F.transform(around, lambda i: F.floor(F.col("l_at") / width) + i)))
+        .withColumn("a", F.explode(F.transform(around, lambda i: F.floor(F.col("l_amount") / tolerance) + i)))
+    )
+    other = placed(right, right_id, "r")
+    other = other.withColumn("t", F.floor(F.col("r_at") / width)).withColumn("a", F.floor(F.col("r_amount") / tolerance))
+    apart = F.abs(F.col("l_at") - F.col("r_at"))
+    near = mine.join(other, [*keys, "t", "a"]).where(
+        (apart <= width) & (F.abs(F.col("l_amount") - F.col("r_amount")) <= tolerance)
+    )
+    found = near.groupBy("l").agg(F.count("*").alias("n"), F.min(F.struct(apart.alias("apart"), "r")).alias("best"))
+    return left.select(F.col(left_id)).join(found, F.col(left_id) == F.col("l"), "left").select(
+        left_id, F.coalesce("n", F.lit(0)).alias("n_matches"), F.col("best.r").alias("nearest")
+    )
+
+
 def latest_within(
     left: DataFrame,
     right: DataFrame,

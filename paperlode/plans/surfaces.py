@@ -10,11 +10,14 @@ from paperlode.functions import text as T
 from paperlode.functions.geo import haversine_m
 from paperlode.functions.hashing import canonical_json
 from paperlode.functions.models import model_column
+from paperlode.operators import documents as D
 from paperlode.operators import integrity as I
+from paperlode.operators import joins as J
 from paperlode.operators import jobs as Q
 from paperlode.operators import stats as S
 from paperlode.plans.integrity import _payload
 from paperlode.plans.registry import Tables, query
+from paperlode.plans.texts import _MEMO_SQL, _memos
 from paperlode.session import shared_dir
 from paperlode.sources import files as FS
 from paperlode.sources.tables import SCHEMAS
@@ -221,3 +224,39 @@ def swept_counts(t: Tables) -> DataFrame:
     stale = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
     swept = Q.sweep_stale(jobs, stale, F.col("attempts"), 5, "new_state").where("new_state IS NOT NULL")
     return swept.groupBy("new_state").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), c AS (SELECT * FROM events WHERE event_type = 'click'),
+m AS (SELECT p.event_id AS id, c.event_id AS r, abs(epoch_us(p.ts) - epoch_us(c.ts)) AS apart FROM p JOIN c
+  ON c.user_id = p.user_id AND abs(epoch_us(p.ts) - epoch_us(c.ts)) <= 86400000000 AND abs(p.value - c.value) <= 5),
+b AS (SELECT id, count(*) AS n, min({'apart': apart, 'r': r}).r AS nearest FROM m GROUP BY id)
+SELECT event_id, coalesce(n, 0) AS n_matches, nearest FROM p LEFT JOIN b ON id = event_id""")
+def correlated_purchases(t: Tables) -> DataFrame:
+    """Purchases with the clicks of the same user within a day and of about the same value."""
+    events = t.events.select("event_id", "user_id", "ts", "value", "event_type")
+    purchases, clicks = events.where("event_type = 'purchase'"), events.where("event_type = 'click'")
+    return J.correlated(purchases, clicks, ["user_id"], "ts", "value", "event_id", "event_id", 86_400, 5.0)
+
+
+@query("""
+SELECT conv_id, turn, role AS "from", 'turn ' || turn || ' of ' || conv_id AS subject, sha256(text) AS body_hash FROM conversations""")
+def message_parts(t: Tables) -> DataFrame:
+    """Turns as mail messages with a folded subject, taken apart again."""
+    raw = F.concat(
+        F.lit("From: "), "role", F.lit("\r\nSubject: turn "), F.col("turn").cast("string"), F.lit("\r\n of "),
+        F.col("conv_id").cast("string"), F.lit("\r\nSubject: second\r\n\r\n"), "text",
+    )
+    messages = t.conversations.select(F.struct("conv_id", "turn").alias("id"), raw.alias("message"))
+    parts = D.email_parts(messages, "id", "message", ["From", "Subject"])
+    return parts.select("id.conv_id", "id.turn", "from", "subject", F.sha2("body", 256).alias("body_hash"))
+
+
+@query(f"""
+WITH {_MEMO_SQL},
+i AS (SELECT o_orderkey, unnest(regexp_extract_all(text, '{T.ISO_DATE}')) AS value FROM memo),
+u AS (SELECT o_orderkey, unnest(regexp_extract_all(text, '{T.US_DATE}')) AS value FROM memo)
+SELECT o_orderkey, value, try_strptime(value, '%Y-%m-%d') IS NOT NULL AS possible FROM i
+UNION ALL SELECT o_orderkey, value, try_strptime(value, '%m/%d/%Y') IS NOT NULL FROM u""")
+def memo_date_flags(t: Tables) -> DataFrame:
+    return D.date_flags(_memos(t), "o_orderkey", "text")

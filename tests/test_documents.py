@@ -208,3 +208,18 @@ def test_intake_describes_new_contents_only(rows):
     stored = rows([(1, "known")], "id bigint, text string")
     got = {r.id: (r.n_copies, r.n_chunks, r.n_words, r.n_entities) for r in D.intake(incoming, stored, "id", "text", 4).collect()}
     assert got == {4: (2, 3, 2, 1), 7: (1, 0, 0, 0)}
+
+
+def test_email_parts(rows):
+    whole = "Received: a\r\nReceived: b\r\nSUBJECT: one\r\n\ttwo\r\n\r\nBody\r\n\r\nSubject: not this"
+    df = rows([(1, whole), (2, "From: x"), (3, "\n\nonly body"), (4, None), (5, "")], "id int, m string")
+    got = {r.id: (r.received, r.subject, getattr(r, "from"), r.body) for r in D.email_parts(df, "id", "m", ["Received", "Subject", "From"]).collect()}
+    assert got[1] == ("a", "one two", None, "Body\r\n\r\nSubject: not this")
+    assert got[2] == (None, None, "x", "") and got[3] == (None, None, None, "only body")
+    assert got[5] == (None, None, None, "")
+
+
+def test_date_flags(rows):
+    df = rows([(1, "2024-02-30 and 2/29/2024, 2/29/2024; June 31, 2020")], "id int, text string")
+    got = {(r.value, r.possible) for r in D.date_flags(df, "id", "text").collect()}
+    assert got == {("2024-02-30", False), ("2/29/2024", True), ("June 31, 2020", False)}

@@ -131,3 +131,13 @@ def test_computed_once_blocks_pushdown(rows):
     df = computed_once(rows([(1, "ab")], "id int, t string"), ["id"], {"n": F.length("t"), "u": F.upper("t")})
     assert [tuple(r) for r in df.where("n = 2").collect()] == [(1, 2, "AB")]
     assert df.where("n > 5").count() == 0
+
+
+def test_correlated_by_party_time_and_amount(rows):
+    left = rows([(1, 1, 0, 10.0), (2, 1, 3600, 10.0), (3, 2, 0, 10.0), (4, None, 0, 10.0), (5, 1, 0, None)],
+                "id int, k int, s int, v double")
+    right = rows([(10, 1, 60, 10.5), (11, 1, -60, 9.5), (12, 1, 60, 11.5), (13, 1, 3700, 10.9), (14, 3, 0, 10.0)],
+                 "id int, k int, s int, v double")
+    both = [d.withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000) + F.col("s")).cast("timestamp_ntz")) for d in (left, right)]
+    found = J.correlated(*both, ["k"], "ts", "v", "id", "id", 120, 1.0).collect()
+    assert {r.id: (r.n_matches, r.nearest) for r in found} == {1: (2, 10), 2: (1, 13), 3: (0, None), 4: (0, None), 5: (0, None)}

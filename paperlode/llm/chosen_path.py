@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import NEAR_COPY, SHINGLE_WORDS, stored, text_or_empty
+from paperlode.llm.common import NEAR_COPY, SHINGLE_WORDS, broadcast_if_small, pieces, stored, text_or_empty
 from paperlode.llm.components import components
 
 COORDINATES = 64
@@ -33,7 +33,8 @@ LEAF, DEPTH = 64, 4
 #: at the threshold less 3.5 standard deviations.
 DEVIATIONS = 3.5
 #: Sets and bytes of one side of an exact comparison.
-BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
+COLUMNS = 4096  # shingles that are compared at a time
 PACKED = 6  # bytes that are kept of a shingle's hash
 
 
@@ -99,7 +100,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_i
     a, b = _coefficients()
 
     def build(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             out = []
             for text in batch.column("text"):
                 values = _shingles(text.as_py() or "", shingle)
@@ -185,7 +186,7 @@ def candidate_edges(sets: DataFrame, similarity: float = NEAR_COPY, recall: floa
         rows = stored(_children(rows), "paths")
         sizes = stored(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("head"))
                        .filter("size > 1"), "bucket-sizes")
-        members = rows.join(sizes, "path")
+        members = rows.join(broadcast_if_small(sizes), "path")
         small = members.filter(F.col("size") <= LEAF).groupBy("path").agg(
             F.collect_list(F.struct("rep", "t0", "t1")).alias("members")
         )
@@ -223,9 +224,9 @@ def _exact(similarity: float):
         column = np.cumsum(times > 1)[place[shared]] - 1
         owner, width = owner[shared], int((times > 1).sum())
         common = np.zeros((len(group), len(group)), np.float32)
-        for at in range(0, width, 8192):  # some columns at a time, so that memory stays bounded for long texts
-            here = (column >= at) & (column < at + 8192)
-            matrix = np.zeros((len(group), min(8192, width - at)), np.float32)
+        for at in range(0, width, COLUMNS):  # some columns at a time, so that memory stays bounded for long texts
+            here = (column >= at) & (column < at + COLUMNS)
+            matrix = np.zeros((len(group), min(COLUMNS, width - at)), np.float32)
             matrix[owner[here], column[here] - at] = 1.0
             common += matrix @ matrix.T
         near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-4
@@ -239,7 +240,7 @@ def _exact(similarity: float):
 
     def compare(batches):
         key, group = None, []
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             out = []
             for row in batch.to_pylist():
                 if (row["root"], row["a"], row["b"]) != key:
@@ -265,7 +266,7 @@ def verified_links(reps: DataFrame, rows: DataFrame, candidates: DataFrame, simi
     A component is dealt into blocks of bounded size; every pair of blocks is compared in a task of its own.
     """
     members = components(candidates).withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep")
-    members = stored(members, "candidates")
+    members = broadcast_if_small(stored(members, "candidates"))
     held = stored(rows.select(F.col("row").alias("rep"), "packed").join(members, "rep"), "candidate-sets")
     need = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("packed")) / BLOCK_BYTES))
     blocks = stored(held.groupBy("root").agg(need.cast("int").alias("blocks")), "component-blocks")
@@ -291,12 +292,10 @@ def similar_documents(docs: DataFrame, similarity: float = NEAR_COPY, shingle: i
     text without words, null included, is linked with nothing and is a class of its own. Extra columns are ignored.
     """
     rows = sketches(docs, shingle, id_col, text_col)
-    keys = rows.filter("n > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(keys, "distinct-sets")
-    firsts = reps.select("rep").withColumnRenamed("rep", "row")
-    light = rows.select("row", "t0", "t1", "sketch").join(firsts, "row")
-    light = stored(light.withColumnRenamed("row", "rep"), "distinct-sketches")
-    links = verified_links(reps, rows, candidate_edges(light, similarity, recall), similarity)
+    first = F.min(F.struct(F.col("row").alias("rep"), "t0", "t1", "sketch")).alias("f")
+    keys = rows.filter("n > 0").groupBy("set_key").agg(first, F.count("*").alias("copies"))
+    reps = stored(keys.select("set_key", "copies", "f.*"), "distinct-sets")
+    links = verified_links(reps, rows, candidate_edges(reps, similarity, recall), similarity)
     linked = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     spanning = links.filter("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
     roots = components(spanning).withColumnRenamed("node", "rep")

@@ -12,7 +12,7 @@ from paperlode.session import shared_dir
 #: Two texts with as many words in common as this are near copies: shingles of five words, Jaccard 0.8.
 SHINGLE_WORDS, NEAR_COPY = 5, 0.8
 #: A table goes to every executor only if it has been counted and has at most so many rows (of some 40 bytes).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: A word is a run of ASCII letters and digits and of all characters beyond ASCII.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
@@ -32,6 +32,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def pieces(batch, rows: int = 512):
+    """An Arrow batch or array in runs of a few rows, so that few texts are Python objects at a time."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

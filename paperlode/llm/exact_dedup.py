@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlode.llm.common import stored, text_or_empty
+from paperlode.llm.common import pieces, stored, text_or_empty
 
 #: Runs that the tree starts from (partitions beyond it share a run) and the part of the digest space a task merges.
 RUNS, SHARDS = 512, 65_536
@@ -25,7 +25,8 @@ ENTRY = ("digest", "n_bytes", "checksum")
 @F.arrow_udf(T.BinaryType())
 def _lowered_sha256(text: pa.Array) -> pa.Array:
     # bytes.lower() changes A-Z only, which is the normal form wanted here
-    return pa.array([hashlib.sha256(t.lower()).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+    texts = (t for part in pieces(text.cast(pa.binary())) for t in part.to_pylist())
+    return pa.array([hashlib.sha256(t.lower()).digest() for t in texts], pa.binary())
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,10 +50,13 @@ def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = 8) -> D
 
     `best` is (doc_id, row). Of equal ids the row that was read first stays; a null id loses to any other.
     """
-    id_order = F.col("doc_id") if keep == "largest" else -F.col("doc_id")
-    best = F.struct(F.col("doc_id").isNotNull().alias("known"), id_order.alias("order"), (-F.col("row")).alias("row"))
+    if keep == "largest":
+        choose, known, row = F.max, F.col("doc_id").isNotNull(), -F.col("row")
+    else:
+        choose, known, row = F.min, F.col("doc_id").isNull(), F.col("row")
+    best = F.struct(known.alias("known"), "doc_id", row.alias("row"))
     key = ["shard", "run", *ENTRY]
-    pick = [F.max("best").alias("best"), F.sum("copies").alias("copies")]
+    pick = [choose("best").alias("best"), F.sum("copies").alias("copies")]
     # the first round merges inside the tasks that read the rows; only distinct digests of a run leave them
     runs = entries.select(*key, best.alias("best"), F.lit(1).cast("long").alias("copies")).groupBy(*key).agg(*pick)
     left = RUNS
@@ -66,8 +69,8 @@ def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = 8) -> D
             .groupBy(*key)
             .agg(*pick)
         )
-    doc_id = F.col("best.order") if keep == "largest" else -F.col("best.order")
-    return runs.select(*ENTRY, doc_id.alias("keep_id"), (-F.col("best.row")).alias("keep_row"), "copies")
+    # row numbers are never negative, so the sign that turned them around goes again
+    return runs.select(*ENTRY, F.col("best.doc_id").alias("keep_id"), F.abs("best.row").alias("keep_row"), "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

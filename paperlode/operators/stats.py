@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlode.functions.text import is_negated
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -93,3 +95,14 @@ def value_conflicts(df: DataFrame, entity: str, source: str, value: str) -> Data
     return (
         summary.join(sources, entity).where(F.col("most") < F.col("n_sources")).select(entity, "n_sources", "n_values")
     )
+
+
+def polarity_conflicts(df: DataFrame, key: str, statement: str) -> DataFrame:
+    """(key, n_affirmed, n_denied) of keys that have statements of both kinds.
+
+    Statements are told apart by their negating words. Counting both kinds finds every key with an opposed pair
+    without forming pairs, and merges on the map side.
+    """
+    denied = is_negated(F.col(statement))
+    counted = df.groupBy(key).agg(F.count_if(~denied).alias("n_affirmed"), F.count_if(denied).alias("n_denied"))
+    return counted.where("n_affirmed > 0 AND n_denied > 0")

@@ -191,6 +191,16 @@ def negated_turns(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", T.is_negated(F.col("text")).alias("negated"))
 
 
+@query(f"""
+WITH n AS (SELECT source, len(list_filter(regexp_extract_all(regexp_replace(lower(text), 'n[’'']t', ' not', 'g'), '[a-z0-9]+'),
+  lambda w: list_contains([{_NEGATIONS}], w))) % 2 = 1 AS negated FROM documents)
+SELECT source, count(*) FILTER (WHERE NOT negated) AS n_affirmed, count(*) FILTER (WHERE negated) AS n_denied FROM n
+GROUP BY source HAVING n_affirmed > 0 AND n_denied > 0""")
+def polarity_conflicts(t: Tables) -> DataFrame:
+    """Sources that hold texts with and without a negation."""
+    return S.polarity_conflicts(t.documents, "source", "text")
+
+
 @query("""
 WITH v AS (SELECT source, lang, count(DISTINCT doc_id) AS n FROM documents GROUP BY ALL),
 s AS (SELECT source, count(DISTINCT doc_id) AS n_sources FROM documents GROUP BY source)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlode.llm.common import text_or_empty
+from paperlode.llm.common import pieces, text_or_empty
 
 #: How byte-level vocabularies of this family cut a text into pieces before merging (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces up to this length are remembered, and so many of them; longer ones are rare and counted each time.
-REMEMBERED_CHARS, REMEMBERED = 64, 200_000
+REMEMBERED_CHARS, REMEMBERED = 64, 300_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -42,10 +42,12 @@ class MergeCounter:
         model, stand_ins = spec["model"], byte_symbols()
         ids = {token: i for i, token in enumerate(model["vocab"])}
         self.base = {stand_ins[t]: i for t, i in ids.items() if len(t) == 1 and t in stand_ins}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair, packed into one number
+        self.made: list[int] = []  # the symbol that the merge of a rank makes
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a] << 32 | ids[b]] = rank
+            self.made.append(ids[a + b])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(PIECES)
@@ -53,26 +55,39 @@ class MergeCounter:
 
     def piece(self, data: bytes) -> int:
         """Tokens of one piece."""
-        symbol = [self.base[b] for b in data]
-        n = len(symbol)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(*self.merges[pair], i) for i, pair in enumerate(zip(symbol, symbol[1:])) if pair in self.merges]
-        heap = [(rank, i, made) for rank, made, i in heap]
+        symbol = list(map(self.base.__getitem__, data))
+        n, rank_of, made = len(symbol), self.ranks.get, self.made
+        # an entry of the heap is the rank of a pair, then the place of its left symbol
+        heap = []
+        for i in range(n - 1):
+            rank = rank_of(symbol[i] << 32 | symbol[i + 1])
+            if rank is not None:
+                heap.append(rank << 32 | i)
+        if not heap:
+            return n
         heapq.heapify(heap)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
         merged = 0
         while heap:
-            _, i, made = heapq.heappop(heap)
-            j = after[i] if symbol[i] is not None else -1
-            if j < 0 or self.merges.get((symbol[i], symbol[j]), (0, -1))[1] != made:
+            entry = heapq.heappop(heap)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            left = symbol[i]
+            j = after[i]
+            if left < 0 or j < 0 or rank_of(left << 32 | symbol[j]) != rank:
                 continue  # one of the two went into another merge meanwhile
-            symbol[i], symbol[j], after[i] = made, None, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
+            symbol[i], symbol[j] = made[rank], -1
+            right = after[i] = after[j]
             merged += 1
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if right >= 0 and (found := self.merges.get((symbol[left], symbol[right]))):
-                    heapq.heappush(heap, (found[0], left, found[1]))
+            if right >= 0:
+                before[right] = i
+                rank = rank_of(symbol[i] << 32 | symbol[right])
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | i)
+            left = before[i]
+            if left >= 0:
+                rank = rank_of(symbol[left] << 32 | symbol[i])
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | left)
         return n - merged
 
     def _remembered(self, piece: str) -> int:
@@ -98,11 +113,6 @@ class MergeCounter:
         return total
 
 
-@lru_cache(maxsize=2)
-def _counter(definition: str) -> MergeCounter:
-    return MergeCounter(definition)
-
-
 def token_counts(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = 512) -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens).
@@ -114,9 +124,10 @@ def token_counts(docs: DataFrame, definition: str, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     @F.arrow_udf(T.LongType())
-    def count(text: pa.Array) -> pa.Array:
-        counter = _counter(shared.value)
-        return pa.array([counter.text(t) for t in text.to_pylist()], pa.int64())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = MergeCounter(shared.value)  # local to the task, so that its memory goes with it
+        for text in batches:
+            yield pa.array([counter.text(t) for part in pieces(text) for t in part.to_pylist()], pa.int64())
 
     text = text_or_empty(F.col(text_col))
     counted = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),

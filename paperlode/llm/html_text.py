@@ -166,10 +166,15 @@ def main_text(html: str) -> str:
         if best is None or inside.get(best, 0) < MAJORITY * total:
             break
         chosen = best
-    named = chosen is not None and page.kinds[chosen] in ("article", "main")
-    first, last = (0, len(lines)) if named else (dense[0], dense[-1])
-    while first - 1 in page.headings and lines[first - 1][2]:
-        first -= 1  # a short heading belongs to the text below it
+    first, last = 0, len(lines)
+    if chosen is None or page.kinds[chosen] in ("html", "body"):
+        # the text has no element of its own: it goes from a heading above its first dense line to the last line
+        # that follows its dense lines without a break
+        first, last = dense[0], dense[-1]
+        while first - 1 in page.headings and lines[first - 1][2]:
+            first -= 1
+        while last + 1 < len(lines) and lines[last + 1][2] and lines[last + 1][3] == lines[last][3]:
+            last += 1
     return "\n".join(
         text for i, (text, _, kept, path) in enumerate(lines) if kept and first <= i <= last and (chosen is None or chosen in path)
     )

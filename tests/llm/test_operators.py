@@ -251,6 +251,17 @@ def test_main_text(tags):
     assert html_text.main_text(PAGE.format(open=tags[0], close=tags[1])) == WANTED
 
 
+def test_text_without_an_article_element():
+    long = "A paragraph that is long enough to be dense, with words and words and more words to the end of it."
+    start = "<html><body><div><ul><li><a href='/'>Home</a></li><li><a href='/b'>About</a></li></ul></div>"
+    end = "<div><a href='/c'>Imprint</a></div></body></html>"
+    wanted = "\n".join(["A title", long, "Short.", long, long, long, "End.", "Last."])
+    inner = f"<h2>A title</h2><p>{long}</p><p>Short.</p>" + f"<p>{long}</p>" * 3 + "<p>End.</p><p>Last.</p>"
+    assert html_text.main_text(start + inner + end) == wanted
+    assert html_text.main_text(f"{start}<div>{inner}</div>{end}") == wanted
+    assert html_text.main_text(f"{start}<table><tr><td>Menu</td><td>{inner}</td></tr></table>{end}") == wanted
+
+
 def test_wrappers_and_titles():
     page = '<div class="with-sidebar"><main><article><div class="entry-header"><h1>T</h1></div><p>A paragraph of text.</p>'
     page += '<ol class="comment-list"><article class="comment"><p>A remark by a reader.</p></article></ol></article></main>'

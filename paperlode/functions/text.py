@@ -30,12 +30,14 @@ USD_AFTER = r"([0-9][0-9,]*(?:\.[0-9]{2})?) USD"
 SERIAL_ID = r"\b[A-Z]{2,8}[-_ ]?[0-9]{4,10}\b"
 # Forms of United States legal citation in general use, most specific first: kind and pattern.
 LEGAL_FORMS = [
-    ("code", r"[0-9]{1,2} U\.S\.C\. §+ ?[0-9]+[a-z]*(?:-[0-9]+)?"),
+    ("code", r"[0-9]{1,2} U\.S\.C\.(?:A\.)? (?:§+ ?|[Cc]h(?:\.|apter) )[0-9]+[a-z]*(?:-[0-9]+)?"),
     ("regulation", r"[0-9]{1,2} C\.F\.R\. §+ ?[0-9]+(?:\.[0-9]+)?"),
-    ("opinion", r"[0-9]{1,4} (?:U\.S\.|S\. Ct\.|F\.2d|F\.3d|F\. Supp\.) [0-9]{1,5}"),
-    ("docket", r"[0-9]:[0-9]{2}-(?:cv|cr|mc|bk)-[0-9]{3,6}"),
-    ("section", r"§+ ?[0-9]+[a-z]*(?:[.-][0-9]+)?"),
+    ("opinion", r"[0-9]{1,4} (?:U\.S\.|S\. Ct\.|L\. Ed\. 2d|F\.2d|F\.3d|F\.4th|F\. Supp\.(?: [23]d)?|"
+     r"[ANP]\.[23]d|N\.[EW]\.[23]d|S\.[EW]\.[23]d|So\. [23]d|Cal\. (?:4th|5th)) [0-9]{1,5}"),
+    ("docket", r"[0-9]:[0-9]{2}-(?:cv|cr|mc|bk)-[0-9]{3,6}|\bNos?\. [0-9]{2}-[0-9]{1,6}\b"),
+    ("section", r"§+ ?[0-9]+[a-z]*(?:[.-][0-9]+)?|\b[Ss]ection [0-9]+[a-z]?(?:\.[0-9]+)?"),
 ]
+BAR_NUMBER = r"\b(?:State )?Bar (?:No\.|Number|ID):? ?#?[0-9]{4,8}\b"
 WORD = r"[a-z0-9]+"
 # Fixed value: words that turn a statement into its denial.
 NEGATIONS = ["cannot", "neither", "never", "no", "nobody", "none", "nor", "not", "nothing", "without"]
@@ -117,6 +119,11 @@ def phones(text: Column) -> Column:
     return F.array_distinct(found)
 
 
+def bar_numbers(text: Column) -> Column:
+    """Distinct registration numbers of lawyers, digits only, in order of first appearance."""
+    return F.array_distinct(F.transform(matches(text, BAR_NUMBER), lambda m: F.regexp_extract(m, "[0-9]+$", 0)))
+
+
 def has_ssn_shape(text: Column) -> Column:
     return text.rlike(SSN_CORE) & text.rlike(SSN_SHAPE)
 

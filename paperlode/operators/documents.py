@@ -247,7 +247,7 @@ def legal_references(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 def docket_year(reference: Column, pivot: int) -> Column:
     """Four-digit year of a docket reference; two digits below `pivot` belong to this century."""
-    year = F.regexp_extract(reference, r"^[0-9]:([0-9]{2})-", 1).try_cast("int")
+    year = F.regexp_extract(reference, r"^(?:[0-9]:|Nos?\. )([0-9]{2})-", 1).try_cast("int")
     return F.when(year < pivot, year + 2000).otherwise(year + 1900)
 
 

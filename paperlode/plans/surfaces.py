@@ -270,3 +270,11 @@ SELECT o_orderkey, value, try_strptime(value, '%Y-%m-%d') IS NOT NULL AS possibl
 UNION ALL SELECT o_orderkey, value, try_strptime(value, '%m/%d/%Y') IS NOT NULL FROM u""")
 def memo_date_flags(t: Tables) -> DataFrame:
     return D.date_flags(_memos(t), "o_orderkey", "text")
+
+
+@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 6, '0') AS bar_number FROM customer")
+def bar_numbers(t: Tables) -> DataFrame:
+    """A signature per customer, as the documents hold none; a longer number beside it must not count."""
+    line = F.format_string("/s/ %s (State Bar No. %06d), Bar No. 1234567890", "c_name", "c_custkey")
+    found = t.customer.select("c_custkey", T.bar_numbers(line).alias("numbers"))
+    return found.select("c_custkey", F.explode("numbers").alias("bar_number"))

@@ -198,7 +198,18 @@ def test_legal_references(rows):
     }
 
 
-@pytest.mark.parametrize(("reference", "year"), [("2:98-cv-00123", 1998), ("1:24-cr-5", 2024), ("x", None)])
+def test_wider_legal_references(rows):
+    text = "See 11 U.S.C. ch. 7 and 12 F.4th 345; 98 F. Supp. 3d 11, 5 P.3d 77. No. 21-476, Section 12 and section 3a. Bar No. 123456"
+    df = rows([(1, text)], "id int, text string")
+    got = {(r.reference, r.kind) for r in D.legal_references(df, "id", "text").collect()}
+    assert got == {
+        ("11 U.S.C. ch. 7", "code"), ("12 F.4th 345", "opinion"), ("98 F. Supp. 3d 11", "opinion"), ("5 P.3d 77", "opinion"),
+        ("No. 21-476", "docket"), ("Section 12", "section"), ("section 3a", "section"),
+    }
+    assert df.select(T.bar_numbers(F.col("text"))).first()[0] == ["123456"]
+
+
+@pytest.mark.parametrize(("reference", "year"), [("2:98-cv-00123", 1998), ("1:24-cr-5", 2024), ("No. 21-476", 2021), ("x", None)])
 def test_docket_year(rows, reference, year):
     assert rows([(reference,)], "r string").select(D.docket_year(F.col("r"), 70)).first()[0] == year
 

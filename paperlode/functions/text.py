@@ -173,9 +173,13 @@ def exclusive_spans(text: Column, patterns: list[str], context: int | None = Non
     return run(text)
 
 
-def mask_table(text: Column) -> Column:
-    """Array of (value, token) for the addresses, then the numbers, in the order they are found."""
-    found = F.array_distinct(F.concat(matches(text, EMAIL), matches(text, PHONE)))
+def mask_table(text: Column, names: Column | None = None) -> Column:
+    """Array of (value, token) for the addresses, then the numbers, in the order they are found, then those of the known
+    `names` (an array) that the text holds."""
+    parts = [matches(text, EMAIL), matches(text, PHONE)]
+    if names is not None:
+        parts.append(F.filter(names, lambda n: (n != "") & F.contains(text, n)))
+    found = F.array_distinct(F.concat(*parts))
     return F.transform(
         found,
         lambda value, i: F.struct(
@@ -196,6 +200,11 @@ def mask(text: Column, table: Column) -> Column:
     return F.aggregate(longest_first, text, lambda acc, e: F.replace(acc, e["value"], e["token"]))
 
 
+def depends_on_masked(statement: Column, table: Column) -> Column:
+    """Whether a statement about a masked text names one of the masked values by its token."""
+    return F.exists(table, lambda e: F.contains(statement, e["token"]))
+
+
 def unmask(text: Column, table: Column) -> Column:
     """Inverse of `mask`; the closing brackets keep token 1 apart from token 10."""
     return F.aggregate(table, text, lambda acc, e: F.replace(acc, e["token"], e["value"]))

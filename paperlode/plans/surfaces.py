@@ -278,3 +278,18 @@ def bar_numbers(t: Tables) -> DataFrame:
     line = F.format_string("/s/ %s (State Bar No. %06d), Bar No. 1234567890", "c_name", "c_custkey")
     found = t.customer.select("c_custkey", T.bar_numbers(line).alias("numbers"))
     return found.select("c_custkey", F.explode("numbers").alias("bar_number"))
+
+
+@query("""
+SELECT c_custkey, 'Paid by [[ENTITY-1]] of ' || n_name || ' through [[ENTITY-2]]' AS masked, c_custkey % 2 = 0 AS depends
+FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def masked_names(t: Tables) -> DataFrame:
+    """Known names are masked, one of two statements about each text depends on a masked value."""
+    customer, nation = t.customer, t.nation
+    joined = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    agent = F.concat(F.lit("Agent "), F.col("c_custkey").cast("string"))
+    text = F.concat(F.lit("Paid by "), "c_name", F.lit(" of "), "n_name", F.lit(" through "), agent)
+    keyed = joined.select("c_custkey", text.alias("text"), T.mask_table(text, F.array("c_name", agent, F.lit("absent"))).alias("e"))
+    statement = F.when(F.col("c_custkey") % 2 == 0, "[[ENTITY-2]] paid").otherwise("someone paid")
+    return keyed.select("c_custkey", T.mask(F.col("text"), F.col("e")).alias("masked"),
+                        T.depends_on_masked(statement, F.col("e")).alias("depends"))

@@ -234,3 +234,10 @@ def test_date_flags(rows):
     df = rows([(1, "2024-02-30 and 2/29/2024, 2/29/2024; June 31, 2020")], "id int, text string")
     got = {(r.value, r.possible) for r in D.date_flags(df, "id", "text").collect()}
     assert got == {("2024-02-30", False), ("2/29/2024", True), ("June 31, 2020", False)}
+
+
+def test_names_are_masked_and_restored(rows):
+    df = rows([(1, "Ann Lee met Ann (a@b.org); call 415-555-0100", ["Ann", "Ann Lee", "", "Bob"])], "id int, t string, n array<string>")
+    made = df.select("t", T.mask_table(F.col("t"), F.col("n")).alias("e")).select("*", T.mask(F.col("t"), F.col("e")).alias("m"))
+    row = made.select("*", T.unmask(F.col("m"), F.col("e")).alias("back"), T.depends_on_masked(F.col("m"), F.col("e")).alias("d")).first()
+    assert row.m == "[[ENTITY-4]] met [[ENTITY-3]] ([[ENTITY-1]]); call [[ENTITY-2]]" and row.back == row.t and row.d

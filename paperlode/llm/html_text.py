@@ -33,34 +33,57 @@ OTHER = frozenset(
     "video button select textarea dialog".split()
 )
 #: Words in class or id, and roles, that mark something else than the text; inside an article, heads are titles.
-_OTHER_WORDS = (
-    r"(?:^|[\s_-])(?:{}ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|respond|replies|reply|disqus|discussion|"
+_COMMENTS = r"comments?|respond|replies|reply|disqus|discussion"
+_WORDS = (
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|" + _COMMENTS + r"|"
     r"cookies?|consent|gdpr|notices?|alert|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|"
     r"topbar|toolbar|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|"
-    r"pagination|pager|skip)(?:$|[\s_-])"
+    r"pagination|pager|skip"
 )
-MARKED = re.compile(_OTHER_WORDS.format("header|masthead|"), re.IGNORECASE)
-MARKED_INSIDE = re.compile(_OTHER_WORDS.format(""), re.IGNORECASE)
+MARKED = re.compile(rf"(?:^|[\s_-])(?:header|masthead|{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
+MARKED_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
+#: A name that begins with its word ("related-posts") names the element itself; others ("with-sidebar") often a layout.
+NAMED = re.compile(rf"(?:^|\s)(?:header|masthead|{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
+REMARKS = re.compile(rf"(?:^|[\s_-])(?<!no[_-])(?<!has[_-])(?<!with[_-])(?<!without[_-])(?:{_COMMENTS})(?:$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without an end tag end where one of their kind starts, unless an element between them holds it.
+_LIST = BLOCKS - {"address", "div", "p"}
+ENDED_BY = {
+    "li": (frozenset(["li"]), _LIST - {"li"}),
+    "dd": (frozenset(["dd", "dt"]), _LIST - {"dd", "dt"}),
+    "dt": (frozenset(["dd", "dt"]), _LIST - {"dd", "dt"}),
+    "td": (frozenset(["td", "th"]), frozenset(["table"])),
+    "th": (frozenset(["td", "th"]), frozenset(["table"])),
+    "tr": (frozenset(["td", "th", "tr"]), frozenset(["table"])),
+}
+PARAGRAPH = (frozenset(["p"]), BLOCKS - {"p"})
 #: How much of the dense text a part must hold to be taken for the whole text.
 MAJORITY = 0.8
+#: What hides: an element that is never text, remarks, an element named as something else, a name or form around others.
+NEVER, REMARK, NAME, AROUND = range(4)
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, kept, path of containers) for every line of a page, and which lines are headings."""
+    """Collects (text, tags, ids of what hides it, path of containers, inside an article) for every line of a page, and
+    which lines are headings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []
         self.headings: set[int] = set()
         self.heading = False
-        # open elements that matter, with what each adds to `hidden` and whether it is on the path
-        self.stack: list[tuple[str, int, bool]] = []
+        # open blocks and elements that hide, each with the state in front of it
+        self.stack: list[tuple[str, tuple[int, ...], tuple[int, ...], bool]] = []
+        self.open: dict[str, int] = {}
         self.path: tuple[int, ...] = ()
         self.kinds: list[str] = []
-        self.hidden, self.tags = 0, 0
+        self.hidden: tuple[int, ...] = ()
+        self.marks: list[int] = []
+        self.marked_inside: list[bool] = []
+        self.inside = False
+        self.tags = 0
         self.parts: list[str] = []
 
     def _end_line(self) -> None:
@@ -68,58 +91,88 @@ class _Lines(HTMLParser):
         if text:
             if self.heading:
                 self.headings.add(len(self.lines))
-            self.lines.append((text, self.tags, not self.hidden, self.path))
+            self.lines.append((text, self.tags, self.hidden, self.path, self.inside))
         self.parts, self.tags = [], 0
 
-    def _other(self, tag: str, attrs) -> bool:
+    def _other(self, tag: str, attrs) -> int | None:
+        """How an element hides what it holds, if it does."""
         if tag in OTHER:
-            return True
-        inside = any(k in ("article", "main") for k, *_ in self.stack)
+            return AROUND if tag == "form" else NEVER
         if tag == "header":
-            return not inside  # inside of an article it holds the title
+            return None if self.inside else NEVER  # inside of an article it holds the title
         if tag in ("html", "body", "main") or tag == "article" and not self.hidden:
-            return False
-        marked = MARKED_INSIDE if inside else MARKED
+            return None
+        marked, found = MARKED_INSIDE if self.inside else MARKED, []
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if value and (name in ("class", "id") and marked.search(value) or name == "role" and value.lower() in ROLES):
-                return True
-        return False
+                return NEVER
+            if value and name == "role" and value.lower() in ROLES:
+                return NEVER
+            if value and name in ("class", "id") and marked.search(value):
+                found.append(REMARK if REMARKS.search(value) else NAME if NAMED.search(value) else AROUND)
+        return min(found, default=None)
+
+    def _pop(self, length: int) -> None:
+        while len(self.stack) > length:
+            tag, self.hidden, self.path, self.inside = self.stack.pop()
+            self.open[tag] -= 1
+
+    def _end(self, tags: frozenset[str], within: frozenset[str]) -> None:
+        """Close the open elements of these tags that no element of `within` holds."""
+        if not any(self.open.get(tag) for tag in tags):
+            return
+        least = at = len(self.stack)
+        while at and self.stack[at - 1][0] not in within:
+            at -= 1
+            if self.stack[at][0] in tags:
+                least = at
+        self._pop(least)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self._end_line()
             self.heading = tag in HEADINGS
+            self._end(*PARAGRAPH)
+            if tag in ENDED_BY:
+                self._end(*ENDED_BY[tag])
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
         other = self._other(tag, attrs)
-        if other or tag in CONTAINERS:
+        if other is None and tag not in BLOCKS and tag not in CONTAINERS:
+            return
+        self.stack.append((tag, self.hidden, self.path, self.inside))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if other is not None:
+            self.hidden = (*self.hidden, len(self.marks))
+            self.marks.append(other)
+            self.marked_inside.append(self.inside)
+        elif tag == "main":
             # the main part of a page is shown even if its wrapper is named after a side bar
-            adds = -self.hidden if tag == "main" else int(other)
-            on_path = tag in CONTAINERS and not other
-            self.stack.append((tag, adds, on_path))
-            self.hidden += adds
-            if on_path:
-                self.path = (*self.path, len(self.kinds))
-                self.kinds.append(tag)
+            self.hidden = ()
+        elif tag == "article" and all(self.marks[m] in (NAME, AROUND) for m in self.hidden):
+            self.hidden = tuple(m for m in self.hidden if self.marks[m] == NAME)
+        self.inside = self.inside or tag in ("article", "main")
+        if tag in CONTAINERS and other != NEVER:
+            self.path = (*self.path, len(self.kinds))
+            self.kinds.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_line()
             self.heading = False
         self.tags += 1
-        if any(open_tag == tag for open_tag, *_ in self.stack):
-            while True:
-                closed, added, on_path = self.stack.pop()
-                self.hidden -= added
-                if on_path:
-                    self.path = self.path[:-1]
-                if closed == tag:
-                    break
+        if not self.open.get(tag):
+            return
+        if tag in ENDED_BY or tag == "p":
+            self._end(frozenset([tag]), ENDED_BY.get(tag, PARAGRAPH)[1])
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] != tag:
+            at -= 1
+        self._pop(at)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -142,18 +195,49 @@ def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
+def _dense(lines, kept: list[bool]) -> list[int]:
+    """The kept lines whose smoothed text-to-tag ratio is high, all of them if none is."""
+    ratios = np.array([len(line[0]) / max(1, line[1]) if k else 0.0 for line, k in zip(lines, kept)])
+    level = smoothed(ratios)
+    dense = [i for i, k in enumerate(kept) if k and level[i] >= min(level.std(), level.max())]
+    return dense or [i for i, k in enumerate(kept) if k]
+
+
+def _kept(page: _Lines) -> list[bool]:
+    """Which lines are shown. An element that holds most of the dense text of a page does not hide it, whatever its name,
+    unless another part is an article; if nothing is left then, names hide nothing, and at last remarks are the text."""
+    lines, marks = page.lines, page.marks
+    if not marks:
+        return [True] * len(lines)
+    text = [not any(marks[m] in (NEVER, REMARK) for m in line[2]) for line in lines]
+    lifted: set[int] = set()
+    if any(t and line[2] for line, t in zip(lines, text)):
+        dense = _dense(lines, text)
+        most = sum(len(lines[i][0]) for i in dense) / 2
+        held: dict[int, int] = {}
+        for i in dense:
+            for m in lines[i][2]:
+                held[m] = held.get(m, 0) + len(lines[i][0])
+        article = any(line[4] and not line[2] for line in lines)
+        lifted = {m for m, n in held.items() if n > most and (page.marked_inside[m] or not article)}
+    for free in (lifted, {m for m, how in enumerate(marks) if how in (NAME, AROUND)},
+                 {m for m, how in enumerate(marks) if how != NEVER}):
+        kept = [all(m in free for m in line[2]) for line in lines]
+        if any(kept):
+            break
+    return kept
+
+
 def main_text(html: str) -> str:
     """The text of one page, one block a line."""
     page = _Lines()
     page.feed(html)
     page.finish()
-    lines = page.lines
-    if not any(kept for _, _, kept, _ in lines):
+    kept = _kept(page)
+    lines = [(text, tags, k, path) for (text, tags, _, path, _), k in zip(page.lines, kept)]
+    if not any(kept):
         return ""
-    ratios = np.array([len(text) / max(1, tags) if kept else 0.0 for text, tags, kept, _ in lines])
-    level = smoothed(ratios)
-    dense = [i for i in range(len(lines)) if lines[i][2] and level[i] >= min(level.std(), level.max())]
-    dense = dense or [i for i in range(len(lines)) if lines[i][2]]
+    dense = _dense(lines, kept)
     inside: dict[int, int] = {}
     for i in dense:
         for part in lines[i][3]:

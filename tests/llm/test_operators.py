@@ -269,6 +269,32 @@ def test_wrappers_and_titles():
     assert html_text.main_text(page) == "T\nA paragraph of text."
 
 
+LONG = "A paragraph that is long enough to be dense, with words and words and more words to the end of it."
+
+
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<div>", "</div>"), ("", "")])
+@pytest.mark.parametrize("wrapper", ['div class="with-sidebar"', 'div class="page-header-fixed"', 'div class="has-menu"',
+                                     'div id="market-share"', 'div class="no-comments"', "form"])
+def test_a_wrapper_does_not_hide_the_text(wrapper, tags):
+    inner = f"{tags[0]}<h1>T</h1><p>{LONG}</p><p>{LONG}</p>{tags[1]}"
+    page = f"<html><body><{wrapper}>{inner}</{wrapper.split()[0]}><footer>Foot</footer></body></html>"
+    assert html_text.main_text(page) == f"T\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<div>", "</div>"), ("", "")])
+def test_marked_elements_without_an_end_tag(tags):
+    paragraphs = f"<body>{tags[0]}<p>{LONG}<p class=share>Share this<p>{LONG}<p>{LONG}{tags[1]}</body>"
+    items = f"<body>{tags[0]}<ul><li>{LONG}<li class=share>Share this<li>{LONG}<li>{LONG}</ul>{tags[1]}</body>"
+    assert html_text.main_text(paragraphs) == html_text.main_text(items) == f"{LONG}\n{LONG}\n{LONG}"
+
+
+def test_other_articles_stay_hidden():
+    other = "".join(f"<article><p>{i} {LONG}</p></article>" for i in range(3))
+    for wrapper in ('div class="related"', 'section id="comments"', "aside", "nav"):
+        page = f"<body><div class='with-sidebar'><article><p>{LONG}</p></article></div><{wrapper}>{other}</{wrapper.split()[0]}>"
+        assert html_text.main_text(page) == LONG
+
+
 def test_articles_of_pages(spark):
     for html in texts_of(spark, SMALL, "pages", "page_id", "html").values():
         text = html_text.main_text(html)

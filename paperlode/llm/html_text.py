@@ -67,13 +67,15 @@ NEVER, REMARK, NAME, AROUND = range(4)
 
 class _Lines(HTMLParser):
     """Collects (text, tags, ids of what hides it, path of containers, inside an article) for every line of a page, and
-    which lines are headings."""
+    which lines are headings or nothing but links."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []
         self.headings: set[int] = set()
         self.heading = False
+        self.links: set[int] = set()
+        self.link, self.plain = False, False
         # open blocks and elements that hide, each with the state in front of it
         self.stack: list[tuple[str, tuple[int, ...], tuple[int, ...], bool]] = []
         self.open: dict[str, int] = {}
@@ -91,8 +93,10 @@ class _Lines(HTMLParser):
         if text:
             if self.heading:
                 self.headings.add(len(self.lines))
+            if not self.plain:
+                self.links.add(len(self.lines))
             self.lines.append((text, self.tags, self.hidden, self.path, self.inside))
-        self.parts, self.tags = [], 0
+        self.parts, self.tags, self.plain = [], 0, False
 
     def _other(self, tag: str, attrs) -> int | None:
         """How an element hides what it holds, if it does."""
@@ -136,6 +140,7 @@ class _Lines(HTMLParser):
             if tag in ENDED_BY:
                 self._end(*ENDED_BY[tag])
         self.tags += 1
+        self.link = self.link or tag == "a"
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -163,6 +168,8 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
             self.heading = False
+        if tag in BLOCKS or tag == "a":
+            self.link = False
         self.tags += 1
         if not self.open.get(tag):
             return
@@ -182,6 +189,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        self.plain = self.plain or not self.link and not data.isspace()
 
     def finish(self) -> None:
         self.close()
@@ -195,11 +203,13 @@ def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
-def _dense(lines, kept: list[bool]) -> list[int]:
-    """The kept lines whose smoothed text-to-tag ratio is high, all of them if none is."""
+def _dense(lines, kept: list[bool], links: set[int]) -> list[int]:
+    """The kept lines whose smoothed text-to-tag ratio is high, all of them if none is. Lines of links only count by
+    their own ratio, so that a short one beside the text does not."""
     ratios = np.array([len(line[0]) / max(1, line[1]) if k else 0.0 for line, k in zip(lines, kept)])
     level = smoothed(ratios)
-    dense = [i for i, k in enumerate(kept) if k and level[i] >= min(level.std(), level.max())]
+    least = min(level.std(), level.max())
+    dense = [i for i, k in enumerate(kept) if k and level[i] >= least and (i not in links or ratios[i] >= least)]
     return dense or [i for i, k in enumerate(kept) if k]
 
 
@@ -212,7 +222,7 @@ def _kept(page: _Lines) -> list[bool]:
     text = [not any(marks[m] in (NEVER, REMARK) for m in line[2]) for line in lines]
     lifted: set[int] = set()
     if any(t and line[2] for line, t in zip(lines, text)):
-        dense = _dense(lines, text)
+        dense = _dense(lines, text, page.links)
         most = sum(len(lines[i][0]) for i in dense) / 2
         held: dict[int, int] = {}
         for i in dense:
@@ -237,30 +247,33 @@ def main_text(html: str) -> str:
     lines = [(text, tags, k, path) for (text, tags, _, path, _), k in zip(page.lines, kept)]
     if not any(kept):
         return ""
-    dense = _dense(lines, kept)
+    dense = _dense(lines, kept, page.links)
     inside: dict[int, int] = {}
     for i in dense:
         for part in lines[i][3]:
             inside[part] = inside.get(part, 0) + len(lines[i][0])
-    total, chosen = sum(len(lines[i][0]) for i in dense), None
-    while chosen is None or page.kinds[chosen] not in ("article", "main"):
-        depth = 0 if chosen is None else next(p.index(chosen) + 1 for *_, p in lines if chosen in p)
-        below = {p[depth] for *_, p in lines if len(p) > depth and (chosen is None or p[depth - 1] == chosen)}
-        best = max(below, key=lambda part: inside.get(part, 0), default=None)
-        if best is None or inside.get(best, 0) < MAJORITY * total:
-            break
-        chosen = best
-    first, last = 0, len(lines)
+    total = sum(len(lines[i][0]) for i in dense)
+    # an article that holds nearly all of the dense text, the outermost of them, or else the innermost part that holds
+    # every dense line
+    articles = [part for part, n in inside.items() if page.kinds[part] in ("article", "main") and n >= MAJORITY * total]
+    whole = [part for part, n in inside.items() if n == total]
+    chosen = min(articles) if articles else max(whole, default=None)
     if chosen is None or page.kinds[chosen] in ("html", "body"):
-        # the text has no element of its own: it goes from a heading above its first dense line to the last line
-        # that follows its dense lines without a break
+        # the text has no element of its own: it goes from its first dense line to the last line that follows its
+        # dense lines without a break
         first, last = dense[0], dense[-1]
-        while first - 1 in page.headings and lines[first - 1][2]:
-            first -= 1
         while last + 1 < len(lines) and lines[last + 1][2] and lines[last + 1][3] == lines[last][3]:
             last += 1
+    else:
+        held = [i for i, (*_, path) in enumerate(lines) if chosen in path]
+        first, last = held[0], held[-1]
+    top = first
+    while top - 1 in page.headings and lines[top - 1][2]:
+        top -= 1
     return "\n".join(
-        text for i, (text, _, kept, path) in enumerate(lines) if kept and first <= i <= last and (chosen is None or chosen in path)
+        text
+        for i, (text, _, k, path) in enumerate(lines)
+        if k and (top <= i < first or first <= i <= last and (chosen is None or chosen in path))
     )
 
 

@@ -295,6 +295,20 @@ def test_other_articles_stay_hidden():
         assert html_text.main_text(page) == LONG
 
 
+def test_no_part_of_the_text_is_dropped():
+    parts = f"<div><p>{LONG}</p><p>{LONG}</p>" + f"<p>{LONG}</p>" * 4 + f"</div><div><p>{LONG} End.</p></div>"
+    wanted = "\n".join(["T", *[LONG] * 6, f"{LONG} End."])
+    menu = "<div><ul><li><a href='/'>Home</a></li><li><a href='/b'>About</a></li></ul></div>"
+    end = "<div><a href='/c'>Imprint</a></div>"
+    assert html_text.main_text(f"<body>{menu}<div id=content><h1>T</h1>{parts}</div>{end}</body>") == wanted
+    assert html_text.main_text(f"<body>{menu}<h1>T</h1><div id=content>{parts}</div>{end}</body>") == wanted
+    nested = f"<div><h1>T</h1><div><div>{parts}</div></div></div>"
+    assert html_text.main_text(f"<body>{menu}{nested}{end}</body>") == wanted
+    for kind in ("article", "main", "div", "section"):
+        page = f"<body>{menu}<div><h1>T</h1><h2>Sub</h2><{kind}><p>{LONG}</p><p>{LONG}</p></{kind}></div>{end}</body>"
+        assert html_text.main_text(page) == f"T\nSub\n{LONG}\n{LONG}"
+
+
 def test_articles_of_pages(spark):
     for html in texts_of(spark, SMALL, "pages", "page_id", "html").values():
         text = html_text.main_text(html)

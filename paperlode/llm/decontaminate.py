@@ -93,11 +93,42 @@ def phrase_matches(item_terms: DataFrame, postings: DataFrame, window: int = 13)
     )
 
 
+def near_alignments(item_terms: DataFrame, postings: DataFrame, lists: int, slop: int, share: float) -> DataFrame:
+    """(row, item, shift): where an item may stand in a text with words moved, replaced or missing.
+
+    Of an item with n words that any text has, n - need can be missing when `need` must be met. So among its n - need + k
+    rarest words at least k are met, wherever the others are; only the lists of these are intersected, each within
+    `slop`. Words that no text has are met nowhere and are not among them.
+    """
+    counted = postings.filter("term_id > 0").groupBy("term_id").agg(F.count("*").alias("postings"))
+    known = item_terms.join(stored(counted, "term-counts"), "term_id").withColumn("need", _least_words(share))
+    of_item = Window.partitionBy("item")
+    ranked = known.withColumn("present", F.count("*").over(of_item)).withColumn(
+        "place", F.row_number().over(of_item.orderBy("postings", "offset"))
+    )
+    needed = F.least(F.lit(lists), "need")
+    rare = ranked.filter(F.col("present") >= F.col("need")).filter(F.col("place") <= F.col("present") - F.col("need") + needed)
+    rare = broadcast_if_small(stored(rare.select("item", "offset", "term_id", needed.alias("needed")), "rarest"))
+    shift = F.explode(F.sequence(F.col("pos") - F.col("offset") - slop, F.col("pos") - F.col("offset") + slop))
+    found = postings.join(rare, "term_id").select("row", "item", "offset", "needed", shift.alias("shift"))
+    met = found.groupBy("row", "item", "shift").agg(
+        F.count_distinct("offset").alias("met"), F.first("needed").alias("needed")
+    )
+    return stored(met.filter("met >= needed").drop("met", "needed"), "alignments")
+
+
+def _least_words(share: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(share * F.col("n_item") - 1e-9)).cast("int")
+
+
 def proximity_matches(item_terms: DataFrame, postings: DataFrame, window: int = 13, slop: int = 5,
                       share: float = 0.8) -> DataFrame:
-    """(row, item, shift, words): places where at least `share` of an item's words stand within `slop` words of
-    where the alignment puts them."""
-    places = alignments(item_terms, postings, window)
+    """(row, item, shift, words): every place where at least `share` of an item's words stand within `slop` words of
+    where the shift puts them; one match is found at all neighbouring shifts that meet this.
+
+    `window` is at most the number of rarest words that are looked up together; the places do not depend on it.
+    """
+    places = near_alignments(item_terms, postings, min(3, window), slop, share)
     rows = broadcast_if_small(stored(places.select("row").distinct(), "aligned-rows"))
     near = postings.filter("term_id > 0").join(rows, "row", "left_semi").select("row", "pos", "term_id")
     moved = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
@@ -106,7 +137,7 @@ def proximity_matches(item_terms: DataFrame, postings: DataFrame, window: int =
     counted = met.groupBy("row", "item", "shift").agg(
         F.count_distinct("offset").alias("words"), F.first("n_item").alias("n_item")
     )
-    return counted.filter(F.col("words") >= share * F.col("n_item")).drop("n_item")
+    return counted.filter(F.col("words") >= _least_words(share)).drop("n_item")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, doc_id: str = "doc_id",

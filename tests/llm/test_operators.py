@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -228,6 +229,28 @@ def test_proximity(spark):
     assert {names[r.row] for r in exact.collect()} == {3}
 
 
+def test_proximity_by_brute_force(spark):
+    rng = random.Random(5)
+    texts = {1: "f f a b extra c d e", 2: "a c b d e f f", 3: "p q r s t u v w x unseen f", 4: "f f f f"}
+    texts |= {i: " ".join(rng.choices("abcdefpqrstuvwxf", k=rng.randrange(1, 25))) for i in range(5, 40)}
+    wanted = {1: "a b c d e", 2: "p q r s t u v w x y9", 3: "f", 4: "a f a b", 5: "nowhere at all"}
+    items = spark.createDataFrame(list(wanted.items()), "item_id bigint, text string")
+    terms, vocabulary = decontaminate.index_items(items)
+    postings = decontaminate.index_documents(frame(spark, texts), vocabulary)
+    names = {r.row: r.doc_id for r in postings.filter("term_id = 0").collect()}
+    ids = {r["item"]: int(r.item_id) for r in terms.collect()}
+    found = decontaminate.proximity_matches(terms, postings, slop=2).collect()
+    expected = set()
+    for doc, text in texts.items():
+        for item, words in ((i, t.split()) for i, t in wanted.items()):
+            for shift in range(-len(words) - 2, len(text.split()) + 3):
+                met = sum(w in text.split()[max(0, shift + o - 2) : max(0, shift + o + 3)] for o, w in enumerate(words))
+                if 10 * met >= 8 * len(words):
+                    expected.add((doc, item, shift, met))
+    assert {(names[r.row], ids[r["item"]], r["shift"], r.words) for r in found} == expected and len(found) == len(expected)
+    assert {(1, 1), (2, 1), (3, 2)} <= {(d, i) for d, i, *_ in expected}
+
+
 # 6
 
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body>

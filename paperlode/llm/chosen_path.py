@@ -210,10 +210,12 @@ def _exact(similarity: float):
     Yields for each set how many rows it is linked to (copies counted), and a spanning forest of the links.
     """
 
-    def links(group):
+    def links(group, a, b):
         reps = np.array([g[0] for g in group])
         copies = np.array([g[1] for g in group])
         side = np.array([g[2] for g in group])
+        if a != b and (side == side[0]).all():  # the other block got no sets; links inside this one count at (a, a)
+            return []
         values = [np.frombuffer(g[3], np.uint8).reshape(-1, PACKED) for g in group]
         sizes = np.array([len(v) for v in values])
         wide = np.zeros((int(sizes.sum()), 8), np.uint8)
@@ -231,7 +233,7 @@ def _exact(similarity: float):
             common += matrix @ matrix.T
         near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-4
         np.fill_diagonal(near, False)
-        if (side != side[0]).any():
+        if a != b:
             near &= side[:, None] != side[None, :]
         linked = near @ copies
         forest = _forest(near)
@@ -245,12 +247,12 @@ def _exact(similarity: float):
             for row in batch.to_pylist():
                 if (row["root"], row["a"], row["b"]) != key:
                     if len(group) > 1:
-                        out += links(group)
+                        out += links(group, *key[1:])
                     key, group = (row["root"], row["a"], row["b"]), []
                 group.append((row["rep"], row["copies"], row["block"], row["packed"]))
             yield _link_batch(out)
         if len(group) > 1:
-            yield _link_batch(links(group))
+            yield _link_batch(links(group, *key[1:]))
 
     return compare
 

@@ -453,6 +453,16 @@ def test_near_copies_of_documents(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in found} == brute_links(texts)
 
 
+def test_links_count_once_when_blocks_stay_empty(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK_BYTES", 300)  # four blocks for two sets of 96 and 97 shingles
+    texts = {}
+    for i in range(0, 24, 2):
+        texts[i] = " ".join(f"w{i}x{k}" for k in range(100))
+        texts[i + 1] = texts[i] + " end"
+    found = chosen_path.similar_documents(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == {i: (i - i % 2, 1) for i in texts}
+
+
 def test_trees_reach_the_recall():
     assert chosen_path.trees_for(0.999) == 3
     assert chosen_path.trees_for(0.5) == 1

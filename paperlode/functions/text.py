@@ -97,9 +97,17 @@ def may_match(text: Column, pattern: str) -> Column:
     return F.contains(text, F.lit(REQUIRED[pattern])) if pattern in REQUIRED else F.lit(True)
 
 
+_WORD = "[0-9A-Za-z_]"
+
+
+def in_java(pattern: str) -> str:
+    """A pattern whose \\b means in Java what it means in RE2 and under re.ASCII: Java's own counts all letters as word."""
+    return pattern.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches in order, over the whole text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(in_java(pattern)), F.lit(group))
     if pattern not in REQUIRED:
         return found
     nothing = F.when(text.isNotNull(), F.array().cast("array<string>"))

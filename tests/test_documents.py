@@ -241,3 +241,15 @@ def test_names_are_masked_and_restored(rows):
     made = df.select("t", T.mask_table(F.col("t"), F.col("n")).alias("e")).select("*", T.mask(F.col("t"), F.col("e")).alias("m"))
     row = made.select("*", T.unmask(F.col("m"), F.col("e")).alias("back"), T.depends_on_masked(F.col("m"), F.col("e")).alias("d")).first()
     assert row.m == "[[ENTITY-4]] met [[ENTITY-3]] ([[ENTITY-1]]); call [[ENTITY-2]]" and row.back == row.t and row.d
+
+
+def test_word_boundaries_beside_other_letters(rows):
+    phone, day = "555-123-4567", "2024-05-06"
+    texts = [f"é{phone}", f"{phone}é", f"電話{phone}番", f"日{day}日", f"x{phone}", f"{day}_"]
+    df = rows(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = D.found_spans(df, "doc_id", "text", {"phone": T.PHONE, "day": T.ISO_DATE}).collect()
+    assert {(r.doc_id, r.value) for r in spans} == {(0, phone), (1, phone), (2, phone), (3, day)}
+    found = df.select("doc_id", T.matches(F.col("text"), T.PHONE).alias("p"), T.matches(F.col("text"), T.ISO_DATE).alias("d"))
+    assert {r.doc_id: (r.p, r.d) for r in found.collect()} == {
+        0: ([phone], []), 1: ([phone], []), 2: ([phone], []), 3: ([], [day]), 4: ([], []), 5: ([], [])
+    }

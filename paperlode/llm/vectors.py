@@ -164,9 +164,9 @@ def dealt(queries: np.ndarray, vectors: np.ndarray, needs: np.ndarray, width: in
     Neighbouring cells share a gang while their queries fit one part; a cell with more is a gang of several parts.
     There are as many blocks as keep a task's vectors within bounds, and enough tasks for `width` of them to run.
     """
-    gang, now, filled = np.zeros(len(queries), dtype=np.int64), -1, GANG_ROWS
+    gang, now, filled = np.zeros(len(queries), dtype=np.int64), 0, 0
     for cell, n in enumerate(queries):
-        if filled + n > GANG_ROWS:
+        if filled and filled + n > GANG_ROWS:
             now, filled = now + 1, 0
         gang[cell] = now
         filled += n

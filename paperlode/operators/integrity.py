@@ -50,9 +50,11 @@ def _same(stored: Column, computed: Column) -> Column:
     return F.coalesce(stored == computed, F.lit(False))
 
 
-def verify_chain(log: DataFrame, order: str, payload: Column, splits: Sequence[float] | None = None) -> DataFrame:
-    """The same checks for a cumulative chain, where `hash` = sha256(`prev_hash` + payload)."""
-    ahead = previous_row(log, [], F.col(order), [F.col(order)], ["hash"], "__prev", splits)
+def verify_chain(
+    log: DataFrame, order: str, payload: Column, splits: Sequence[float] | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The same checks for cumulative chains (one for each of `keys`), where `hash` = sha256(`prev_hash` + payload)."""
+    ahead = previous_row(log, keys, F.col(order), [F.col(order)], ["hash"], "__prev", splits)
     return (
         ahead.withColumn("content_ok", _same(F.col("hash"), sha256_hex(F.concat(F.col("prev_hash"), payload))))
         .withColumn("pointer_ok", _same(F.col("prev_hash"), F.coalesce(F.col("__prev.hash"), F.lit(GENESIS))))

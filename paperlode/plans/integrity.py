@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from paperlode.functions.hashing import canonical_json, row_payload, sha256_hex
 from paperlode.functions.text import name_key
@@ -12,6 +13,10 @@ from paperlode.operators import documents as D
 from paperlode.operators import integrity as I
 from paperlode.operators.ordered import order_splits
 from paperlode.plans.registry import Tables, query
+from paperlode.session import shared_dir
+from paperlode.sources.tables import SCHEMAS
+from paperlode.streaming.chains import continued_chains
+from paperlode.streaming.ingest import run_to_table
 
 
 def _payload() -> Column:
@@ -64,6 +69,52 @@ def verify_altered_log(t: Tables) -> DataFrame:
     )
 
 
+_CHAIN_SQL = f"""
+e AS (SELECT *, {_PAYLOAD_SQL} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events WHERE user_id IS NOT NULL),
+chain AS (SELECT user_id, event_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || payload) AS hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.seq, c.hash, sha256(c.hash || e.payload) FROM chain c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"""
+
+
+def _chained(t: Tables) -> DataFrame:
+    """The chains of all users, continued over four batches of files, of which one is sent twice."""
+    path = shared_dir(t.spark, "chains")
+    third = F.floor(F.percent_rank().over(W.orderBy("first")) * 2.999)
+    # batches are cut by ranges of the id, from one row for each thousand ids
+    ranges = t.events.groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.min("event_id").alias("first"))
+    ranges = F.broadcast(ranges.select("part", third.alias("batch")))
+    split = t.events.withColumn("part", F.floor(F.col("event_id") / 1000)).join(ranges, "part").drop("part")
+    split.hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{path}/split")
+    batches = t.spark.read.schema(f"{SCHEMAS['events']}, batch int").parquet(f"{path}/split")
+    for batch in (0, 1, 1, 2):
+        batches.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{path}/arrived")
+        stream = t.spark.readStream.schema(SCHEMAS["events"]).parquet(f"{path}/arrived")
+        run_to_table(continued_chains(stream, "user_id", "event_id", _payload()), f"{path}/chain").awaitTermination()
+    return t.spark.read.schema("user_id bigint, event_id bigint, seq bigint, prev_hash string, hash string").parquet(f"{path}/chain/data")
+
+
+@query(f"WITH RECURSIVE {_CHAIN_SQL} SELECT user_id, event_id, seq, prev_hash, hash FROM chain")
+def chained_events(t: Tables) -> DataFrame:
+    """A chain for each user, appended to by a stream; what is sent again adds nothing."""
+    return _chained(t)
+
+
+@query(f"""
+WITH RECURSIVE {_CHAIN_SQL},
+altered AS (SELECT c.user_id, c.event_id, event_type, ts, c.prev_hash, c.hash, CASE WHEN event_type = 'error' AND value < 5 THEN '' ELSE props END AS props
+  FROM chain c JOIN e USING (event_id) WHERE NOT (event_type = 'signup' AND value < 5))
+SELECT user_id, event_id, coalesce(hash = sha256(prev_hash || {_PAYLOAD_SQL}), false) AS content_ok,
+  prev_hash = coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS pointer_ok
+FROM altered""")
+def verify_chained_events(t: Tables) -> DataFrame:
+    """The chains of all users after some rows were changed and others deleted."""
+    log = _chained(t).select("event_id", "prev_hash", "hash").join(t.events, "event_id")
+    deleted = (F.col("event_type") == "signup") & (F.col("value") < 5)
+    changed = (F.col("event_type") == "error") & (F.col("value") < 5)
+    altered = log.where(~deleted).withColumn("props", F.when(changed, "").otherwise(F.col("props")))
+    checked = I.verify_chain(altered, "event_id", _payload(), keys=["user_id"])
+    return checked.select("user_id", "event_id", "content_ok", "pointer_ok")
+
+
 @query(rf"""
 WITH RECURSIVE leaves AS (SELECT list(sha256('\x00'::BLOB || encode({_PAYLOAD_SQL})) ORDER BY event_id) AS hs FROM events),
 r AS (SELECT hs FROM leaves UNION ALL

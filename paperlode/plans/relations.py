@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from paperlode.functions.times import epoch_micros, still_valid
 from paperlode.operators import access as A
@@ -11,6 +12,7 @@ from paperlode.operators import documents as D
 from paperlode.operators import joins as J
 from paperlode.operators import retrieval as R
 from paperlode.operators import stats as S
+from paperlode.operators import traversal as T
 from paperlode.plans.registry import Tables, query
 
 
@@ -166,6 +168,59 @@ def replies(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn FROM conversations),
+up AS (SELECT conv_id, turn, turn AS ancestor_turn, 0 AS depth FROM t
+  UNION ALL SELECT up.conv_id, up.turn, p.turn, depth + 1 FROM up JOIN t p ON p.conv_id = up.conv_id AND p.turn = up.ancestor_turn - 1)
+SELECT conv_id, turn, ancestor_turn, depth FROM up WHERE depth > 0""")
+def turn_ancestors(t: Tables) -> DataFrame:
+    """Each turn with all turns it goes back to."""
+    turn = t.conversations.select(F.struct("conv_id", "turn").alias("node"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent"))
+    edges = turn.join(turn.select(F.col("node").alias("parent")), "parent", "left_semi")
+    return T.reach(edges, "node", "parent").select("node.conv_id", "node.turn", F.col("parent.turn").alias("ancestor_turn"), "depth")
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role FROM conversations),
+up AS (SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM t
+  UNION ALL SELECT up.conv_id, up.turn, p.turn, depth + 1 FROM up JOIN t p ON p.conv_id = up.conv_id AND p.turn = up.root_turn - 1)
+SELECT conv_id, turn, max_by(root_turn, depth) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn""")
+def conversation_roots(t: Tables) -> DataFrame:
+    """Where the replies of each turn begin, and how deep it lies below."""
+    turns = t.conversations.select("conv_id", "turn", (F.col("turn") - 1).alias("up"))
+    found = T.roots(turns, ["conv_id", "turn"], ["conv_id", "up"])
+    return found.select("conv_id", "turn", F.col("root.turn").alias("root_turn"), "depth")
+
+
+@query("""
+WITH RECURSIVE seen AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b,
+    value FROM events WHERE value > 90),
+e AS (SELECT DISTINCT user_id, a, b FROM seen WHERE b IS NOT NULL),
+r AS (SELECT user_id, a, b, 1 AS depth FROM e UNION SELECT r.user_id, r.a, e.b, depth + 1 FROM r JOIN e ON e.user_id = r.user_id AND e.a = r.b WHERE depth < 6)
+SELECT user_id, a AS from_type, b AS to_type, min(depth) AS depth FROM r GROUP BY ALL""")
+def reachable_types(t: Tables) -> DataFrame:
+    """Which kinds of large events of a user lead to which, in how few steps; the steps run in circles."""
+    line = W.partitionBy("user_id").orderBy("ts", "event_id")
+    large = t.events.where("value > 90").withColumn("next", F.lead("event_type").over(line)).where("next IS NOT NULL")
+    edges = large.select(F.struct("user_id", F.col("event_type").alias("kind")).alias("s"), F.struct("user_id", F.col("next").alias("kind")).alias("t"))
+    found = T.reach(edges, "s", "t")
+    return found.select("s.user_id", F.col("s.kind").alias("from_type"), F.col("t.kind").alias("to_type"), "depth")
+
+
+@query("""
+WITH RECURSIVE nodes AS (SELECT event_id, CASE WHEN event_type = 'error' THEN event_id - 7 WHEN event_id % 3 = 0 THEN event_id // 3 ELSE event_id // 10 END AS parent FROM events),
+walk AS (SELECT event_id, event_id AS spot, 0 AS depth FROM nodes
+  UNION ALL SELECT walk.event_id, p.event_id, depth + 1 FROM walk JOIN nodes n ON n.event_id = walk.spot JOIN nodes p ON p.event_id = n.parent WHERE depth < 60),
+ends AS (SELECT event_id, max(depth) AS depth, max_by(spot, depth) AS root FROM walk GROUP BY event_id)
+SELECT event_id, CASE WHEN depth < 60 THEN root END AS root, CASE WHEN depth < 60 THEN depth END AS depth FROM ends""")
+def event_forest(t: Tables) -> DataFrame:
+    """Roots of a forest over events with hot parents and event 0 as a circle of its own; what leads to 0 has no root."""
+    at = F.col("event_id")
+    parent = F.when(F.col("event_type") == "error", at - 7).when(at % 3 == 0, F.floor(at / 3)).otherwise(F.floor(at / 10))
+    found = T.roots(t.events.select("event_id", parent.cast("bigint").alias("parent")), ["event_id"], ["parent"])
+    return found.select("event_id", F.col("root.event_id").alias("root"), "depth")
+
+
 @query("""
 SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS
   (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")

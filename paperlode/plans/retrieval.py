@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperlode.operators import retrieval as R
 from paperlode.plans.registry import Tables, query
 from paperlode.session import shared_dir
+from paperlode.sources.tables import version_of
 
 QUERY = "apache license the version of"
 PHRASE = "released under the license"
@@ -75,12 +76,12 @@ def bm25_all_terms(t: Tables) -> DataFrame:
     return R.bm25_top_k(t.documents, "doc_id", "text", PHRASE, require_all=True)
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
 def stored_index(t: Tables) -> str:
-    """The folder of the index over `documents`, built on first use in a session and read by all later queries."""
-    key = (t.spark.sparkContext.applicationId, t.base)
+    """The folder of the index over `documents`; built once in a session for each state of the table's files."""
+    key = (t.spark.sparkContext.applicationId, version_of(t.documents))
     if key not in _INDEXES:
         path = shared_dir(t.spark, "index")
         R.write_index(t.documents, "doc_id", "text", path)

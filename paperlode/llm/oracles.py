@@ -25,22 +25,34 @@ FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce
 WHERE {condition}"""
 
 
-_ALLOWED = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in secrets.ALLOWED)
+def _cut(text: str) -> str:
+    for pattern, n in secrets.ALLOWED:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(secrets.CUT * n)}, 'g')"
+    return text
+
+
+def _looks() -> str:
+    """Whether a window has what its class needs, and enough entropy."""
+    return " OR ".join(
+        f"class = {k} AND h >= {c.least_bits} AND " + " AND ".join(f"regexp_matches(w, {quoted(p)})" for p in c.needs)
+        for k, c in enumerate(secrets.CLASSES)
+    )
+
 
 SECRETS = f"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-base AS ({_matches(0, secrets.ASSIGN, f"length(v[i]) >= {secrets.ASSIGN_CHARS}", 2)} UNION ALL
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS (WITH texts AS (SELECT * FROM whole) {_matches(0, secrets.ASSIGN, f"length(v[i]) >= {secrets.ASSIGN_CHARS}", 2)} UNION ALL
   {_matches(1, secrets.ACCESS, f"length(m[i]) >= {secrets.ACCESS_CHARS}")} UNION ALL {_matches(2, secrets.HEX, "true")}),
-runs AS ({_matches(3, secrets.CANDIDATE, "true")}),
-odd AS (SELECT *, regexp_full_match(value, '[0-9a-fA-F]+') AS hex FROM runs
-        WHERE regexp_matches(value, {quoted(secrets.UNLIKE_WORDS)}) AND NOT ({_ALLOWED})),
-windows AS (SELECT doc_id, start, stop, hex, unnest(range(1, length(value) - {secrets.WINDOW - 2})) AS i,
-                   CASE WHEN hex THEN lower(value) ELSE value END AS value FROM odd),
-letters AS (SELECT doc_id, start, stop, hex, i, unnest(string_split(substring(value, i, {secrets.WINDOW}), '')) AS c FROM windows),
-counts AS (SELECT doc_id, start, stop, hex, i, c, count(*) AS n FROM letters GROUP BY ALL),
-bits AS (SELECT doc_id, start, stop, hex, i, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS h FROM counts GROUP BY ALL),
-high AS (SELECT DISTINCT doc_id, 3 AS kind, start, stop FROM bits
-         WHERE h >= CASE WHEN hex THEN {secrets.HEX_CLASS.least_bits} ELSE {secrets.BASE64_CLASS.least_bits} END),
+runs AS (WITH texts AS (SELECT doc_id, {_cut("text")} AS text FROM whole)
+  {" UNION ALL ".join(_matches(k, c.runs, "true") for k, c in enumerate(secrets.CLASSES))}),
+windows AS (SELECT doc_id, kind AS class, start, stop, unnest(range(1, length(value) - {secrets.WINDOW - 2})) AS i, value FROM runs),
+cut AS (SELECT doc_id, class, start, stop, i, substring(value, i, {secrets.WINDOW}) AS w FROM windows),
+letters AS (SELECT doc_id, class, start, stop, i, w, unnest(string_split(w, '')) AS c FROM cut),
+counts AS (SELECT doc_id, class, start, stop, i, w, c, count(*) AS n FROM letters GROUP BY ALL),
+bits AS (SELECT doc_id, class, start, stop, i, w, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS h FROM counts GROUP BY ALL),
+random AS (SELECT DISTINCT doc_id, start, stop FROM bits WHERE {_looks()}),
+high AS (SELECT doc_id, 3 AS kind, start, stop FROM random r
+         WHERE NOT EXISTS (SELECT 1 FROM random o WHERE o.doc_id = r.doc_id AND o.start <= r.start AND o.stop >= r.stop AND o <> r)),
 spans AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT * FROM high),
 named AS (SELECT doc_id, kind, start, [{", ".join(f"'{k}'" for k in secrets.KINDS)}][kind + 1] || ':' || start || ':' || stop AS s FROM spans),
 listed AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(secrets.KINDS))},
@@ -48,7 +60,7 @@ listed AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{
   FROM named GROUP BY doc_id)
 SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)},
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM texts t LEFT JOIN listed USING (doc_id)"""
+FROM whole t LEFT JOIN listed USING (doc_id)"""
 
 
 LINKS = f"""

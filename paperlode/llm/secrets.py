@@ -16,100 +16,84 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 
-#: Candidate strings: unbroken runs over the alphabets below.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Characters of a window.
+WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
 
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """An alphabet and the bits per character that a window over it must reach to look random."""
+    """A kind of random string: its maximal runs, the bits per character that a window must reach, and what it must match."""
 
-    alphabet: str
+    runs: str
     least_bits: float
+    needs: tuple[str, ...]
 
 
-#: Twenty random hexadecimal digits have about 3.4 bits, twenty random base-64 ones about 4.0.
-DIGITS = "0123456789"
-HEX_CLASS = CharacterClass(DIGITS + "abcdef", 3.0)
-BASE64_CLASS = CharacterClass(
-    "".join(map(chr, [*range(65, 91), *range(97, 123)])) + DIGITS + "+/_-", 3.9
+#: One in a hundred windows of random characters of the class lies below its limit; the limits are numbers that no window has.
+#: What each class needs beside tells it from digits, from words, and from paths and names made of words (fixed values).
+CLASSES = (
+    CharacterClass(r"[0-9a-f]{20,}|[0-9A-F]{20,}", 2.9, ("[0-9]", "[a-fA-F]")),
+    CharacterClass(r"[0-9a-z]{20,}", 3.4, ("[0-9].*[0-9]", "[a-z]")),
+    CharacterClass(r"[A-Za-z0-9+/_-]{20,}", 3.63, ("[A-Z]", "[a-z]", "[0-9+]|[A-Z][A-Z]", "^[^/_-]*([/_-][^/_-]*){0,3}$")),
 )
-WINDOW = 20
-#: A string without any of these is made of words: it has no digit, and capitals only where words start.
-UNLIKE_WORDS = r"[0-9]|[A-Za-z][A-Z]"
-
-#: Strings that look random but are known not to be secrets: identifiers of the standard form, one letter case
-#: without digits (words run together), digits alone, and the placeholders of manuals.
+#: Text without such a run has none of any class.
+CANDIDATE = CLASSES[2].runs
+#: What looks random but is known not to be a secret, and its characters: identifiers of the standard form and the placeholders
+#: of manuals. No window reaches into it.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^[A-Z]?[a-z_/+-]+$",
-    r"^[A-Z_/+-]+$",
-    r"^[0-9_/+-]+$",
-    r"(?i)example|placeholder|changeme|x{6}|0123456789|abcdefghij",
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", 36),
+    ("(?i)placeholder", 11),
+    ("(?i)0123456789", 10),
+    ("(?i)abcdefghij", 10),
+    ("(?i)changeme", 8),
+    ("(?i)example", 7),
+    ("(?i)xxxxxx", 6),
 )
+#: Stands for the characters of what is allowed; no class has it.
+CUT = "#"
 
 
-def peak_entropy(text: Column, of: CharacterClass, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy in bits of any `window` characters of a string over one alphabet.
-
-    Moving the window one character changes two counts. With f(c) = c log2 c, the entropy of a window of w
-    characters is log2 w - sum f(count) / w, so the sum is carried along and only the two counts are looked up.
-    Null for a string that is shorter than the window.
-    """
-    size = len(of.alphabet)
-    f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+def without_allowed(text: Column) -> Column:
+    """The text with every character of an allow-list entry replaced, so that runs end there and nothing moves."""
+    for pattern, n in ALLOWED:
+        text = F.regexp_replace(text, pattern, CUT * n)
+    return text
 
-    def term(count: Column) -> Column:
-        return F.get(f, count)
 
-    symbols = F.transform(F.split(text, ""), lambda ch: F.instr(F.lit(of.alphabet), ch))
-    start = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("least")
-    )
+def has_random_window(run: Column, of: CharacterClass, window: int = WINDOW) -> Column:
+    """Whether any `window` characters of a run have the Shannon entropy and the looks of its class.
 
-    def step(state: Column, at: Column) -> Column:
-        enters, leaves = at["enters"], at["leaves"]
-        n_in, n_out = F.get(state["counts"], enters - 1), F.get(state["counts"], leaves - 1)
-        change = F.when(enters == leaves, 0.0).otherwise(
-            term(n_in + 1) - term(n_in) - F.when(leaves > 0, term(n_out) - term(n_out - 1)).otherwise(0.0)
-        )
-        total = state["total"] + change
-        counts = F.when(enters == leaves, state["counts"]).otherwise(
-            F.transform(
-                state["counts"],
-                lambda n, k: n + F.when(k == enters - 1, 1).when(k == leaves - 1, -1).otherwise(0),
-            )
-        )
-        least = F.when(at["i"] >= window - 1, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
-
-    def run(chars: Column) -> Column:
-        places = F.transform(
-            F.sequence(F.lit(0), F.size(chars) - 1),
-            lambda i: F.struct(
-                i.alias("i"),
-                F.get(chars, i).alias("enters"),
-                F.when(i >= window, F.get(chars, i - window)).otherwise(0).alias("leaves"),
-            ),
-        )
-        return F.aggregate(places, start, step, lambda end: math.log2(window) - end["least"] / window)
-
-    # the lambda of a one-element array names the symbols, so that they are looked up once and not per step
-    return F.when(F.length(text) >= window, F.get(F.transform(F.array(symbols), run), F.lit(0)))
-
-
-def looks_random(text: Column) -> Column:
-    """Whether a candidate has a window of high entropy in its class and is on no allow-list."""
-    only_hex = F.lower(text).rlike(r"^[0-9a-f]+$")
-    random = F.when(only_hex, peak_entropy(F.lower(text), HEX_CLASS) >= HEX_CLASS.least_bits).otherwise(
-        peak_entropy(text, BASE64_CLASS) >= BASE64_CLASS.least_bits
-    )
-    allowed = [text.rlike(pattern) for pattern in ALLOWED]
-    suppressed = ~text.rlike(UNLIKE_WORDS)
-    for one in allowed:
-        suppressed = suppressed | one
-    return F.when(suppressed, False).otherwise(random)
+    Moving the window one character changes two counts. With f(c) = c log2 c, the entropy of a window of w characters is
+    log2 w - sum f(count) / w, so the sum is carried along and only the two counts that change are taken again.
+    """
+    f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    most = window * (math.log2(window) - of.least_bits)
+
+    def found(chars: Column) -> Column:
+        def times(ch: Column, first: Column, n: int | Column) -> Column:
+            return F.size(F.filter(F.slice(chars, first, n), lambda x: x == ch))
+
+        def step(state: Column, i: Column) -> Column:
+            enters, leaves = F.get(chars, i - 1), F.get(chars, i - 1 - window)
+            # the characters between: from the one behind the leaving one to the one before the entering one
+            first = F.greatest(i - window + 1, F.lit(1))
+            n_in = times(enters, first, i - first)
+            n_out = F.when(i > window, times(leaves, first, i - first) + 1).otherwise(0)
+            total = state["total"] + F.get(f, n_in + 1) - F.get(f, n_in)
+            total = total - F.when(n_out > 0, F.get(f, n_out) - F.get(f, n_out - 1)).otherwise(0.0)
+            text = F.array_join(F.slice(chars, first, F.lit(window)), "")
+            looks = F.lit(True)
+            for pattern in of.needs:
+                looks = looks & text.rlike(pattern)
+            hit = F.when((i >= window) & (total <= most), looks).otherwise(False)
+            return F.when(state["hit"], state).otherwise(F.struct(total.alias("total"), hit.alias("hit")))
+
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(False).alias("hit"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda end: end["hit"])
+
+    # the lambda of a one-element array names the characters, so that the run is cut once and not per step
+    return F.get(F.transform(F.array(F.split(run, "")), found), F.lit(0))
 
 
 def _pieces(kind: int, text: Column, pattern: str, keep) -> Column:
@@ -136,11 +120,12 @@ def _pieces(kind: int, text: Column, pattern: str, keep) -> Column:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows (row, doc_id, pieces) and their spans (row, kind, start, end), in code points, end exclusive."""
     text = text_or_empty(F.col(text_col))
+    cut = F.when(text.rlike(CANDIDATE), without_allowed(text)).otherwise("")
     pieces = F.concat(
         _pieces(0, text, ASSIGN, lambda v: F.length(v) >= ASSIGN_CHARS),
         _pieces(1, text, ACCESS, lambda v: F.length(v) >= ACCESS_CHARS),
         _pieces(2, text, HEX, lambda v: F.lit(True)),
-        _pieces(3, text, CANDIDATE, looks_random),
+        *[_pieces(3 + k, cut, c.runs, lambda v, c=c: has_random_window(v, c)) for k, c in enumerate(CLASSES)],
     )
     rows = stored(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), pieces.alias("pieces")),
@@ -150,8 +135,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     flat = rows.filter(F.size("pieces") > 0).select("row", F.inline("pieces"))
     end = F.sum(F.col("gap") + F.col("n")).over(before)
-    spans = flat.withColumn("end", end).filter("keep")
-    return rows, spans.select("row", "kind", (F.col("end") - F.col("n")).alias("start"), "end")
+    spans = flat.withColumn("end", end).filter("keep").select("row", "kind", (F.col("end") - F.col("n")).alias("start"), "end")
+    # of runs that lie within each other the longest is told, once: those before it in this order must end before it does
+    earlier = Window.partitionBy("row", "random").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    told = spans.withColumn("random", F.col("kind") >= 3).withColumn("reach", F.max("end").over(earlier))
+    told = told.filter("NOT random OR reach IS NULL OR reach < end")
+    return rows, told.select("row", F.least("kind", F.lit(3)).alias("kind"), "start", "end")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

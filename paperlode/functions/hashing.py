@@ -62,9 +62,32 @@ def canonical(value) -> str:
     return _number(float(value))
 
 
+#: The largest whole number up to which doubles keep every one apart.
+EXACT = 2**53
+
+
+def _integer(digits: str) -> int:
+    value = int(digits)
+    if abs(value) > EXACT:
+        raise ValueError("two such numbers may have one double")
+    return value
+
+
+def _members(pairs: list[tuple[str, object]]) -> dict:
+    made = dict(pairs)
+    if len(made) < len(pairs):
+        raise ValueError("a key is there twice")
+    return made
+
+
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def canonical_json(text: Column) -> Column:
     """RFC 8785 form of a JSON string column; null where it has none: text that is not valid JSON, numbers beyond
-    double precision, unpaired surrogates, and nesting beyond what the parser takes.
+    double precision, whole ones beyond 2^53, keys that an object has twice, unpaired surrogates, and nesting beyond
+    what the parser takes.
 
     Key order by UTF-16 unit and ECMAScript numbers have no Spark function, so this one is an Arrow UDF.
     """
@@ -75,7 +98,7 @@ def canonical_json(text: Column) -> Column:
             try:
                 if raw is None:
                     return None
-                made = canonical(json.loads(raw))
+                made = canonical(json.loads(raw, parse_int=_integer, parse_constant=_constant, object_pairs_hook=_members))
                 made.encode()  # an unpaired surrogate has no UTF-8 form
                 return made
             except (ValueError, OverflowError, RecursionError):

@@ -181,31 +181,55 @@ def exclusive_spans(text: Column, patterns: list[str], context: int | None = Non
     return run(text)
 
 
+#: What opens a token. A text that holds it already has it written as the token numbered 0, which stands for nothing else.
+TOKEN_OPEN, TOKEN_LITERAL = "[[ENTITY-", "[[ENTITY-0]]"
+TOKEN = r"\[\[ENTITY-[0-9]+\]\]"
+
+
+def _plain(value: Column) -> Column:
+    """A pattern for a value as it is, where no word runs into it."""
+    quoted = F.regexp_replace(value, r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", r"\\$1")
+    # looked at as a whole: bounds are wanted only where the value itself begins or ends with a word character
+    before = F.when(value.rlike(r"^[\p{L}\p{N}_]"), F.lit(r"(?<![\p{L}\p{N}_])")).otherwise("")
+    after = F.when(value.rlike(r"[\p{L}\p{N}_]$"), F.lit(r"(?![\p{L}\p{N}_])")).otherwise("")
+    return F.concat(before, quoted, after)
+
+
 def mask_table(text: Column, names: Column | None = None) -> Column:
     """Array of (value, token) for the addresses, then the numbers, in the order they are found, then those of the known
-    `names` (an array) that the text holds."""
+    `names` (an array) that the text holds as whole words."""
     parts = [matches(text, EMAIL), matches(text, PHONE)]
     if names is not None:
-        parts.append(F.filter(names, lambda n: (n != "") & F.contains(text, n)))
+        parts.append(F.filter(names, lambda n: F.when((n != "") & F.contains(text, n), F.rlike(text, _plain(n))).otherwise(False)))
     found = F.array_distinct(F.concat(*parts))
     return F.transform(
         found,
         lambda value, i: F.struct(
-            value.alias("value"), F.concat(F.lit("[[ENTITY-"), (i + 1).cast("string"), F.lit("]]")).alias("token")
+            value.alias("value"), F.concat(F.lit(TOKEN_OPEN), (i + 1).cast("string"), F.lit("]]")).alias("token")
         ),
     )
 
 
 def mask(text: Column, table: Column) -> Column:
-    """Replace each value of `mask_table` by its token, longest value first."""
+    """The text with each value of `mask_table` as its token, in one pass: leftmost first, and at one place the longest.
+
+    What a token stands in for is never looked into again, and what looks like a token in the text itself is kept apart.
+    """
     longest_first = F.array_sort(
-        table,
-        lambda a, b: F.when(F.length(a["value"]) != F.length(b["value"]), F.length(b["value"]) - F.length(a["value"]))
-        .when(a["value"] < b["value"], F.lit(-1))
-        .when(a["value"] > b["value"], F.lit(1))
-        .otherwise(F.lit(0)),
+        F.transform(table, lambda e: e["value"]),
+        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0)),
     )
-    return F.aggregate(longest_first, text, lambda acc, e: F.replace(acc, e["value"], e["token"]))
+    pattern = F.array_join(F.concat(F.array(F.lit(re.escape(TOKEN_OPEN))), F.transform(longest_first, _plain)), "|")
+    tokens_of = F.map_concat(F.create_map(F.lit(TOKEN_OPEN), F.lit(TOKEN_LITERAL)), F.map_from_entries(F.transform(table, lambda e: F.struct(e["value"], e["token"]))))
+    return _exchanged(text, pattern, lambda found: F.element_at(tokens_of, found))
+
+
+def _exchanged(text: Column, pattern: Column, by) -> Column:
+    """Each match exchanged, with the stretches between them as they are."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    between = F.split(text, pattern, -1)
+    pieces = F.zip_with(between, F.transform(found, by), lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def depends_on_masked(statement: Column, table: Column) -> Column:
@@ -214,8 +238,9 @@ def depends_on_masked(statement: Column, table: Column) -> Column:
 
 
 def unmask(text: Column, table: Column) -> Column:
-    """Inverse of `mask`; the closing brackets keep token 1 apart from token 10."""
-    return F.aggregate(table, text, lambda acc, e: F.replace(acc, e["token"], e["value"]))
+    """Inverse of `mask`, in one pass; a token that the table does not have stays."""
+    values = F.map_concat(F.create_map(F.lit(TOKEN_LITERAL), F.lit(TOKEN_OPEN)), F.map_from_entries(F.transform(table, lambda e: F.struct(e["token"], e["value"]))))
+    return _exchanged(text, F.lit(TOKEN), lambda found: F.coalesce(F.try_element_at(values, found), found))
 
 
 def is_negated(text: Column) -> Column:

@@ -80,10 +80,14 @@ def correlated(
 
     Time and amount are cut into cells as wide as their limits, and a left row looks into the cells around its own. So
     rows meet by equality, and only rows close in both are compared, also if one party has a third of them. Left
-    rows without a match are kept with 0; a missing key, time or amount matches nothing.
+    rows without a match are kept with 0; a missing key, time or amount matches nothing. A limit of 0 asks for equality.
     """
+    if within_s < 0 or not tolerance >= 0:
+        raise ValueError("limits must not be negative")
     at = epoch_micros(F.col(ts))
     width = within_s * 1_000_000
+    # cells of some width, also where the limit has none
+    t_cell, a_cell = max(width, 1), tolerance or 1.0
 
     def placed(df: DataFrame, row_id: str, name: str) -> DataFrame:
         return df.select(
@@ -93,11 +97,11 @@ def correlated(
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     mine = (
         placed(left, left_id, "l")
-        .withColumn("t", F.explode(F.transform(around, lambda i: F.floor(F.col("l_at") / width) + i)))
-        .withColumn("a", F.explode(F.transform(around, lambda i: F.floor(F.col("l_amount") / tolerance) + i)))
+        .withColumn("t", F.explode(F.transform(around, lambda i: F.floor(F.col("l_at") / t_cell) + i)))
+        .withColumn("a", F.explode(F.transform(around, lambda i: F.floor(F.col("l_amount") / a_cell) + i)))
     )
     other = placed(right, right_id, "r")
-    other = other.withColumn("t", F.floor(F.col("r_at") / width)).withColumn("a", F.floor(F.col("r_amount") / tolerance))
+    other = other.withColumn("t", F.floor(F.col("r_at") / t_cell)).withColumn("a", F.floor(F.col("r_amount") / a_cell))
     apart = F.abs(F.col("l_at") - F.col("r_at"))
     near = mine.join(other, [*keys, "t", "a"]).where(
         (apart <= width) & (F.abs(F.col("l_amount") - F.col("r_amount")) <= tolerance)

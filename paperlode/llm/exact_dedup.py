@@ -1,9 +1,11 @@
 """Exact duplicates by a tree of merges over sorted digest runs.
 
 Every input partition yields a run: its distinct digests with the best row and the number of rows of each.
-In each round, `fan_in` neighbouring runs become one, as in a binomial tree of that degree; equal digests meet
-there and leave as one entry. Runs are cut into shards by digest, so the last round has one run a shard and no
-task ever holds all digests. A digest with any number of copies is one entry in each run it reaches.
+In each round, `fan_in` neighbouring runs become one, as in a binomial tree of that degree: Spark's exchange brings them
+into one task and its sort makes one order of them. Equal digests meet there and leave as one entry, whose identifier
+is verified: a second digest of the text goes along through every level, and entries that agree in the first
+and not in the second end the job. Runs are cut into shards by digest, so the last round has one run a
+shard and no task ever holds all digests. A digest with any number of copies is one entry in each run it reaches.
 """
 
 from __future__ import annotations
@@ -19,35 +21,37 @@ from paperlode.llm.common import pieces, stored, text_or_empty
 
 #: Runs that the tree starts from (partitions beyond it share a run) and the part of the digest space a task merges.
 RUNS, SHARDS = 512, 65_536
-ENTRY = ("digest", "n_bytes", "checksum")
+ENTRY = ("digest",)
 
 
-@F.arrow_udf(T.BinaryType())
-def _lowered_sha256(text: pa.Array) -> pa.Array:
-    # bytes.lower() changes A-Z only, which is the normal form wanted here
-    texts = (t for part in pieces(text.cast(pa.binary())) for t in part.to_pylist())
-    return pa.array([hashlib.sha256(t.lower()).digest() for t in texts], pa.binary())
+@F.arrow_udf(T.StructType().add("digest", T.BinaryType()).add("second", T.BinaryType()))
+def _digests(text: pa.Array) -> pa.Array:
+    """SHA-256 of the normal form, and a short digest of it by another function."""
+    first, second = [], []
+    for part in pieces(text.cast(pa.binary())):
+        for t in part.to_pylist():
+            low = t.lower()  # bytes.lower() changes A-Z only, which is the normal form wanted here
+            first.append(hashlib.sha256(low).digest())
+            second.append(hashlib.blake2b(low, digest_size=12).digest())
+    return pa.StructArray.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["digest", "second"])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, digest, n_bytes, checksum, shard, run) of every row; a null text counts as empty.
-
-    The length and a second checksum go with SHA-256: entries are one text only if all three agree.
-    """
+    """(row, doc_id, digest, second, shard, run) of every row; a null text counts as empty."""
     text = text_or_empty(F.col(text_col))
     run = F.pmod(F.spark_partition_id(), F.lit(RUNS))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), _lowered_sha256(text).alias("digest"),
-                    F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("text_hash"))
-        .withColumn("checksum", F.crc32("digest"))
+        docs.select(F.col(id_col).alias("doc_id"), _digests(text).alias("d"), F.xxhash64(text).alias("text_hash"))
+        .select("doc_id", "d.*", "text_hash")
         .select("*", F.monotonically_increasing_id().alias("row"), run.alias("run"),
                 F.pmod(F.xxhash64("digest"), F.lit(SHARDS)).cast("int").alias("shard"))
     )
 
 
 def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = 8) -> DataFrame:
-    """(digest, n_bytes, checksum, best, copies): the row that stays of each text and how many rows have it.
+    """(digest, keep_id, keep_row, copies): the row that stays of each text and how many rows have it.
 
+    Fails if texts with one digest have different second digests, wherever in the tree they meet.
     `best` is (doc_id, row). Of equal ids the row that was read first stays; a null id loses to any other.
     """
     if keep == "largest":
@@ -56,9 +60,9 @@ def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = 8) -> D
         choose, known, row = F.min, F.col("doc_id").isNull(), F.col("row")
     best = F.struct(known.alias("known"), "doc_id", row.alias("row"))
     key = ["shard", "run", *ENTRY]
-    pick = [choose("best").alias("best"), F.sum("copies").alias("copies")]
+    pick = [choose("best").alias("best"), F.sum("copies").alias("copies"), F.min("least").alias("least"), F.max("most").alias("most")]
     # the first round merges inside the tasks that read the rows; only distinct digests of a run leave them
-    runs = entries.select(*key, best.alias("best"), F.lit(1).cast("long").alias("copies")).groupBy(*key).agg(*pick)
+    runs = entries.select(*key, F.col("second").alias("least"), F.col("second").alias("most"), best.alias("best"), F.lit(1).cast("long").alias("copies")).groupBy(*key).agg(*pick)
     left = RUNS
     while left > 1:
         left = -(-left // fan_in)
@@ -70,7 +74,9 @@ def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = 8) -> D
             .agg(*pick)
         )
     # row numbers are never negative, so the sign that turned them around goes again
-    return runs.select(*ENTRY, F.col("best.doc_id").alias("keep_id"), F.abs("best.row").alias("keep_row"), "copies")
+    differs = F.raise_error(F.lit("texts with one digest differ in their second digest")).cast("binary")
+    verified = F.when(F.col("least") == F.col("most"), F.col("digest")).otherwise(differs)
+    return runs.select(verified.alias("digest"), F.col("best.doc_id").alias("keep_id"), F.abs("best.row").alias("keep_row"), "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

@@ -124,14 +124,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         fit_rows: int = FIT_ROWS) -> RuleEnsemble:
     """Learn from at most `fit_rows` labelled rows outside the held-out fold, chosen by a hash of their id.
 
-    Labels that are null or belong to no document are not used. With one class only, or none, the score is the
-    share of that class with one row of each added.
+    Only the labels 0 and 1 are used, not null, other values, or labels of no document. An id counts once: with its
+    smallest label, and of several texts with the one whose hash is smallest. With one class only, or none, the score is
+    the share of that class with one row of each added.
     """
-    usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = usable.select(id_col, F.col(label_col).cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), id_col), "label").limit(fit_rows)
-    # the chosen labels are few by construction, so they go to the texts and no text is shuffled
+    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    chosen = usable.groupBy(id_col).agg(F.min(F.col(label_col).cast("double")).alias("label"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), id_col), id_col).limit(fit_rows)
+    # the chosen labels are few by construction, so they go to the texts; of these only the chosen ones are shuffled
     texts = docs.select(id_col, text_or_empty(F.col(text_col)).alias("text")).join(F.broadcast(chosen), id_col)
+    texts = texts.groupBy(id_col, "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = stored(texts.select("label", statistics(F.col("text")).alias("s")), "quality-fit")
     count = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if count.get(0.0, 0) == 0 or count.get(1.0, 0) == 0:

@@ -21,8 +21,11 @@ from paperlode.session import shared_dir
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records a file holds. A file is one row when it is read, so this bounds what a task holds at once.
-RECORDS_PER_FILE = 4_000
+#: A file is one row when it is read, so its bytes bound what a task holds at once. Records are written by classes of size;
+#: a file of a class holds so many of them that it stays within the bound (or a single one that is larger itself).
+FILE_BYTES, RECORDS_PER_FILE = 1 << 30, 4_000
+#: Archives of a class lie in a folder named after the records that its files hold at most.
+FOLDER = "records-"
 #: How much of decompressed payload goes into one batch towards Spark.
 BATCH_BYTES = 8 << 20
 
@@ -69,14 +72,23 @@ def record(record_id: Column, kind: Column, page_id: Column, uri: Column, date:
     return F.concat(*lines, block)
 
 
-def _write(records: DataFrame, path: str, per_file: int) -> str:
-    writer = records.write.option("lineSep", CRLF * 2).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", per_file).text(path)
-    return path
+def _classes(per_file: int, file_bytes: int) -> list[tuple[int, int | None, int]]:
+    """(more than, at most, records a file) for classes of record sizes in bytes: fewer records as they get larger."""
+    classes, least, n = [], -1, per_file
+    while n > 1:
+        classes.append((least, file_bytes // n, n))
+        least, n = file_bytes // n, max(1, n // 32)
+    return [*classes, (least, None, 1)]
+
+
+def _write(records: DataFrame, path: str, per_file: int) -> None:
+    writer = records.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", per_file).text(f"{path}/{FOLDER}{per_file}")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id",
-                   url_col: str = "url", html_col: str = "html", per_file: int = RECORDS_PER_FILE) -> str:
+                   url_col: str = "url", html_col: str = "html", per_file: int = RECORDS_PER_FILE,
+                   file_bytes: int = FILE_BYTES) -> str:
     """A response record for every row, also for rows that repeat; a null payload is empty, a null url or id leaves
     its header out."""
     html = text_or_empty(F.col(html_col))
@@ -90,7 +102,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
     )
     text = record(F.col("rid"), F.lit("response"), F.col("page_id"), F.col("uri"), date, F.col("n"), F.col("digest"),
                   F.col("payload"))
-    return _write(rows.select(text), path, per_file)
+    classes = _classes(per_file, file_bytes)
+    sizes = [F.col("n") > more if most is None else F.col("n").between(more + 1, most) for more, most, _ in classes]
+    there = rows.agg(*[F.bool_or(size).alias(f"c{k}") for k, size in enumerate(sizes)]).first()
+    for k, (size, (_, _, n)) in enumerate(zip(sizes, classes)):
+        if there[k] or k == 0:  # a class that no page is in needs no scan
+            _write(rows.filter(size).select(text), path, n)
+    return path
 
 
 def _records(archive: bytes):
@@ -116,6 +134,10 @@ def _records(archive: bytes):
         yield head, http, block.read()
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """The records of all archives below `path`; with `payloads`, also their text.
 
@@ -152,8 +174,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         if rows:
             yield batch()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parse, schema)
+    return _files(spark, path).select("content").mapInArrow(parse, schema)
 
 
 def revisits(headers: DataFrame, min_bytes: int) -> DataFrame:
@@ -180,12 +201,11 @@ def revisits(headers: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int = 100,
-                date: str = "2000-01-02T00:00:00Z", per_file: int = RECORDS_PER_FILE) -> str:
+                date: str = "2000-01-02T00:00:00Z") -> str:
     """Rewrite the archives of `source` to `target` with fresh headers: of equal payloads of at least `min_bytes`
     one record stays a response, the others become revisits that refer to it."""
     headers = stored(read_archives(spark, source), "warc-headers")
     repeats = stored(revisits(headers, min_bytes), "warc-revisits")
-    rows = read_archives(spark, source, payloads=True).join(repeats, "record_id", "left")
     again = F.col("original_id").isNotNull()
 
     def fresh(old: str) -> Column:
@@ -200,7 +220,12 @@ def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int =
     text = record(fresh("record_id"), F.when(again, "revisit").otherwise("response"), F.col("page_id"),
                   F.col("target_uri"), date, F.col("payload_bytes"), F.col("payload_digest"),
                   F.when(again, "").otherwise(F.col("payload")), refers)
-    return _write(rows.select(text), target, per_file)
+    # folder by folder, each with as many records a file as before: no file gets larger and each is parsed once
+    paths = _files(spark, source).select(F.regexp_extract("path", f"/({FOLDER}([0-9]+))/", 2).cast("int").alias("n"))
+    for n in sorted(r.n for r in paths.distinct().collect()):
+        rows = read_archives(spark, f"{source}/{FOLDER}{n}", payloads=True).join(repeats, "record_id", "left")
+        _write(rows.select(text), target, n)
+    return target
 
 
 def resolved(records: DataFrame) -> DataFrame:

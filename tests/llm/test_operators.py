@@ -13,6 +13,7 @@ import corpus_pipeline
 from paperlode.llm import (
     chosen_path,
     decontaminate,
+    exact_dedup,
     html_text,
     licenses,
     mixing,
@@ -39,7 +40,7 @@ def frame(spark, texts):
 
 
 def test_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "exact_dedup", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing",
     ]
@@ -599,3 +600,51 @@ def test_entropy_below_that_of_the_sources(spark):
     z = sum(p**a for p in (0.4, 0.35, 0.25))
     assert a > 1
     assert -sum(p**a / z * math.log(p**a / z) for p in (0.4, 0.35, 0.25)) == pytest.approx(target, abs=1e-4)
+
+
+# bounds
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Many small pages share a file, large ones have files of their own, and all come back."""
+    rows = [(i, "u", "x" * (10 if i % 10 else 4000) + str(i % 25)) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, f"{tmp_path}/a", per_file=64, file_bytes=6400)
+    sizes = [sum(1 for _ in warc._records(bytes(r.content))) for r in warc._files(spark, path).select("content").collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 64
+    held = [sum(len(p) for *_, p in warc._records(bytes(r.content))) for r in warc._files(spark, path).select("content").collect()]
+    assert max(held) <= 6400 and len(held) >= 11
+    target = warc.deduplicate(spark, path, f"{tmp_path}/b", min_bytes=5)
+    found = warc.resolved(warc.read_archives(spark, target)).collect()
+    first = {}
+    for i, _, t in rows:
+        first.setdefault(t, i)
+    assert {(r.page_id, r.refers_to) for r in found} == {(i, first[t] if first[t] != i else None) for i, _, t in rows}
+
+
+def test_disagreeing_second_digests_end_the_job(spark):
+    rows = [(1, b"a", b"x", "h"), (2, b"a", b"y", "h")]
+    entries = spark.createDataFrame(rows, "doc_id bigint, digest binary, second binary, text_hash string").selectExpr(
+        "*", "doc_id AS row", "cast(doc_id * 200 AS int) AS run", "1 AS shard"
+    )
+    with pytest.raises(Exception, match="second digest"):
+        exact_dedup.merge_runs(entries).collect()
+    assert exact_dedup.merge_runs(entries.filter("doc_id = 1")).count() == 1
+
+
+def test_repeated_ids_and_other_labels_keep_the_bound_of_the_fit(spark):
+    docs = load_table(spark, LARGER, "documents").select("doc_id", "text")
+    many = docs.select("doc_id", F.explode(F.array([F.concat("text", F.lit(" " * k)) for k in range(5)])).alias("text"))
+    labels = load_table(spark, LARGER, "labels").select("doc_id", "quality")
+    odd = labels.unionByName(labels.select("doc_id", F.lit(7).alias("quality"))).unionByName(labels)
+    written = {}
+    original = quality.stored
+    quality.stored = lambda df, purpose: written.setdefault(purpose, original(df, purpose))
+    try:
+        model = quality.fit(many, odd, fit_rows=150)
+    finally:
+        quality.stored = original
+    assert written["quality-fit"].count() == 150
+    scored = quality.score(docs, model, threshold=0.3).join(labels, "doc_id").filter("held_out")
+    right = scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
+    assert right > 0.9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -18,14 +19,34 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
+#: Folders written while a `released` block runs, the innermost block last.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written to the shared folder and read again: each row is computed once, and a lost executor costs
     a read instead of the work before it."""
     path = shared_dir(df.sparkSession, purpose)
+    for block in _written[-1:]:
+        block.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def released(spark):
+    """Removes what `stored` writes inside the block when it ends; its results must have been written elsewhere by then.
+
+    Yields the list of folders to remove, to which others may be added or from which one may be taken."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        for path in _written.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """`df` with a broadcast hint if a count proves that it has at most `BROADCAST_ROWS` rows, all of them narrow;
     larger tables are left to a shuffle. A stored table is counted from its footers."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlode.llm import chosen_path, decontaminate, exact_dedup, mixing, quality
-from paperlode.llm.common import broadcast_if_small, stored, text_or_empty
+from paperlode.llm.common import broadcast_if_small, released, stored, text_or_empty
 from paperlode.operators.once import computed_once
 from paperlode.sources.tables import load_table
 
@@ -16,12 +19,23 @@ QUALITY = 0.3
 REPETITION = 2.0
 
 
+def _first_of_task(batches):
+    """Of each key the first `keep_n` rows that a task reads; it remembers a number for each of its keys."""
+    seen: Counter = Counter()
+    for batch in batches:
+        kept = []
+        for *key, n in zip(*[batch.column(c).to_pylist() for c in ("keep_id", "keep_unknown", "keep_hash", "keep_n")]):
+            seen[tuple(key)] += 1
+            kept.append(seen[tuple(key)] <= n)
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of `docs` that `decisions` (doc_id, text_hash, kept) keeps, one decision for each row.
 
     Rows are matched by id and text, null ids included. Keys that are dropped altogether, usually the smaller part, go to
     the texts, so that no text is shuffled while they are few. Of rows that repeat id and text as many stay as
-    decisions say.
+    decisions say: each task passes on as many at most, however many it reads, and the choice is made among these.
     """
     unknown = F.col("doc_id").isNull().alias("keep_unknown")
     key = [F.coalesce("doc_id", F.lit(0)).alias("keep_id"), unknown]
@@ -36,7 +50,9 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     if some.isEmpty():
         return whole
     line = Window.partitionBy(*names).orderBy("keep_hash")
-    rows = keyed.join(some, names).withColumn("keep_place", F.row_number().over(line)).filter("keep_place <= keep_n")
+    few = keyed.join(broadcast_if_small(some), names)
+    few = few.mapInArrow(_first_of_task, few.schema)
+    rows = few.withColumn("keep_place", F.row_number().over(line)).filter("keep_place <= keep_n")
     return whole.unionByName(rows.select("keep_row.*"))
 
 
@@ -83,8 +99,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each reads what the one before it wrote."""
+    """All stages over `documents`; each reads what the one before it wrote, and what none reads any more is removed."""
     docs = load_table(spark, sf_dir, "documents")
+    read: list[str] = []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with released(spark) as written:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            # this table stays for the next stage; the one that this stage read goes with the rest
+            now = [written.pop()]
+            written += read
+        read = now
     return docs

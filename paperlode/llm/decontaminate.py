@@ -141,9 +141,13 @@ def proximity_matches(item_terms: DataFrame, postings: DataFrame, window: int =
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, doc_id: str = "doc_id",
-                  doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+                  doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  slop: int | None = None, share: float = 0.8) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
+    With `slop` there is also n_near, the number of items of which the text has `share` of the words at one place, each at
+    most `slop` words from where it belongs; an item that the text has word by word is one of them.
+
     A word is hit if an occurrence of a window covers it; a document is contaminated if at least one in `one_in`
     of its words is hit. A null text has no words and is clean; so is any text if there are no items. Items
     without words are never found; items without an id are hit but neither counted nor listed. Repeated
@@ -157,6 +161,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
     covered = spans.withColumn("covered", F.greatest(F.lit(0), F.col("end") - reached))
     hit = covered.groupBy("row").agg(F.sum("covered").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
     texts = postings.filter("term_id = 0").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    extra = []
+    if slop is not None:
+        places = stored(proximity_matches(item_terms, postings, window, slop, share).select("row", "item").distinct(), "near-items")
+        # one row for each item of the benchmark
+        known = broadcast_if_small(stored(item_terms.select("item", "item_id").distinct(), "items"))
+        near = places.join(known, "item").groupBy("row").agg(F.count_distinct("item_id").alias("near"))
+        texts = texts.join(near, "row", "left")
+        extra = [F.coalesce("near", F.lit(0)).cast("long").alias("n_near")]
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return texts.join(hit, "row", "left").select(
@@ -166,6 +178,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         contaminated(n_hit, F.col("n_words"), one_in).alias("contaminated"),
+        *extra,
     )
 
 

@@ -64,16 +64,21 @@ WITH d AS (SELECT doc_id, regexp_extract_all({oracles.LOWERED}, {oracles.WORDS})
            FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM e) JOIN bw USING (n, g)),
      hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h)
              GROUP BY doc_id),
+     iw AS (SELECT item_id, len(w) AS n, unnest(range(0, len(w))) AS o, unnest(w) AS term FROM b WHERE len(w) > 0),
+     dw AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM d),
+     moved AS (SELECT DISTINCT doc_id, item_id, n, o, unnest(range(pos - o - 2, pos - o + 3)) AS shift FROM dw JOIN iw USING (term)),
+     close AS (SELECT doc_id, item_id FROM moved GROUP BY doc_id, item_id, n, shift HAVING count(*) >= ceil(0.8 * n - 1e-9)),
+     near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close GROUP BY doc_id),
      found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
                FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """)
 def op5_decontaminate(t: Tables):
-    """Benchmark words in documents, by windows of 13."""
-    return decontaminate.contamination(t.documents, t.benchmark, window=13, one_in=20)
+    """Benchmark words in documents by windows of 13, and benchmark items with words moved, replaced or missing."""
+    return decontaminate.contamination(t.documents, t.benchmark, window=13, one_in=20, slop=2)
 
 
 @query(oracles.SECRETS)

@@ -144,7 +144,9 @@ FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80
 WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 5"""
 
 
-_TEMPLATES = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, {quoted(t.license)}, {quoted(t.text)})" for i, t in enumerate(licenses.TEMPLATES))
+_OPENINGS = ", ".join(f"({i}, {t.words})" for i, t in enumerate(licenses.TEMPLATES) if t.words)
+_DEEPER = """CASE doc_id % 3 WHEN 1 THEN 'd' || doc_id % 5 WHEN 2 THEN 'd' || doc_id % 5 || '/e' || doc_id % 2 END"""
 
 
 def _cosine(name: str, source: str, key: str) -> str:
@@ -153,12 +155,12 @@ def _cosine(name: str, source: str, key: str) -> str:
 {name}_tf AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(w) AS term FROM {source}) GROUP BY ALL),
 {name}_v AS (SELECT {key}, term, idf IS NOT NULL AS known, (1 + ln(tf)) * coalesce(idf, rarest) AS x FROM {name}_tf LEFT JOIN idf USING (term), total),
 {name}_n AS (SELECT {key}, sqrt(sum(x * x)) AS norm FROM {name}_v GROUP BY ALL),
-{name} AS (SELECT {key}, license, -round(sum(x * unit) / any_value(norm), 9) AS o
+{name} AS (SELECT {key}, template, license, -round(sum(x * unit) / any_value(norm), 9) AS o, -round(sum(unit * unit), 9) AS part
            FROM {name}_v JOIN units USING (term) JOIN {name}_n USING ({key}) GROUP BY {key}, template, license)"""
 
 
 LICENSES = f"""
-WITH d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, concat_ws('/', source, lang, {_DEEPER}, doc_id::VARCHAR) AS path, concat_ws('/', source, lang, {_DEEPER}) AS dir, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM d),
 templates AS (SELECT template, license, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM (VALUES {_TEMPLATES}) t(template, license, text)),
 terms AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(w) AS term FROM templates) GROUP BY ALL),
@@ -167,14 +169,22 @@ df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term
 idf AS (SELECT term, 1 + ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM (SELECT DISTINCT term FROM terms) LEFT JOIN df USING (term), total),
 weights AS (SELECT template, license, term, (1 + ln(tf)) * idf AS x FROM terms JOIN idf USING (term)),
 units AS (SELECT template, license, term, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS unit FROM weights),
+cuts AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS own,
+  flatten(list_transform(regexp_split_to_array(regexp_replace(text, {quoted(licenses.MARKS)}, '\\1', 'g'), {quoted(licenses.BLANK)}),
+    lambda p: string_split(regexp_replace(replace(p, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS joined FROM d),
 passages AS (SELECT doc_id, row_number() OVER () AS passage, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM
-  (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS text FROM d)),
+  (SELECT doc_id, unnest(list_distinct(list_concat(own, joined))) AS text FROM cuts)),
 {_cosine("p", "passages", "passage")}, {_cosine("f", "words", "doc_id")},
 h AS (SELECT doc_id, min({{'o': o, 'license': license}}) AS h FROM p JOIN (SELECT passage, doc_id FROM passages) USING (passage) WHERE -o >= {licenses.HEADER} GROUP BY doc_id),
-w AS (SELECT doc_id, min({{'o': o, 'license': license}}) AS f FROM f WHERE -o >= {licenses.FILE} GROUP BY doc_id),
+w AS (SELECT doc_id, min({{'o': CASE WHEN n IS NULL THEN o ELSE part END, 'license': license}}) AS f
+  FROM f JOIN words USING (doc_id) LEFT JOIN (VALUES {_OPENINGS}) long(template, n) USING (template)
+  WHERE CASE WHEN n IS NULL THEN -o >= {licenses.FILE} ELSE -part >= {licenses.OPENING} AND len(w) BETWEEN {1 - licenses.ABOUT} * n AND {1 + licenses.ABOUT} * n END
+  GROUP BY doc_id),
 own AS (SELECT d.*, h, f FROM d LEFT JOIN h USING (doc_id) LEFT JOIN w USING (doc_id)),
-given AS (SELECT dir, min({{'o': f.o, 'path': path, 'license': f.license}}) AS g FROM own WHERE f IS NOT NULL GROUP BY dir)
+given AS (SELECT dir, min({{'o': f.o, 'path': path, 'license': f.license}}) AS g FROM own WHERE f IS NOT NULL GROUP BY dir),
+nearest AS (SELECT p.dir, max_by(given.g, length(given.dir)) AS g FROM (SELECT DISTINCT dir FROM own) p
+  JOIN given ON p.dir = given.dir OR starts_with(p.dir, given.dir || '/') OR given.dir = '' GROUP BY p.dir)
 SELECT doc_id, path, coalesce(coalesce(h, f).license, g.license) AS license,
   CASE WHEN f IS NOT NULL THEN 'file' WHEN h IS NOT NULL THEN 'header' WHEN g IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
   round(-coalesce(coalesce(h, f).o, g.o), 6) AS cosine, CASE WHEN h IS NULL AND f IS NULL THEN g.path END AS from_path
-FROM own LEFT JOIN given USING (dir)"""
+FROM own LEFT JOIN nearest g USING (dir)"""

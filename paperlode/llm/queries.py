@@ -114,8 +114,10 @@ def op9_source_mixing(t: Tables):
 
 @query(oracles.LICENSES)
 def op4_license_scan(t: Tables):
-    """Licence of every document; its path is source, language and id."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    """Licence of every document. Its path is source, language and id; two in three lie one or two directories deeper."""
+    key = F.col("doc_id")
+    deeper = F.when(key % 3 == 1, F.concat(F.lit("d"), key % 5)).when(key % 3 == 2, F.concat(F.lit("d"), key % 5, F.lit("/e"), key % 2))
+    path = F.concat_ws("/", "source", "lang", deeper, key.cast("string"))
     return licenses.license_scan(t.documents, path)
 
 

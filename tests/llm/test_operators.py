@@ -135,7 +135,7 @@ def brute_licenses(files):
         return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
 
     df = collections.Counter(w for text in files.values() for w in set(cut(text)))
-    idf = {w: 1 + math.log((len(files) + 1) / (df[w] + 1)) for _, t in licenses.TEMPLATES for w in cut(t)}
+    idf = {w: 1 + math.log((len(files) + 1) / (df[w] + 1)) for t in licenses.TEMPLATES for w in cut(t.text)}
     rarest = 1 + math.log(len(files) + 1)
 
     def vector(tokens):
@@ -143,21 +143,32 @@ def brute_licenses(files):
         length = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / length for w, x in v.items()}
 
-    known = [(name, vector(cut(t))) for name, t in licenses.TEMPLATES]
+    known = [(t, vector(cut(t.text))) for t in licenses.TEMPLATES]
 
-    def closest(tokens, least):
+    def closest(tokens, least, whole=False):
         if not tokens:
             return None
-        v = vector(tokens)
-        found = [(-round(sum(v.get(w, 0) * x for w, x in t.items()), 9), name) for name, t in known]
-        order, name = min(found)
-        return (order, name) if -order >= least else None
+        v, found = vector(tokens), []
+        for t, unit in known:
+            close = round(sum(v.get(w, 0) * x for w, x in unit.items()), 9)
+            if whole and t.words:
+                part = round(sum(x * x for w, x in unit.items() if w in v), 9)
+                if part >= licenses.OPENING and abs(len(tokens) - t.words) <= licenses.ABOUT * t.words:
+                    found.append((-part, t.license))
+            elif close >= least:
+                found.append((-close, t.license))
+        return min(found, default=None)
+
+    def passages_of(text):
+        plain = re.sub(licenses.MARKS, r"\1", text)
+        joined = [s for p in re.split(licenses.BLANK, plain) for s in re.split(licenses.SENTENCES, p.replace("\n", " "))]
+        return re.split(licenses.PASSAGES, text) + joined
 
     own = {}
     for path, text in files.items():
-        passages = [cut(p) for p in re.split(licenses.PASSAGES, text)]
+        passages = [cut(p) for p in passages_of(text)]
         best = [c for p in passages if (c := closest(p, licenses.HEADER))]
-        own[path] = (min(best) if best else None, closest([w for p in passages for w in p], licenses.FILE))
+        own[path] = (min(best) if best else None, closest(cut(text), licenses.FILE, whole=True))
     out = {}
     for path in files:
         header, whole = own[path]
@@ -179,7 +190,7 @@ def test_licenses(spark):
         "a/LICENSE": "Released under the MIT License.",
         "a/x.c": "int main is here",
         "a/b/y.c": "more text of nothing",
-        "a/b/c/COPYING": "Licensed under the Apache License, Version 2.0. You may obtain it.",
+        "a/b/c/COPYING": "Licensed under the Apache License, Version 2.0.",
         "a/b/c/z.c": "words",
         "a/b/c/d/e/f.c": "deep words",
         "q/own.c": "Much text comes first. Licensed under CC BY-NC 4.0. Then there is much more text of all kinds, and more.",
@@ -195,9 +206,53 @@ def test_licenses(spark):
 
 
 def test_licenses_of_documents(spark):
-    files = {f"{r.source}/{r.lang}/{r.doc_id}": r.text for r in load_table(spark, SMALL, "documents").collect()}
-    found = {r.path: (r.license, r.origin) for r in QUERIES["op4_license_scan"](spark, SMALL).collect()}
+    texts = texts_of(spark)
+    rows = QUERIES["op4_license_scan"](spark, SMALL).collect()
+    assert {r.path: (r.license, r.origin) for r in rows} == brute_licenses({r.path: texts[r.doc_id] for r in rows})
+
+
+def wrapped(text, width, mark):
+    words, lines = text.split(), [""]
+    for w in words:
+        if len(lines[-1]) + len(w) > width:
+            lines.append("")
+        lines[-1] += (" " if lines[-1] else "") + w
+    return "\n".join(mark + line for line in lines)
+
+
+def test_whole_licences_and_headers(spark):
+    texts = {t.license + str(len(t.text)): t for t in licenses.TEMPLATES}
+    mit = next(t.text for t in texts.values() if t.license == "MIT" and len(t.text) > 500)
+    bsd = next(t.text for t in texts.values() if t.license == "BSD-3-Clause" and len(t.text) > 500)
+    apache = next(t for t in texts.values() if t.license == "Apache-2.0" and t.words)
+    terms = " ".join(f"clause{i % 200} grants rights to works" for i in range(310))
+    code = "int main(void) {\n  return 0;\n}\n"
+    files = {
+        "mit/LICENSE": "MIT License\n\nCopyright (c) 2024 Some Body\n\n" + wrapped(mit[12:], 70, ""),
+        "mit/src/a.c": code,
+        "bsd/LICENSE": "Copyright (c) 2020, The Authors. All rights reserved.\n\n" + wrapped(bsd, 70, " * "),
+        "bsd/deep/er/b.c": code,
+        "apache/LICENSE": wrapped(apache.text + " " + terms, 70, "   "),
+        "apache/c.c": code,
+        "quoted/d.c": wrapped(apache.text, 70, "// ") + "\n" + code,  # only the opening: as long as no licence
+        "quoted/e.c": code,
+        "head/f.c": "/*\n * This work is licensed under a Creative Commons\n * Attribution 4.0 International License.\n */\n" + code,
+        "head/g.c": code,
+        "one/h.c": "// Licensed under the Apache License, Version 2.0.\n" + code,
+        "one/i.c": code,
+        "full/j.c": wrapped(mit, 60, "# ") + "\n" + code * 20,  # a whole licence above a program
+        "full/k.c": code,
+    }
+    df = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(files.items())], "doc_id bigint, text string, p string")
+    found = {r.path: (r.license, r.origin) for r in licenses.license_scan(df, F.col("p")).collect()}
     assert found == brute_licenses(files)
+    assert found["mit/LICENSE"] == ("MIT", "file") and found["mit/src/a.c"] == ("MIT", "inherited")
+    assert found["bsd/LICENSE"] == ("BSD-3-Clause", "file") and found["bsd/deep/er/b.c"] == ("BSD-3-Clause", "inherited")
+    assert found["apache/LICENSE"] == ("Apache-2.0", "file") and found["apache/c.c"] == ("Apache-2.0", "inherited")
+    assert found["head/f.c"] == ("CC-BY-4.0", "header") and found["one/h.c"] == ("Apache-2.0", "header")
+    assert found["full/j.c"] == ("MIT", "header")
+    for neighbour in ("quoted/e.c", "head/g.c", "one/i.c", "full/k.c"):
+        assert found[neighbour] == (None, "none")
 
 
 # 5

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as entities
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paperlode.functions import text as T
 from paperlode.operators.integrity import new_content
@@ -13,7 +17,10 @@ from paperlode.operators.once import computed_once
 TYPE_BY_SCHEME = {"mailto": "email", "tel": "call", "sms": "message"}
 TYPE_BY_EXTENSION = {"html": "page", "htm": "page", "pdf": "pdf", "eml": "email", "txt": "text", "docx": "document"}
 
-_HEADING_MARK = "\x01"
+#: A heading's start tag; tags may hold any white space, also line ends.
+HEADING = r"(?i)<h[1-6](?:\s[^>]*)?>"
+#: What is never shown, each up to its own end tag.
+UNSEEN = [r"<!--.*?-->", *[rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in ("script", "style", "head")]]
 
 
 def byte_chunks(df: DataFrame, row_id: str, text: str, size: int = 8192) -> DataFrame:
@@ -53,16 +60,14 @@ def html_sections(df: DataFrame, row_id: str, html: str) -> DataFrame:
 
     Text before the first heading, or a page without one, forms a section without a title.
     Cutting in front of each heading puts the title at the head of its own piece, so no window
-    is needed to carry it forward. Sections without text are dropped; numbering keeps their places.
+    is needed to carry it forward. Character references are decoded. Sections without text are dropped; numbering keeps
+    their places.
     """
-    visible = F.regexp_replace(
-        F.col(html), r"(?is)<(?:script|style|head)(?: [^>]*)?>.*?</(?:script|style|head)>|<!--.*?-->", " "
-    )
-    marked = F.regexp_replace(visible, r"(?i)<h[1-6](?: [^>]*)?>", _HEADING_MARK)
-    pieces = df.select(F.col(row_id), F.posexplode(F.split(marked, _HEADING_MARK)).alias("section_no", "piece"))
+    visible = F.regexp_replace(F.col(html), "(?is)" + "|".join(UNSEEN), " ")
+    pieces = df.select(F.col(row_id), F.posexplode(F.split(visible, HEADING, -1)).alias("section_no", "piece"))
     has_title = F.col("section_no") > 0
-    cut = F.regexp_extract(F.col("piece"), r"(?is)^(.*?)</h[1-6]>", 1)
-    rest = F.regexp_replace(F.col("piece"), r"(?is)^.*?</h[1-6]>", "")
+    cut = F.regexp_extract(F.col("piece"), r"(?is)^(.*?)</h[1-6]\s*>", 1)
+    rest = F.regexp_replace(F.col("piece"), r"(?is)^.*?</h[1-6]\s*>", "")
     return pieces.select(
         row_id,
         "section_no",
@@ -90,8 +95,14 @@ def email_parts(df: DataFrame, row_id: str, message: str, fields: list[str]) ->
     return parts.select(row_id, *[field(f).alias(f.lower().replace("-", "_")) for f in fields], "body")
 
 
+@F.arrow_udf(StringType())
+def _unescaped(batch: pa.Array) -> pa.Array:
+    """Character references decoded."""
+    return pa.array([t if t is None or "&" not in t else entities.unescape(t) for t in batch.to_pylist()], pa.string())
+
+
 def _plain(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(_unescaped(F.regexp_replace(html, r"<[^>]*>", " ")), r"[ \t\r\n]+", " "))
 
 
 def document_type(uri: Column) -> Column:

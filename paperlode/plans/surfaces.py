@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions import kinetics as K
@@ -20,6 +20,7 @@ from paperlode.plans.registry import Tables, query
 from paperlode.plans.texts import _MEMO_SQL, _memos
 from paperlode.session import shared_dir
 from paperlode.sources import files as FS
+from paperlode.sources import messages as M
 from paperlode.sources.tables import SCHEMAS
 from paperlode.streaming import ingest as SI
 
@@ -38,6 +39,55 @@ def file_digests(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+SELECT p_size, CASE WHEN p_size % 5 = 0 THEN 'missing' WHEN p_size % 3 = 0 THEN 'changed' ELSE 'ok' END AS state
+FROM part GROUP BY p_size""")
+def checked_digests(t: Tables) -> DataFrame:
+    """Files of names by size against the digests of the table, of which some are wrong and some name no file."""
+    path = shared_dir(t.spark, "names")
+    size = F.col("p_size")
+    few = t.part.where(size % 5 != 0).repartition("p_size").sortWithinPartitions("p_size", "p_partkey").select("p_name", "p_size")
+    few.write.partitionBy("p_size").text(path)
+    folder = F.regexp_extract("path", "p_size=([0-9]+)/", 1)
+    files = FS.read_bytes(t.spark, path, "*.txt").withColumn("path", folder)
+    # the names of one size make one file
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.concat(x["p_name"], F.lit("\n")))
+    digest = F.sha2(F.concat(F.array_join(names, ""), F.when(size % 3 == 0, "more").otherwise("")), 256)
+    expected = t.part.groupBy("p_size").agg(digest.alias("sha256")).select(size.cast("string").alias("path"), "sha256")
+    return FS.check_digests(files, expected).select(F.col("path").cast("int").alias("p_size"), "state")
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, turn, '1.1' AS part, 'text/plain' AS content_type, NULL AS filename, sha256(text) AS digest, strlen(text)::BIGINT AS n_bytes FROM m
+UNION ALL SELECT conv_id, turn, '1.2', 'text/html', NULL, sha256('<p>é=' || role || '</p>'), strlen('<p>é=' || role || '</p>') - 1 FROM m
+UNION ALL SELECT conv_id, turn, '2', 'text/plain', 'note ' || turn || '.txt', sha256(role || ' 日本'), 2 * length(role || ' 日本') FROM m
+UNION ALL SELECT conv_id, turn, '3.1', 'text/plain', NULL, sha256('of ' || conv_id), length('of ' || conv_id) FROM m""")
+def mime_message_parts(t: Tables) -> DataFrame:
+    """Turns written as messages of nested parts, in three transfer encodings and character sets, taken apart again."""
+    end = F.lit("\r\n")
+
+    def lines(*parts) -> Column:
+        return F.concat(*[x for p in parts for x in (F.lit(p) if isinstance(p, str) else p, end)])
+
+    coded = lambda c, charset="UTF-8": F.base64(F.encode(c, charset))
+    message = lines(
+        "MIME-Version: 1.0", 'Content-Type: multipart/mixed; boundary="out"', "", "--out",
+        'Content-Type: multipart/alternative; boundary="in"', "", "--in",
+        "Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: base64", "", coded(F.coalesce("text", F.lit(""))), "--in",
+        "Content-Type: text/html; charset=iso-8859-1", "Content-Transfer-Encoding: quoted-printable", "",
+        F.concat(F.lit("<p>=E9=3D="), end, "role", F.lit("</p>")), "--in--", "--out",
+        "Content-Type: text/plain; charset=utf-16be", "Content-Transfer-Encoding: base64",
+        F.concat(F.lit('Content-Disposition: attachment; filename="note '), F.col("turn").cast("string"), F.lit('.txt"')), "",
+        coded(F.concat("role", F.lit(" 日本")), "UTF-16BE"), "--out", "Content-Type: message/rfc822", "",
+        "Subject: inner", "", F.concat(F.lit("of "), F.col("conv_id").cast("string")), "--out--",
+    )
+    raw = t.conversations.select(F.struct("conv_id", "turn").alias("id"), F.encode(message, "UTF-8").alias("raw"))
+    return M.mime_parts(raw, "id", "raw").select(
+        "id.conv_id", "id.turn", "part", "content_type", "filename", F.sha2("text", 256).alias("digest"), "n_bytes"
+    )
+
+
 @query("""
 SELECT c_nationkey AS nation, count(*) AS customers, [min(c_mktsegment), max(c_mktsegment)]::VARCHAR AS segments
 FROM customer GROUP BY c_nationkey""")

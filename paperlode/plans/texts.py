@@ -120,17 +120,17 @@ def merged_extractors(t: Tables) -> DataFrame:
     return D.merged_finds(t.documents, "doc_id", "text", extractors)
 
 
-_PLAIN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')"
+_DECODED = r"""replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'),
+  '&amp;', '&'), '&amp', '&')"""
+_PLAIN = rf"trim(regexp_replace({_DECODED}, '[ \t\r\n]+', ' ', 'g'), ' ')"
 
 
 @query(rf"""
-WITH m AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html,
-    '(?is)<(?:script|style|head)(?: [^>]*)?>.*?</(?:script|style|head)>|<!--.*?-->', ' ', 'g'),
-    '(?i)<h[1-6](?: [^>]*)?>', chr(1), 'g'), chr(1)) AS p FROM pages),
+WITH m AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?is){"|".join(D.UNSEEN)}', ' ', 'g'), '{D.HEADING}') AS p FROM pages),
 s AS (SELECT page_id, unnest(p) AS piece, unnest(range(0, len(p))) AS section_no FROM m),
 c AS (SELECT page_id, section_no::INT AS section_no,
-    CASE WHEN section_no > 0 THEN {_PLAIN.format("regexp_extract(piece, '(?is)^(.*?)</h[1-6]>', 1)")} END AS title,
-    {_PLAIN.format("CASE WHEN section_no > 0 THEN regexp_replace(piece, '(?is)^.*?</h[1-6]>', '') ELSE piece END")} AS body FROM s)
+    CASE WHEN section_no > 0 THEN {_PLAIN.format("regexp_extract(piece, '(?is)^(.*?)</h[1-6]\s*>', 1)")} END AS title,
+    {_PLAIN.format("CASE WHEN section_no > 0 THEN regexp_replace(piece, '(?is)^.*?</h[1-6]\s*>', '') ELSE piece END")} AS body FROM s)
 SELECT * FROM c WHERE body <> ''""")
 def page_sections(t: Tables) -> DataFrame:
     return D.html_sections(t.pages, "page_id", "html")

@@ -94,14 +94,18 @@ def test_sections_carry_their_title(rows):
         "<head><title>no</title></head><p>lead</p><h1 class='a'>One</h1><p>first</p><p>second</p>"
         "<H2>Two</H2><h3>Three &amp;</h3><script>var a='<h1>x</h1>'</script><p>third</p><!-- <h1>gone</h1> -->"
     )
-    df = rows([(1, html), (2, "<p>plain</p>"), (3, ""), (4, "<header>kept</header>")], "id int, html string")
+    odd = "x &amp; y\x01b<h1\n>A&nbsp;<b\n>B</b></h1\n>c &lt;p&gt; &#233;<script\t>1</style><h2>no</h2></script ><h2>D &copy</h2>e"
+    df = rows([(1, html), (2, "<p>plain</p>"), (3, ""), (4, "<header>kept</header>"), (5, odd)], "id int, html string")
     got = [tuple(r) for r in D.html_sections(df, "id", "html").orderBy("id", "section_no").collect()]
     assert got == [
         (1, 0, None, "lead"),
         (1, 1, "One", "first second"),
-        (1, 3, "Three &amp;", "third"),
+        (1, 3, "Three &", "third"),
         (2, 0, None, "plain"),
         (4, 0, None, "kept"),
+        (5, 0, None, "x & y\x01b"),
+        (5, 1, "A\xa0 B", "c <p> é"),
+        (5, 2, "D ©", "e"),
     ]
 
 

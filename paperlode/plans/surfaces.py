@@ -21,6 +21,7 @@ from paperlode.plans.texts import _MEMO_SQL, _memos
 from paperlode.session import shared_dir
 from paperlode.sources import files as FS
 from paperlode.sources import messages as M
+from paperlode.sources import paged as PG
 from paperlode.sources.tables import SCHEMAS
 from paperlode.streaming import ingest as SI
 
@@ -88,6 +89,36 @@ def mime_message_parts(t: Tables) -> DataFrame:
     )
 
 
+PAGED = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double"
+
+
+def _pages(t: Tables, numbers: range) -> str:
+    """Orders written as pages of records, twenty in all, of which those of `numbers`."""
+    path = shared_dir(t.spark, "pages")
+    item = F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    page = F.pmod("o_orderkey", F.lit(20)).alias("page")
+    rows = t.orders.where(page.isin(list(numbers))).select(page, F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))
+    rows.repartition("page").write.partitionBy("page").text(path)
+    return "file://" + path if path.startswith("/") else path
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def paged_orders(t: Tables) -> DataFrame:
+    """Orders read from numbered pages."""
+    PG.register(t.spark)
+    return t.spark.read.format(PG.NAME).schema(PAGED).option("pagesPerPartition", 3).load(_pages(t, range(20)))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 20 >= 5")
+def paged_order_stream(t: Tables) -> DataFrame:
+    """The same pages as a stream, of which the first five are missing."""
+    PG.register(t.spark)
+    stream = t.spark.readStream.format(PG.NAME).schema(PAGED).load(_pages(t, range(5, 20)))
+    path = shared_dir(t.spark, "paged-stream")
+    SI.run_to_table(stream, path).awaitTermination()
+    return t.spark.read.schema(PAGED).parquet(f"{path}/data")
+
+
 @query("""
 SELECT c_nationkey AS nation, count(*) AS customers, [min(c_mktsegment), max(c_mktsegment)]::VARCHAR AS segments
 FROM customer GROUP BY c_nationkey""")

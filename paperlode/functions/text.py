@@ -90,11 +90,15 @@ def set_similarity(left: Column, right: Column) -> Column:
 
 # A literal that every match holds. Looking for it costs far less than the pattern and rules out most texts.
 REQUIRED = {EMAIL: "@", DOLLARS: "$", USD_BEFORE: "USD", USD_AFTER: "USD", US_DATE: "/"}
+#: A pattern without bounds or choices that every match holds, for those that hold no literal.
+REQUIRED_SHAPE = {PHONE: "[0-9]{3}[ .-]?[0-9]{4}", ISO_DATE: "[0-9]{4}-[0-9]{2}-[0-9]{2}", SERIAL_ID: "[A-Z][-_ ]?[0-9]{4}"}
 
 
-def may_match(text: Column, pattern: str) -> Column:
-    """False only where the pattern cannot match."""
-    return F.contains(text, F.lit(REQUIRED[pattern])) if pattern in REQUIRED else F.lit(True)
+def may_match(text: Column, pattern: str) -> Column | None:
+    """False only where the pattern cannot match; None for a pattern that nothing simpler is known of."""
+    if pattern in REQUIRED:
+        return F.contains(text, F.lit(REQUIRED[pattern]))
+    return text.rlike(REQUIRED_SHAPE[pattern]) if pattern in REQUIRED_SHAPE else None
 
 
 _WORD = "[0-9A-Za-z_]"
@@ -108,10 +112,11 @@ def in_java(pattern: str) -> str:
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches in order, over the whole text."""
     found = F.regexp_extract_all(text, F.lit(in_java(pattern)), F.lit(group))
-    if pattern not in REQUIRED:
+    likely = may_match(text, pattern)
+    if likely is None:
         return found
     nothing = F.when(text.isNotNull(), F.array().cast("array<string>"))
-    return F.when(may_match(text, pattern), found).otherwise(nothing)
+    return F.when(likely, found).otherwise(nothing)
 
 
 def emails(text: Column) -> Column:

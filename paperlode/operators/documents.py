@@ -143,10 +143,11 @@ def found_spans(df: DataFrame, row_id: str, text: str, patterns: dict[str, str],
             ),
         )
 
-    # rows without any match stay in the JVM
+    # rows that cannot have a match stay in the JVM; the others are searched once, where their matches are placed
     some = F.lit(False)
     for pattern in patterns.values():
-        some = some | (T.may_match(F.col(text), pattern) & F.col(text).rlike(T.in_java(pattern)))
+        likely = T.may_match(F.col(text), pattern)
+        some = some | (F.col(text).rlike(T.in_java(pattern)) if likely is None else likely)
     return df.where(some).select(row_id, F.inline(F.concat(*[of_kind(*item) for item in patterns.items()])))
 
 
@@ -199,7 +200,8 @@ def found_amounts(df: DataFrame, row_id: str, text: str) -> DataFrame:
     forms = [T.DOLLARS, T.USD_BEFORE, T.USD_AFTER]
     some = F.lit(False)
     for pattern in forms:
-        some = some | (T.may_match(F.col(text), pattern) & F.col(text).rlike(T.in_java(pattern)))
+        likely = T.may_match(F.col(text), pattern)
+        some = some | (F.col(text).rlike(T.in_java(pattern)) if likely is None else likely)
     found = df.where(some).select(row_id, F.inline(T.exclusive_spans(F.col(text), forms)))
     return found.withColumn("amount", F.regexp_replace("value", r"[^0-9.]", "").try_cast("decimal(38,2)"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from paperlode.functions.hashing import sha256_bytes, sha256_hex
 from paperlode.operators.once import computed_once
 from paperlode.operators.ordered import dense_positions, previous_row
+from paperlode.session import shared_dir
 
 GENESIS = "0" * 64
 FAN_IN = 1024
@@ -96,22 +97,31 @@ def merkle_leaves(df: DataFrame, order: str, payload: Column, splits: Sequence[f
     return dense_positions(df.select(F.col(order), leaf.alias("hash")), order, "idx", splits).select("idx", "hash")
 
 
-def merkle_levels(leaves: DataFrame, n: int, fan_in: int = FAN_IN) -> list[DataFrame]:
+def merkle_levels(leaves: DataFrame, n: int, fan_in: int = FAN_IN, store: bool = False) -> list[DataFrame]:
     """Leaves, then each coarser level up to one row. A group holds at most `fan_in` hashes.
 
     Aligned groups of a power of two are whole subtrees, and only the last may be short, so the top
-    equals the RFC 6962 tree head. A billion leaves take three rounds.
+    equals the RFC 6962 tree head. A billion leaves take three rounds. With `store` each level is written to the shared
+    folder once, for callers that read levels more than once.
     """
+
+    def kept(level: DataFrame) -> DataFrame:
+        if not store:
+            return level
+        path = shared_dir(level.sparkSession, "tree-level")
+        level.sortWithinPartitions("idx").write.parquet(path)
+        return level.sparkSession.read.schema(level.schema).parquet(path)
+
     if fan_in < 2 or fan_in & (fan_in - 1):
         raise ValueError("fan_in must be a power of two")
-    levels, size = [leaves], n
+    levels, size = [kept(leaves)], n
     while size > 1:
         grouped = (
             levels[-1]
             .groupBy((F.col("idx") / fan_in).cast("bigint").alias("idx"))
             .agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), "hash"))).alias("members"))
         )
-        levels.append(grouped.select("idx", _fold(F.col("members.hash")).alias("hash")))
+        levels.append(kept(grouped.select("idx", _fold(F.col("members.hash")).alias("hash"))))
         size = -(-size // fan_in)
     return levels
 
@@ -140,10 +150,10 @@ def matches_seal(df: DataFrame, order: str, payload: Column, sealed: DataFrame)
     )
 
 
-def audit_path(leaves: DataFrame, n: int, idx: int, fan_in: int = FAN_IN) -> list[bytes]:
-    """Inclusion path of one leaf. Per level, the driver receives the one group on the path (`fan_in` hashes)."""
+def audit_path(levels: list[DataFrame], idx: int, fan_in: int = FAN_IN) -> list[bytes]:
+    """Inclusion path of one leaf in stored levels. Per level, the driver receives the one group on the path (`fan_in` hashes)."""
     path: list[bytes] = []
-    for level in merkle_levels(leaves, n, fan_in)[:-1]:
+    for level in levels[:-1]:
         first = idx // fan_in * fan_in
         group = level.where(F.col("idx").between(first, first + fan_in - 1)).orderBy("idx").collect()
         path += _path_in([bytes(r["hash"]) for r in group], idx - first)

@@ -182,6 +182,17 @@ def address_conflicts(t: Tables) -> DataFrame:
     return S.value_conflicts(found, "entity", "doc_id", "lang")
 
 
+@query("""
+WITH f AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 200000),
+v AS (SELECT o_custkey, o_orderpriority, count(DISTINCT o_orderkey) AS n FROM f GROUP BY ALL),
+s AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n_sources FROM f GROUP BY ALL)
+SELECT o_custkey, n_sources, count(*) AS n_values FROM v JOIN s USING (o_custkey) GROUP BY o_custkey, n_sources HAVING max(n) < n_sources""")
+def priority_conflicts(t: Tables) -> DataFrame:
+    """Customers whose large orders do not agree on a priority."""
+    large = t.orders.where("o_totalprice > 200000")
+    return S.value_conflicts(large, "o_custkey", "o_orderkey", "o_orderpriority")
+
+
 @query("""
 WITH l AS (SELECT o_custkey, l_suppkey, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 v AS (SELECT o_custkey, l_suppkey, count(DISTINCT l_orderkey) AS n FROM l GROUP BY ALL),

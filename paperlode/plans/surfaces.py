@@ -206,13 +206,11 @@ WITH n AS (SELECT count(*) AS n FROM events)
 SELECT unnest([0, n // 2, n - 1]) AS idx, true AS included, false AS other_included FROM n""")
 def inclusion_proofs(t: Tables) -> DataFrame:
     """Paths of the first, a middle and the last event: each proves its own event and not the one beside it."""
-    leaves, n = I.merkle_leaves(t.events, "event_id", _payload()), t.events.count()
-    path = shared_dir(t.spark, "leaves")
-    leaves.write.parquet(path)
-    leaves = t.spark.read.schema(leaves.schema).parquet(path)
-    root = bytes.fromhex(I.merkle_root(leaves, n).first().root_hash)
+    n = t.events.count()
+    levels = I.merkle_levels(I.merkle_leaves(t.events, "event_id", _payload()), n, store=True)
+    leaves, root = levels[0], bytes(levels[-1].first()["hash"])
     wanted = [0, n // 2, n - 1]
-    proofs = [(i, I.audit_path(leaves, n, i), root, n, i - 1 if i else 1) for i in wanted]
+    proofs = [(i, I.audit_path(levels, i), root, n, i - 1 if i else 1) for i in wanted]
     schema = "idx bigint, path array<binary>, root binary, n bigint, beside bigint"
     rows = t.spark.createDataFrame(proofs, schema)
     own = leaves.withColumnRenamed("hash", "leaf")

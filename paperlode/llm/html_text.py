@@ -253,8 +253,8 @@ class _Lines(HTMLParser):
         self._judge()
 
     def _judge(self) -> None:
-        """A weakly named element is hidden if a good part of it is links, if it has no line like an article's, or if it has
-        what remarks have."""
+        """A weakly named element is hidden if a good part of it is links, if it has no line like an article's, if it has
+        what remarks have, or if it stands outside of the article of a page that has one."""
         if not self.weak:
             return
         chars: dict[int, int] = {}
@@ -269,8 +269,10 @@ class _Lines(HTMLParser):
         for shade, mark in enumerate(self.mark_of):
             if mark in by_mark:
                 by_mark[mark] = [a + x[shade] for a, x in zip(by_mark[mark], found)]
+        article = any(line[4] and line[2] < 0 for line in self.lines)
         for mark, (n, in_links, lines, signs) in by_mark.items():
-            other = in_links >= LINKED * n or not lines or signs
+            beside = article and not self.marked_inside[mark]
+            other = in_links >= LINKED * n or not lines or signs or beside
             self.marks[mark] = (REMARK if signs else NAME if self.weak[mark] else AROUND) if other else NOTHING
 
     def shown(self, free) -> list[bool]:

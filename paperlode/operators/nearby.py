@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from paperlode.functions.geo import EARTH_RADIUS_M, haversine_m
 from paperlode.operators.once import computed_once
+from paperlode.session import shuffle_width
 
 AXES = ("x", "y", "z")
 #: The narrowest cubes, some half a metre; smaller distances are told apart by the exact test alone.
 NARROWEST = 1e-7
+#: Places of each side that meet in one piece of a cube (on average; they are dealt by a hash), and pairs that a task tests.
+SIDE, TASK_PAIRS = 2_048, 1 << 24
 
 
 def unit_vector(lat: Column, lng: Column) -> Column:
@@ -59,16 +62,36 @@ def within_distance(
     The left side is copied to the cubes around each of its points, so it should be the smaller one. Places that are null,
     not finite or beyond the poles match nothing; longitudes may run round the earth more than once. Repeated rows match
     as often as they are there. Nothing but the pairs themselves grows faster than the rows: two points that meet
-    are at most four times `metres` apart.
+    are at most four times `metres` apart. A cube of many places on both sides is cut into pieces of `SIDE` by `SIDE`, and the
+    pieces go to as many tasks as the pairs to test need.
     """
     width = cube_width(_checked(metres))
     a, b = (F.col(c).cast("double") for c in left_at), (F.col(c).cast("double") for c in right_at)
     mine = left.select(F.col(left_id).alias("l__"), *[c.alias(n) for c, n in zip(a, ("a_lat", "a_lng"))]).where(on_earth(F.col("a_lat"), F.col("a_lng")))
-    mine = mine.select("*", F.explode(cubes_around(unit_vector(F.col("a_lat"), F.col("a_lng")), width)).alias("cube"))
+    mine = computed_once(mine, mine.columns, {"u": unit_vector(F.col("a_lat"), F.col("a_lng"))})
+    mine = mine.select("*", F.explode(cubes_around(F.col("u"), width)).alias("cube"))
     other = right.select(F.col(right_id).alias("r__"), *[c.alias(n) for c, n in zip(b, ("b_lat", "b_lng"))]).where(on_earth(F.col("b_lat"), F.col("b_lng")))
-    other = computed_once(other, other.columns, {"cube": cube(unit_vector(F.col("b_lat"), F.col("b_lng")), width)})
-    met = mine.join(other, "cube").withColumn("metres", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))
-    return met.where(F.col("metres") <= metres).select(F.col("l__").alias(left_id), F.col("r__").alias(right_id), "metres")
+    other = computed_once(other, other.columns, {"v": unit_vector(F.col("b_lat"), F.col("b_lng"))})
+    other = computed_once(other, other.columns, {"cube": cube(F.col("v"), width)})
+    counts = mine.groupBy("cube").agg(F.count("*").alias("n_a")).join(other.groupBy("cube").agg(F.count("*").alias("n_b")), "cube")
+    pairs = F.col("n_a").cast("double") * F.col("n_b")
+    n_tasks = max(shuffle_width(left.sparkSession), math.ceil((counts.agg(F.sum(pairs)).first()[0] or 0) / TASK_PAIRS))
+    # a cube that is cut has millions of pairs, so this is a small part of the cubes
+    cut = counts.where(pairs > SIDE * SIDE).select("cube", *[F.ceil(F.col(n) / SIDE).alias(n) for n in ("n_a", "n_b")])
+
+    def dealt(df: DataFrame, place: list[str], own: str, rest: str) -> DataFrame:
+        """Each row in one part of its own side, beside all parts of the other."""
+        known = df.join(F.broadcast(cut), "cube", "left")
+        part = F.pmod(F.xxhash64(*place), F.coalesce(f"n_{own}", F.lit(1)))
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"n_{rest}", F.lit(1)) - 1)).alias(f"part_{rest}")
+        return known.select(*df.columns, part.alias(f"part_{own}"), copies).repartition(n_tasks, "cube", "part_a", "part_b")
+
+    met = dealt(mine, ["l__", "a_lat", "a_lng"], "a", "b").join(dealt(other, ["r__", "b_lat", "b_lng"], "b", "a"), ["cube", "part_a", "part_b"])
+    # the straight distance, with room for rounding, rules out most pairs before the costly one
+    straight = sum(((F.col("u")[x] - F.col("v")[x]) * (F.col("u")[x] - F.col("v")[x]) for x in AXES), F.lit(0.0))
+    far = haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
+    found = met.where((straight <= (1.01 * width + NARROWEST) ** 2) & (far <= metres))
+    return found.select(F.col("l__").alias(left_id), F.col("r__").alias(right_id), far.alias("metres"))
 
 
 def _dot(u: Column, v: Column) -> Column:

@@ -9,6 +9,7 @@ from paperlode.functions.text import EMAIL, matches
 from paperlode.operators import documents as D
 from paperlode.operators import jobs as Q
 from paperlode.operators import stats as S
+from paperlode.operators.blocks import tasks_for
 from paperlode.plans.registry import Tables, query
 from paperlode.sources.tables import SCHEMAS
 
@@ -202,6 +203,9 @@ def supplier_conflicts(t: Tables) -> DataFrame:
     """Customers whose orders share no supplier."""
     lines = t.lineitem.select("l_orderkey", "l_suppkey")
     placed = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    # dealt by rows: narrow rows that compress well make tasks of few bytes but many rows
+    n = tasks_for(t.spark, lines.count())
+    lines, placed = lines.repartition(n, "l_orderkey"), placed.repartition(n, "l_orderkey")
     return S.value_conflicts(lines.join(placed, "l_orderkey"), "o_custkey", "l_orderkey", "l_suppkey")
 
 

@@ -8,38 +8,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperlode.operators.integrity import GENESIS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Appender(StatefulProcessor):
+def _append(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Links the new rows of a key to the tip of its chain, in their order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tip = handle.getValueState("tip", "seq bigint, last bigint, hash string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, last, tip = self._tip.get() if self._tip.exists() else (0, None, GENESIS)
-        batch = pd.concat(list(rows)).sort_values(["order_", "payload_"], kind="stable")
-        kept, chain = [], []
-        for at, (order, payload) in enumerate(zip(batch["order_"], batch["payload_"])):
-            if last is not None and order <= last:
-                continue  # in the chain already
-            digest = hashlib.sha256((tip + payload).encode()).hexdigest()
-            seq, last = seq + 1, int(order)
-            kept.append(at)
-            chain.append((seq, tip, digest))
-            tip = digest
-        if kept:
-            self._tip.update((seq, last, tip))
-            new = batch.iloc[kept][["key_", "order_"]].reset_index(drop=True)
-            yield new.assign(seq=[c[0] for c in chain], prev_hash=[c[1] for c in chain], hash=[c[2] for c in chain])
-
-    def close(self) -> None:
-        pass
+    seq, last, tip = state.get if state.exists else (0, None, GENESIS)
+    new = sorted(row for part in rows for row in zip(part["order_"].tolist(), part["payload_"].tolist()))
+    chain = []
+    for order, payload in new:
+        if last is not None and order <= last:
+            continue  # in the chain already
+        digest = hashlib.sha256((tip + payload).encode()).hexdigest()
+        seq, last = seq + 1, order
+        chain.append((order, seq, tip, digest))
+        tip = digest
+    if chain:
+        state.update((seq, last, tip))
+        order, place, prev, digest = map(list, zip(*chain))
+        yield pd.DataFrame({"key_": key[0], "order_": order, "seq": place, "prev_hash": prev, "hash": digest})
 
 
 def continued_chains(stream: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
@@ -53,10 +44,11 @@ def continued_chains(stream: DataFrame, key: str, order: str, payload: Column) -
     key_type, order_type = (stream.schema[c].dataType.simpleString() for c in (key, order))
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = stream.select(F.col(key).alias("key_"), F.col(order).alias("order_"), payload.alias("payload_")).dropna()
-    chained = rows.groupBy("key_").transformWithStateInPandas(
-        statefulProcessor=_Appender(),
+    chained = rows.groupBy("key_").applyInPandasWithState(
+        _append,
         outputStructType=f"key_ {key_type}, order_ {order_type}, seq bigint, prev_hash string, hash string",
-        outputMode="Append",
-        timeMode="None",
+        stateStructType="seq bigint, last bigint, hash string",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout,
     )
     return chained.withColumnsRenamed({"key_": key, "order_": order})

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +16,7 @@ from pyspark.sql import Window as W
 from paperlode.functions.stemming import stem, stem_word
 from paperlode.functions.text import WORD, tokens
 from paperlode.functions.vectors import cosine_to
+from paperlode.operators.blocks import runs_of
 from paperlode.operators.once import computed_once
 
 # Okapi BM25 and reciprocal-rank constants as published.
@@ -21,6 +25,8 @@ B = 0.75
 RRF_K = 60
 # Scores are compared after rounding, so that summation order cannot swap two equal ones.
 SCORE_DIGITS = 6
+#: Words that a task of the index build holds at once, unless a single text has more.
+CHUNK = 1 << 20
 
 
 def query_terms(query: str, stop_words: Sequence[str] = ()) -> list[str]:
@@ -260,39 +266,62 @@ def term_statistics(df: DataFrame, row_id: str, text: str) -> DataFrame:
     )
 
 
+def _listed(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """(term, n_words, ids, dls, tfs): the texts that hold each word, with their lengths and how often each holds it."""
+    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    terms = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), lengths)
+    # sorted, the distinct pairs of term and text are the lists, one after the other
+    pairs, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * max(1, len(words)) + row, return_counts=True)
+    code, text = np.divmod(pairs, max(1, len(words)))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(terms.dictionary)))]).astype(np.int32)
+    n_words = np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary)).astype(np.int64)
+    columns = [ids.take(pa.array(text)), pa.array(lengths[text].astype(np.int32)), pa.array(tf.astype(np.int32))]
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), c) for c in columns]
+    return pa.RecordBatch.from_arrays([terms.dictionary, pa.array(n_words), *lists], ["term", "n_words", "ids", "dls", "tfs"])
+
+
+def _lists_by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists over runs of texts with some `CHUNK` words together, or of one longer text."""
+    for batch in batches:
+        for start, end in runs_of(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False), CHUNK):
+            yield _listed(batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start))
+
+
 def write_index(df: DataFrame, row_id: str, text: str, path: str, buckets: int = 64) -> None:
-    """Store postings split by term bucket and sorted by term, a dictionary with files sorted by stem, and totals.
+    """Store lists of postings split by term bucket and sorted by term, a dictionary with files sorted by stem, and totals.
 
-    A lookup then reads the few buckets of its words and skips row groups by term statistics. Postings
+    A task lists its texts by term before anything is shuffled, so a row that travels or is sorted stands for many
+    postings. A lookup then reads the few buckets of its words and skips row groups by term statistics. Postings
     carry the text length, so that scoring joins nothing of the collection's size. The rebalance hint lets
     the adaptive planner cut a bucket that a hot term has made large.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    id_type = df.schema[row_id].dataType.simpleString()
+    cut = df.where(F.col(text).isNotNull()).select(F.col(row_id), tokens(F.col(text)).alias("words"))
+    listed = cut.mapInArrow(_lists_by_task, f"term string, n_words bigint, {_lists_schema(id_type)}")
     (
-        postings(df, row_id, text)
-        .withColumn("bucket", bucket)
+        listed.withColumn("bucket", bucket)
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
     # Each distinct word is stemmed once, so the stemmer never sees running text.
-    id_type = df.schema[row_id].dataType.simpleString()
-    stored = _stored_postings(df.sparkSession, path, row_id, id_type)
+    stored = df.sparkSession.read.schema("term string, n_words bigint, bucket int").parquet(f"{path}/postings")
     words = stored.select("bucket", "term").distinct()
     stems = words.select("bucket", "term", stem(F.col("term")).alias("stem"))
     stems.sortWithinPartitions("stem").write.parquet(f"{path}/words")
     # The postings know the number of words, so the texts are not read again for their lengths.
     n = df.count()
-    all_words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    all_words = stored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
     avgdl = F.col("words") / F.lit(max(n, 1))
     totals = all_words.select(F.lit(n).cast("bigint").alias("n"), avgdl.alias("avgdl"), F.lit(id_type).alias("id_type"))
     totals.write.parquet(f"{path}/totals")
 
 
-def _stored_postings(spark: SparkSession, path: str, row_id: str, id_type: str) -> DataFrame:
-    schema = f"`{row_id}` {id_type}, dl int, term string, tf bigint, bucket int"
-    return spark.read.schema(schema).parquet(f"{path}/postings")
+def _lists_schema(id_type: str) -> str:
+    return f"ids array<{id_type}>, dls array<int>, tfs array<int>"
 
 
 def index_top_k(
@@ -319,8 +348,9 @@ def index_top_k(
         words = words.select("bucket", "term", F.col("stem").alias("label"))
     else:
         words = words.where(F.col("term").isin(*terms)).select("bucket", "term", F.col("term").alias("label"))
-    stored = _stored_postings(spark, path, row_id, totals.id_type)
-    hits = stored.join(words, ["bucket", "term"])
+    stored = spark.read.schema(f"term string, {_lists_schema(totals.id_type)}, bucket int").parquet(f"{path}/postings")
+    listed = stored.join(words, ["bucket", "term"]).select("label", F.inline(F.arrays_zip("ids", "dls", "tfs")))
+    hits = listed.withColumnsRenamed({"ids": row_id, "dls": "dl", "tfs": "tf"})
     hits = hits.groupBy(row_id, "dl", "label").agg(F.sum("tf").alias("tf"))
     # The frequencies have one row per query term.
     frequency = hits.groupBy("label").agg(F.count("*").alias("df"))

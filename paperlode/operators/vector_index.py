@@ -8,6 +8,7 @@ cells probed the result is the exact ranking.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from paperlode.session import shared_dir
 SAMPLE_ROWS, MAX_CELLS = 50_000, 4_096
 #: Stored vectors, and queries, that meet in one task at most (on average; they are dealt by a hash).
 BLOCK_ROWS, PART_ROWS = 16_384, 4_096
+#: Pairs of a vector and a centroid that a task holds at once.
+HELD_PAIRS = 1 << 16
 
 
 def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +42,13 @@ def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return matrix[good] / norms[good, None], rows[good]
 
 
+def _slices(matrix: np.ndarray, rows: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors and their rows, few at a time: each is held once for every cell."""
+    step = max(1, HELD_PAIRS // cells)
+    for start in range(0, len(rows), step):
+        yield matrix[start : start + step], rows[start : start + step]
+
+
 def _centroids(df: DataFrame, vector: str, dim: int, cells: int, sample_rows: int, n: int, seed: int) -> np.ndarray:
     """Unit centroids of k-means over a bounded sample."""
     few = df if n <= sample_rows else df.sample(fraction=sample_rows / n, seed=seed)
@@ -62,9 +72,9 @@ def _with_cell(df: DataFrame, row_id: str, vector: str, centroids: np.ndarray) -
     def run(batches):
         for batch in batches:
             matrix, rows = _units(batch.column(1), dim)
-            kept = batch.take(pa.array(rows))
-            cell = (matrix @ centroids.T).argmax(axis=1) if len(rows) else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32))], [row_id, vector, "cell"])
+            for few, at in _slices(matrix, rows, len(centroids)):
+                cell = pa.array((few @ centroids.T).argmax(axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, cell], [row_id, vector, "cell"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(row_id, vector).schema]
     return df.select(row_id, vector).mapInArrow(run, ", ".join([*fields, "cell int"]))
@@ -130,10 +140,11 @@ def search_vector_index(
     def probed(batches):
         for batch in batches:
             matrix, rows = _units(batch.column(1), dim)
-            near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :wanted]
-            kept = batch.take(pa.array(np.repeat(rows, wanted)))
-            cell, place = pa.array(near.reshape(-1).astype(np.int32)), pa.array(np.tile(np.arange(1, wanted + 1, dtype=np.int32), len(rows)))
-            yield pa.RecordBatch.from_arrays([*kept.columns, cell, place], ["q", "qv", "cell", "probe"])
+            for few, at in _slices(matrix, rows, len(centroids)):
+                near = np.argsort(-(few @ centroids.T), axis=1, kind="stable")[:, :wanted]
+                kept = batch.take(pa.array(np.repeat(at, wanted)))
+                cell, place = pa.array(near.reshape(-1).astype(np.int32)), pa.array(np.tile(np.arange(1, wanted + 1, dtype=np.int32), len(at)))
+                yield pa.RecordBatch.from_arrays([*kept.columns, cell, place], ["q", "qv", "cell", "probe"])
 
     asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("qv"))
     asked = asked.mapInArrow(probed, f"q {asked_type}, qv {vector_type}, cell int, probe int")

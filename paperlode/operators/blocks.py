@@ -7,15 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import SparkSession
 
-from paperlode.session import shuffle_width
-
 #: Rows that a task sorts or groups in memory, where the number of tasks is chosen by rows.
 TASK_ROWS = 500_000
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """How many tasks share so many rows: the session's number of partitions, or more."""
-    return max(shuffle_width(spark), -(-rows // TASK_ROWS))
+    """How many tasks share so many rows: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def runs_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
